@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lodestar.llm import line_dedup, mix
+from lodestar.llm import line_dedup, mix, simhash
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_simhash_near_dedup(spark, sf_dir):
+    return simhash.op3(_docs(spark, sf_dir))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mix.op7(_docs(spark, sf_dir))
 
@@ -17,4 +21,4 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.op10(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_mix_sources, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op7_mix_sources, op10_line_dedup)}
