@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from lodestar.llm import line_dedup, mix, simhash
+import public_tokenizers
+
+from lodestar.llm import line_dedup, mix, simhash, tokens
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_token_orc(spark, sf_dir):
+    return tokens.op2(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.op3(_docs(spark, sf_dir))
 
@@ -21,4 +27,4 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.op10(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op7_mix_sources, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op3_simhash_near_dedup, op7_mix_sources, op10_line_dedup)}
