@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lodestar.llm import bpe, counts, line_dedup, mix, simhash, tokens
+from lodestar.llm import bpe, counts, line_dedup, mix, simhash, tokens, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -27,6 +27,10 @@ def op7_mix_sources(spark, sf_dir):
     return mix.op7(_docs(spark, sf_dir))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.op8(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_bpe_round_trip(spark, sf_dir):
     return bpe.op9(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,4 +39,4 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.op10(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_simhash_near_dedup, op5_token_counts, op7_mix_sources, op9_bpe_round_trip, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op3_simhash_near_dedup, op5_token_counts, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup)}
