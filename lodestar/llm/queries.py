@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lodestar.llm import bpe, counts, line_dedup, mix, simhash, tokens, toxicity
+from lodestar.llm import bpe, counts, langid, line_dedup, mix, simhash, tokens, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -23,6 +23,10 @@ def op5_token_counts(spark, sf_dir):
     return counts.op5(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_language_id(spark, sf_dir):
+    return langid.op6(_docs(spark, sf_dir))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mix.op7(_docs(spark, sf_dir))
 
@@ -39,4 +43,4 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.op10(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_simhash_near_dedup, op5_token_counts, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op3_simhash_near_dedup, op5_token_counts, op6_language_id, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup)}
