@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lodestar.llm import bpe, counts, langid, line_dedup, mix, simhash, tokens, toxicity
+from lodestar.llm import bpe, counts, forest, langid, line_dedup, mix, simhash, tokens, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -19,6 +19,10 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.op3(_docs(spark, sf_dir))
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    return forest.op4(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_token_counts(spark, sf_dir):
     return counts.op5(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -43,4 +47,4 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.op10(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_simhash_near_dedup, op5_token_counts, op6_language_id, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op3_simhash_near_dedup, op4_nearest_neighbours, op5_token_counts, op6_language_id, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup)}
