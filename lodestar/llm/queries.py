@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lodestar.llm import bpe, counts, forest, langid, line_dedup, mix, simhash, tokens, toxicity
+from lodestar.llm import bpe, counts, forest, langid, line_dedup, mix, paragraphs, simhash, tokens, toxicity
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_paragraph_sketches(spark, sf_dir):
+    return paragraphs.op1(_docs(spark, sf_dir))
+
+
 def op2_token_orc(spark, sf_dir):
     return tokens.op2(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,4 +51,4 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.op10(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_simhash_near_dedup, op4_nearest_neighbours, op5_token_counts, op6_language_id, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_token_orc, op3_simhash_near_dedup, op4_nearest_neighbours, op5_token_counts, op6_language_id, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup)}
