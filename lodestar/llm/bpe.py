@@ -168,22 +168,21 @@ class WordBpe:
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, digest: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, n_tokens, ids, decoded), or their SHA-256 for ``digest``."""
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string")
+    """``docs`` (doc_id, text) as (doc_id, n_tokens, ids, decoded), or for ``digest`` with the SHA-256 of these two."""
+    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
 
     def run(batches):
         bpe = kept(f"bpe:{vocabulary}", lambda: WordBpe(vocabulary))
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             pairs = [bpe.encode(t.as_py() or "") for t in b.column(1)]
-            n = pa.array([len(i) // 4 for i, _ in pairs], pa.int64())
+            n = np.fromiter((len(i) // 4 for i, _ in pairs), np.int64, len(pairs))
             if digest:
-                columns = [pa.array([sha(i) for i, _ in pairs], pa.string()), pa.array([sha(d) for _, d in pairs], pa.string())]
-                names = ["ids_sha256", "decoded_sha256"]
+                columns = {"ids_sha256": pa.array([sha(i) for i, _ in pairs], pa.string()), "decoded_sha256": pa.array([sha(d) for _, d in pairs], pa.string())}
             else:
-                columns = [pa.array([i for i, _ in pairs], pa.binary()), pa.array([d.decode() for _, d in pairs], pa.string())]
-                names = ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([b.column(0), n, *columns], names=["doc_id", "n_tokens", *names])
+                values = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join([i for i, _ in pairs]))])
+                columns = {"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), values), "decoded": pa.array([d.decode() for _, d in pairs], pa.string())}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array(n), **columns})
 
     arrow_rows(docs.sparkSession, 200)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
