@@ -33,7 +33,7 @@ def read_reads(spark: SparkSession, paths, layout: str = "sam", bad_pos: int | N
 
 def read_header(spark: SparkSession, paths) -> DataFrame:
     """Header lines (value, at), in file order. ``at`` grows along the file."""
-    lines = spark.read.option("wholetext", True).text(paths).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    lines = spark.read.text(paths, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
     return lines.where(is_header(F.col("value")))
 
 
