@@ -34,6 +34,8 @@ from lodestar.storage import settle
 
 TREES, BITS, VISITS = 24, 32, 1.2
 BLOCKS, BLOCK_ROWS, CHUNK_ROWS = 8, 65_536, 4096
+#: In a block of so few rows the ascent goes on to the root, so that few candidates are all found.
+SMALL = 500
 
 
 class Forest:
@@ -56,7 +58,8 @@ class Forest:
 
     def candidates(self, q: np.ndarray, visits: float = VISITS):
         """For each query, the mask of the rows that its synchronous ascent meets."""
-        n, need = len(self.x), visits * len(self.x)
+        n = len(self.x)
+        need = (visits if n > SMALL else len(self.sorted)) * n
         codes = self._codes(np.column_stack([q, np.zeros(len(q))]))
         low, high = np.zeros((len(codes), len(q)), np.int64), np.full((len(codes), len(q)), 0)
         done = np.zeros(len(q), bool)

@@ -11,7 +11,8 @@ about log(batches) times, and no batch ever compares lines with lines.
 Only DataFrame operations; hashes and positions are shuffled, and the texts once, by doc_id.
 
 Defined cases. Null text: one empty line. Rows that share a doc_id are one document; a null doc_id is one document after
-all others. Extra columns are ignored by ``line_drops`` and kept by ``dedup_lines``. No rows: no rows.
+all others. Extra columns are ignored by ``line_drops`` and kept by
+``without_repeats`` whatever their names; ``dedup_lines`` adds ``_lines``, ``_drop`` and ``_kept`` to them. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.packed import REST, pack, unpack
 from lodestar.llm.text import lower_ascii, strip_white
 from lodestar.storage import new_path, remove, settle
 
@@ -117,6 +119,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout
     return out.withColumn("_kept", F.when(F.size("_drop") == 0, F.coalesce("text", F.lit(""))).otherwise(kept))
 
 
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``text`` (and ``n_chars``, if there) of the lines that stay. All rows and columns stay."""
+    out = dedup_lines(pack(docs, "doc_id", "text"), **options).select("doc_id", "text", REST, "_kept")
+    changed = {"text": F.col("_kept")} | ({"n_chars": F.char_length("_kept").cast("long")} if "n_chars" in docs.columns else {})
+    return unpack(out.drop("text"), docs.columns, **changed)
+
+
 def op10(docs: DataFrame) -> DataFrame:
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), F.size("_drop").cast("long").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))

@@ -14,7 +14,8 @@ every task before anything is shuffled.
 
 Only DataFrame operations. Reruns agree: nothing depends on the order or number of partitions.
 
-Defined cases. Null text: size 0, takes nothing. Rows that agree in doc_id and size rank together. No rows: no rows.
+Defined cases. Null text: size 0, takes nothing. Rows that agree in doc_id and size rank together. Extra columns stay as they
+are in ``mixed``, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.packed import pack, unpack
 from lodestar.llm.text import n_words
 from lodestar.storage import settle
 
@@ -114,6 +116,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), total: float = 1.5, cap: float = 2.0
     return out.select(*docs.columns, "_size", "source_size", "target", "_copies")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    out = mix(pack(docs, "doc_id", "text", "source"), **options)
+    return unpack(out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).drop("_copy"), docs.columns)
+
+
 def op7(docs: DataFrame) -> DataFrame:
     out = mix(docs.select("doc_id", "text", "source"))
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lodestar.llm.components import components
+from lodestar.llm.packed import pack, unpack
 from lodestar.storage import new_path, remove, settle
 
 LAST = 9223372036854775807
@@ -161,8 +162,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFra
     groups = near_groups(docs, shingle, max_bits)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
     kept = kept.groupBy("_id").agg(F.min("_fp").alias("_fp")).select("_id")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return out.dropDuplicates(["doc_id"])
+    out = pack(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return unpack(out.dropDuplicates(["doc_id"]), docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,10 @@ from lodestar.storage import new_path, settle
 SCHEMA = "doc_id long, shard int, first long, n_tokens int, ids array<int>"
 #: Most pieces of text that a worker's memo holds, some 150 MB, half of them from before.
 MEMO = 800_000
+#: Texts that are encoded together.
+GROUP = 400
 CUT = re.compile(r"(?<=\S) (?=\S)")
+HEADS = "\r\n"
 LINE = re.compile(r"(?<=\S)\n(?=\S)")
 
 
@@ -55,7 +58,6 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
         self.marks = {m: self._one(m) for m in ",."}
         self.newline = self._one("\n")
 
@@ -66,64 +68,73 @@ class Encoder:
         return self._ids(text).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        """Put the ids of " " + piece into the memo."""
+        """Put the ids of pieces into the memo: of " " + piece, or where a line begins, of the line feed or nothing and
+        what follows the mark."""
+        memo = self.memo
+        heads = {p for p in pieces if p[0] in HEADS}
+        self._learn_heads(heads)
+        pieces = pieces.difference(heads)
         # letters and the one mark after them are words of their own to the pre-tokenizer
         marked = [p for p in pieces if p[-1] in self.marks and p[:-1].isalpha()]
-        pieces = pieces.difference(marked).union(q for p in marked if (q := p[:-1]) not in self.memo)
+        pieces = pieces.difference(marked).union(q for p in marked if (q := p[:-1]) not in memo)
         odd = [p for p in pieces if not p.isalpha() and (not self.plain.fullmatch(p) or any(s in p for s in self.special))]
         for p in odd:
-            self.memo[p] = self._one(" " + p)
+            memo[p] = self._one(" " + p)
         even = list(pieces.difference(odd))
         for k in range(0, len(even), 4096):
             part = even[k : k + 4096]
             ids = self._ids(" " + " ".join(part))
             at = np.flatnonzero(self.starts[ids])
             if len(at) != len(part):  # a piece that holds the space's own character
-                self.memo.update((p, self._one(" " + p)) for p in part)
+                memo.update((p, self._one(" " + p)) for p in part)
                 continue
             raw, ends = ids.tobytes(), np.append(at[1:], len(ids)) * 4
-            self.memo.update(zip(part, map(raw.__getitem__, map(slice, (at * 4).tolist(), ends.tolist())), strict=True))
-        self.memo.update((p, self.memo[p[:-1]] + self.marks[p[-1]]) for p in marked)
-
-    def learn_heads(self, pieces: set[str]) -> None:
-        """Put the ids of pieces that no space precedes into ``heads``."""
-        even = [p for p in pieces if p.isalpha()]
-        for p in pieces.difference(even):
-            self.heads[p] = self._one(p)
+            memo.update(zip(part, map(raw.__getitem__, map(slice, (at * 4).tolist(), ends.tolist())), strict=True))
+        memo.update((p, memo[p[:-1]] + self.marks[p[-1]]) for p in marked)
+
+    def _learn_heads(self, heads: set[str]) -> None:
+        found, bare = {}, {p[1:] for p in heads}
+        even = [p for p in bare if p.isalpha() or (self.plain.fullmatch(p) and not any(s in p for s in self.special))]
+        for p in bare.difference(even):
+            found[p] = self._one(p)
         for k in range(0, len(even), 4096):
             part = even[k : k + 4096]
             ids = self._ids("\n".join(part))
             at = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
             raw, begins, ends = ids.tobytes(), np.append(-1, at) * 4 + 4, np.append(at, len(ids)) * 4
-            self.heads.update(zip(part, map(raw.__getitem__, map(slice, begins.tolist(), ends.tolist())), strict=True))
+            found.update(zip(part, map(raw.__getitem__, map(slice, begins.tolist(), ends.tolist())), strict=True))
+        self.memo.update((p, (self.newline if p[0] == "\n" else b"") + found[p[1:]]) for p in heads)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) + len(self.heads) > MEMO // 2:  # what is met again moves from the old memo to the new one
-            self.old, self.memo, self.heads = self.memo, {}, {}
-        out, memo, heads, old = [], self.memo, self.heads, self.old
-        for k in range(0, len(texts), 200):
-            cut = [[pieces(line) for line in lines(t)] for t in texts[k : k + 200]]
-            new = {p for parts in cut for c in parts for p in c[1:] if p not in memo}
-            memo.update((p, old[p]) for p in new if p in old)
-            if new := {p for p in new if p not in memo}:
-                self.learn(new)
-            if new := {c[0] for parts in cut for c in parts if c[0] not in heads}:
-                self.learn_heads(new)
-            for parts in cut:
-                out.append(self.newline.join([heads[c[0]] + b"".join([memo[p] for p in c[1:]]) for c in parts]))
+        if len(self.memo) > MEMO // 2:  # what is met again moves from the old memo to the new one
+            self.old, self.memo = self.memo, {}
+        out, memo, old = [], self.memo, self.old
+        for k in range(0, len(texts), GROUP):
+            flat: list[str] = []
+            edges = [0]
+            for t in texts[k : k + GROUP]:
+                cut(t, flat)
+                edges.append(len(flat))
+            got = list(map(memo.get, flat))
+            if gone := [i for i, x in enumerate(got) if x is None]:
+                new = {flat[i] for i in gone}
+                memo.update((p, old[p]) for p in new if p in old)
+                self.learn({p for p in new if p not in memo})
+                for i in gone:
+                    got[i] = memo[flat[i]]
+            out += [b"".join(got[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         return out
 
 
-def lines(text: str) -> list[str]:
-    """``text`` cut at single newlines between characters that are not white space."""
-    found = text.split("\n")
-    return found if all(x and not x[0].isspace() and not x[-1].isspace() for x in found) else LINE.split(text)
-
-
-def pieces(line: str) -> list[str]:
-    """``line`` cut at single spaces between characters that are not white space."""
-    found = line.split(" ")
-    return found if line.split() == found else CUT.split(line)
+def cut(text: str, flat: list[str]) -> None:
+    """Add the pieces of ``text`` to ``flat``. The first of each line has a mark before it: of the first line, CR."""
+    clean = text.replace("\n", " ").split(" ") == text.split()
+    mark = "\r"
+    for line in text.split("\n") if clean else LINE.split(text):
+        pieces = line.split(" ") if clean else CUT.split(line)
+        pieces[0] = mark + pieces[0]
+        flat += pieces
+        mark = "\n"
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
@@ -133,8 +144,8 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
         encoder, shard, total = kept(f"encoder:{vocabulary}", lambda: Encoder(vocabulary)), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
+            for k in range(0, b.num_rows, GROUP):
+                part = b.slice(k, GROUP)
                 rows = [x + end for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
                 n = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) // 4
                 edge = np.concatenate([[0], np.cumsum(n)])
@@ -149,7 +160,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, s
     """Encode ``docs`` (doc_id, text) into ORC files under ``path``. Texts are shuffled once, by range of doc_id."""
     arrow_rows(docs.sparkSession, 1000)
     dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    options = {"orc.stripe.size": str(stripe_mb << 20), "orc.row.index.stride": str(row_stride), "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
+    options = {"orc.stripe.size": str(stripe_mb << 20), "orc.row.index.stride": str(row_stride), "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "LZ4"}
     encoded(dealt, vocabulary, end_id).write.options(**options).orc(path)
 
 
