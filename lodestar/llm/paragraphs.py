@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.ranges import let as _let
+from lodestar.llm.ranges import range_of
 from lodestar.storage import settle
 
 PIECE, CELLS, ROUNDS, RETRIES = 32, 30, 7, 3
@@ -41,11 +43,6 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)``, with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(101)).bitwiseAND(F.lit((1 << 40) - 1))
 
@@ -153,18 +150,6 @@ def fingerprint(keys: Column, cells: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.size(keys)), 6, "0"), F.array_join(hexed, "")))
 
 
-def _range_of(k: Column, cuts: list[int]) -> Column:
-    """The number of cuts below ``k``, found by groups of cuts first."""
-    if not cuts:
-        return F.lit(0)
-    size = int(len(cuts) ** 0.5) + 1
-    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
-    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
-    below = lambda xs: F.size(F.filter(xs, lambda c: c < k))
-    coarse = below(longs([g[-1] for g in groups[:-1]])) if len(groups) > 1 else F.lit(0)
-    return _let(coarse, lambda g: g * size + below(F.element_at(F.array(*[longs(x) for x in groups]), g + 1)))
-
-
 def with_next(docs: DataFrame, n_ranges: int | None = None, most_ranges: int = 2500) -> DataFrame:
     """(doc_id, text, _keys, _next, _next_keys): each text and its digests with those of the next document in descending
     doc_id order, of the last document the first one."""
@@ -173,7 +158,7 @@ def with_next(docs: DataFrame, n_ranges: int | None = None, most_ranges: int = 2
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_k", F.coalesce("doc_id", F.lit(FIRST)))
     cuts = rows.select(F.percentile_approx("_k", [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges)).first()[0] if n_ranges > 1 else []
     cuts = sorted(set(cuts or []))
-    ranged = rows.withColumn("_r", _range_of(F.col("_k"), cuts))
+    ranged = rows.withColumn("_r", range_of(F.col("_k"), cuts))
     tops = sorted(map(tuple, ranged.groupBy("_r").agg(F.max("_k")).collect()))  # one row for each range
     # the top row of each range also closes the range above it, that of the last range the first
     above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}

@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.kept import arrow_rows, kept
+from lodestar.llm.ranges import range_of
 from lodestar.storage import new_path, settle
 
 SCHEMA = "doc_id long, shard int, first long, n_tokens int, ids array<int>"
-#: Most pieces of text that a worker's memo holds, some 150 MB, half of them from before.
-MEMO = 800_000
+#: Most pieces that a worker's memo holds, some 120 MB; it starts anew beyond. Marks of pieces met once, by hash.
+MEMO, SEEN = 600_000, 1 << 23
 #: Texts that are encoded together.
 GROUP = 400
+FIRST = -(2**63)
 CUT = re.compile(r"(?<=\S) (?=\S)")
 HEADS = "\r\n"
 LINE = re.compile(r"(?<=\S)\n(?=\S)")
@@ -57,7 +59,7 @@ class Encoder:
         self.plain = re.compile(r"[^\s\x1c-\x1f]+")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
         self.marks = {m: self._one(m) for m in ",."}
         self.newline = self._one("\n")
 
@@ -67,16 +69,16 @@ class Encoder:
     def _one(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of pieces into the memo: of " " + piece, or where a line begins, of the line feed or nothing and
-        what follows the mark."""
-        memo = self.memo
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces: of " " + piece, or where a line begins, of the line feed or nothing and what follows the
+        mark."""
+        memo: dict[str, bytes] = {}
         heads = {p for p in pieces if p[0] in HEADS}
-        self._learn_heads(heads)
+        self._learn_heads(heads, memo)
         pieces = pieces.difference(heads)
         # letters and the one mark after them are words of their own to the pre-tokenizer
         marked = [p for p in pieces if p[-1] in self.marks and p[:-1].isalpha()]
-        pieces = pieces.difference(marked).union(q for p in marked if (q := p[:-1]) not in memo)
+        pieces = pieces.difference(marked).union(q for p in marked if (q := p[:-1]) not in self.memo)
         odd = [p for p in pieces if not p.isalpha() and (not self.plain.fullmatch(p) or any(s in p for s in self.special))]
         for p in odd:
             memo[p] = self._one(" " + p)
@@ -90,9 +92,10 @@ class Encoder:
                 continue
             raw, ends = ids.tobytes(), np.append(at[1:], len(ids)) * 4
             memo.update(zip(part, map(raw.__getitem__, map(slice, (at * 4).tolist(), ends.tolist())), strict=True))
-        memo.update((p, memo[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        memo.update((p, (memo.get(q) or self.memo[q]) + self.marks[p[-1]]) for p in marked for q in (p[:-1],))
+        return memo
 
-    def _learn_heads(self, heads: set[str]) -> None:
+    def _learn_heads(self, heads: set[str], memo: dict[str, bytes]) -> None:
         found, bare = {}, {p[1:] for p in heads}
         even = [p for p in bare if p.isalpha() or (self.plain.fullmatch(p) and not any(s in p for s in self.special))]
         for p in bare.difference(even):
@@ -103,38 +106,46 @@ class Encoder:
             at = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
             raw, begins, ends = ids.tobytes(), np.append(-1, at) * 4 + 4, np.append(at, len(ids)) * 4
             found.update(zip(part, map(raw.__getitem__, map(slice, begins.tolist(), ends.tolist())), strict=True))
-        self.memo.update((p, (self.newline if p[0] == "\n" else b"") + found[p[1:]]) for p in heads)
+        memo.update((p, (self.newline if p[0] == "\n" else b"") + found[p[1:]]) for p in heads)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO // 2:  # what is met again moves from the old memo to the new one
-            self.old, self.memo = self.memo, {}
-        out, memo, old = [], self.memo, self.old
+        if len(self.memo) > MEMO:
+            self.memo, self.seen = {}, bytearray(SEEN)
+        out, memo, seen = [], self.memo, self.seen
         for k in range(0, len(texts), GROUP):
             flat: list[str] = []
             edges = [0]
             for t in texts[k : k + GROUP]:
                 cut(t, flat)
                 edges.append(len(flat))
-            got = list(map(memo.get, flat))
-            if gone := [i for i, x in enumerate(got) if x is None]:
-                new = {flat[i] for i in gone}
-                memo.update((p, old[p]) for p in new if p in old)
-                self.learn({p for p in new if p not in memo})
+            got, gone, i = list(map(memo.get, flat)), [], -1
+            for _ in range(got.count(None)):
+                gone.append(i := got.index(None, i + 1))
+            if gone:
+                found = self.learn({flat[i] for i in gone})
                 for i in gone:
-                    got[i] = memo[flat[i]]
+                    got[i] = found[flat[i]]
+                for p, ids in found.items():  # what is met a second time is worth keeping
+                    h = hash(p) & (SEEN - 1)
+                    if seen[h]:
+                        memo[p] = ids
+                    else:
+                        seen[h] = 1
             out += [b"".join(got[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         return out
 
 
 def cut(text: str, flat: list[str]) -> None:
-    """Add the pieces of ``text`` to ``flat``. The first of each line has a mark before it: of the first line, CR."""
-    clean = text.replace("\n", " ").split(" ") == text.split()
-    mark = "\r"
-    for line in text.split("\n") if clean else LINE.split(text):
-        pieces = line.split(" ") if clean else CUT.split(line)
-        pieces[0] = mark + pieces[0]
-        flat += pieces
-        mark = "\n"
+    """Add the pieces of ``text`` to ``flat``. The first of each line has a mark before it: LF, of the first line CR."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in ("", " ", "\n") or not text.replace("\n", "").isprintable():
+        mark = "\r"
+        for line in LINE.split(text):
+            pieces = CUT.split(line)
+            pieces[0] = mark + pieces[0]
+            flat += pieces
+            mark = "\n"
+    else:  # its only white space is single spaces and newlines between other characters
+        flat += ("\r" + text.replace("\n", " \n")).split(" ")
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
@@ -159,7 +170,12 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, stripe_mb: int = 16, row_stride: int = 1000) -> None:
     """Encode ``docs`` (doc_id, text) into ORC files under ``path``. Texts are shuffled once, by range of doc_id."""
     arrow_rows(docs.sparkSession, 1000)
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # ranges by the ids alone: a range partitioner would read all texts to sample them
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.coalesce("doc_id", F.lit(FIRST))
+    cuts = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    keyed = docs.select("doc_id", "text", range_of(key, sorted(set(cuts or []))).cast("int").alias("_pid"))
+    dealt = keyed.repartitionById(n, "_pid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     options = {"orc.stripe.size": str(stripe_mb << 20), "orc.row.index.stride": str(row_stride), "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "LZ4"}
     encoded(dealt, vocabulary, end_id).write.options(**options).orc(path)
 
