@@ -8,8 +8,8 @@ over inclusion odds, (U / (1 - U)) / (p / (1 - p)), U being a hash of doc_id and
 the cut at which the next would pass the target, and the one other document that best fills what then wants: a sample of
 fixed size in words, by Pareto's order.
 
-The cut needs no global sort: ranks fall into bins, whose word sums (at most sources x bins of them) show the bin that
-holds the cut, and only that bin's documents are ranked one by one. A source that holds a third of all rows adds up in
+The cut needs no global sort: ranks fall into bins in groups, whose word sums show the group, and then the bin, that holds
+the cut, and only that bin's documents are ranked one by one. A source that holds a third of all rows adds up in
 every task before anything is shuffled.
 
 Only DataFrame operations. Reruns agree: nothing depends on the order or number of partitions.
@@ -68,6 +68,20 @@ def _inside() -> Column:
     return before.otherwise(F.coalesce(F.struct("_rank", _id_or_least(), "_size") <= F.col("_cut"), F.lit(False)))
 
 
+def _passing(rows: DataFrame) -> DataFrame:
+    """(_source, _at, _base): of each source, the ``_at`` in which the running sum of words passes _rest, and the sum before."""
+    sums = rows.groupBy("_source", "_at").agg(F.sum("_size").alias("_words"), F.first("_rest").alias("_rest"), F.first("_base").alias("_from"))
+    upto = Window.partitionBy("_source").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.col("_from") + F.coalesce(F.sum("_words").over(upto), F.lit(0)))
+    return sums.where((F.col("_base") < F.col("_rest")) & (F.col("_rest") <= F.col("_base") + F.col("_words"))).select("_source", "_at", "_base")
+
+
+def _on(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """``rows`` at the place of their source in ``at``, with its _base."""
+    at = at.select(F.col("_source").alias("_of"), F.col("_at").alias("_in"), "_base")
+    return rows.join(at, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_at") == F.col("_in"))).drop("_of", "_in")
+
+
 def _joined(left: DataFrame, right: DataFrame, n_right: int) -> DataFrame:
     right = F.broadcast(right) if n_right <= BROADCAST_ROWS else right
     return left.join(right.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
@@ -88,12 +102,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), total: float = 1.5, cap: float = 2.0
     rank = odds / (1 + odds)
 
     ranked = _joined(slim, targets, n).withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") * bins)).where("_size > 0")
-    sums = ranked.groupBy("_source", "_bin").agg(F.sum("_size").alias("_words"), F.first("_rest").alias("_rest"))
-    upto = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_words").over(upto), F.lit(0)))
-    # the one bin in which the running sum passes the rest; none if nothing is left to sample
-    holds = sums.where((F.col("_base") < F.col("_rest")) & (F.col("_rest") <= F.col("_base") + F.col("_words"))).select("_source", "_bin", "_base")
-    edge = ranked.join(holds.select(F.col("_source").alias("_of"), F.col("_bin").alias("_in"), "_base"), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bin") == F.col("_in"))).drop("_of", "_in")
+    # first the group of bins, then the bin in it, in which the running sum passes the rest; none if nothing is to be sampled
+    group = int(bins**0.5)
+    coarse = _passing(ranked.withColumn("_at", F.floor(F.col("_bin") / group)).withColumn("_base", F.lit(0)))
+    fine = _passing(_on(ranked.withColumn("_at", F.floor(F.col("_bin") / group)), coarse).withColumn("_at", F.col("_bin")))
+    holds = fine.withColumnRenamed("_at", "_bin")
+    edge = _on(ranked.withColumn("_at", F.col("_bin")), fine)
     within = Window.partitionBy("_source").orderBy("_rank", "_id", "_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     peers = edge.groupBy("_source", "_rank", "_id", "_size", "_base", "_rest").agg(F.sum("_size").alias("_here"))
     peers = peers.withColumn("_upto", F.col("_base") + F.sum("_here").over(within))

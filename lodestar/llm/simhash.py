@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lodestar.llm.components import components
+from lodestar.llm.kept import arrow_rows
 from lodestar.llm.packed import pack, unpack
 from lodestar.storage import new_path, remove, settle
 
@@ -71,6 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
+    arrow_rows(docs.sparkSession, 500)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 

@@ -37,7 +37,7 @@ from lodestar.storage import settle
 TRAIN_ROWS, FEATURES, LETTERS = 30_000, 200_000, 40
 PRIOR, DRIFT, FLOOR = 10.0, 1.0, 0.3
 WORDS = re.compile(r"[^\W\d_]+")
-MEMO = 400_000
+MEMO = 250_000
 
 
 def tokens(text: str | None) -> list[str]:
