@@ -10,17 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.sam import region_key, shown_contig
+from lodestar.storage import sized
 
 ORDER = ["pos", "rname", "qname", "flag"]
 
 
 def plan(counts: DataFrame, partitions: int) -> DataFrame:
     """(rname, n, parts, acc) for ``counts`` (rname, n): partitions of each contig, and those before it by name."""
-    total = counts.agg(F.floor(F.floor(F.sum("n") / partitions) * F.lit(11) / 10).alias("expected"))
-    sized = counts.crossJoin(F.broadcast(total))  # one row
-    parts = F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(F.lit(1), F.col("expected")))).cast("bigint")
+    total = F.sum("n").over(Window.partitionBy())  # over one row for each contig
+    expected = F.greatest(F.lit(1), F.floor(F.floor(total / partitions) * F.lit(11) / 10))
+    parts = F.greatest(F.lit(1), F.floor(F.col("n") / expected)).cast("bigint")
     before = Window.orderBy("rname").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.select("rname", "n", parts.alias("parts")).withColumn("acc", F.coalesce(F.sum("parts").over(before), F.lit(0)))
+    return counts.select("rname", "n", parts.alias("parts")).withColumn("acc", F.coalesce(F.sum("parts").over(before), F.lit(0)))
 
 
 def total_partitions(planned: DataFrame, partitions: int) -> int:
@@ -29,14 +30,14 @@ def total_partitions(planned: DataFrame, partitions: int) -> int:
 
 def assign(reads: DataFrame, planned: DataFrame) -> DataFrame:
     """``reads`` with pid by plan; a contig that is not planned goes to 1."""
-    small = planned.select("rname", "parts", "acc")
+    small = sized(planned.select("rname", "parts", "acc"), "plan")
     out = reads.join(small, "rname", "left").withColumn("pid", F.coalesce(F.pmod("pos", "parts") + F.col("acc"), F.lit(1)).cast("int"))
     return out.drop("parts", "acc")
 
 
 def assign_regions(reads: DataFrame, contigs: DataFrame, partitions: int, kind: str = "coarse") -> DataFrame:
     """``reads`` with region_key, and pid by its remainder."""
-    keyed = reads.join(contigs.select("rname", "idx"), "rname", "left")
+    keyed = reads.join(sized(contigs.select("rname", "idx"), "contigs"), "rname", "left")
     keyed = keyed.withColumn("region_key", region_key(F.col("idx"), F.col("pos"), kind)).drop("idx")
     return keyed.withColumn("pid", F.pmod("region_key", F.lit(partitions)).cast("int"))
 

@@ -49,5 +49,5 @@ def nearest_per_label(vectors: DataFrame, query: list[float]) -> DataFrame:
 def leaf_radius_range(vectors: DataFrame, query: list[float], leaf: int, k: int) -> DataFrame:
     """All vectors nearer than the farthest one of the query's own leaf (a label stands for a leaf)."""
     far = distances(vectors, query)
-    radius = far.where(F.col("label") == leaf).orderBy(F.col("dist").desc(), "vec_id").limit(k).agg(F.max("dist").alias("radius"))
-    return far.crossJoin(F.broadcast(radius)).where("dist < radius").drop("radius")  # one row
+    radius = far.where(F.col("label") == leaf).orderBy(F.col("dist").desc(), "vec_id").limit(k).agg(F.max("dist")).first()[0]
+    return far.where(F.col("dist") < F.lit(radius))

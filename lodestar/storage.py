@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,12 @@ def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """``df`` as a written table, to be broadcast if it has ``most`` rows at most, which is counted first."""
+    table = settle(df, name)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of any file system that Spark knows."""
     jvm = spark._jvm
