@@ -263,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
 
 
 def score_docs(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, score, passages) of ``docs`` (doc_id, text): the passages are counts of significant toxic ones."""
+    """(doc_id, score) of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     arrow_rows(spark, 500)
     lexicon = scorer.lexicon
