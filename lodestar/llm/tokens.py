@@ -33,10 +33,10 @@ from lodestar.llm.ranges import range_of
 from lodestar.storage import new_path, settle
 
 SCHEMA = "doc_id long, shard int, first long, n_tokens int, ids array<int>"
-#: Most pieces that a worker's memo holds, some 120 MB; it starts anew beyond. Marks of pieces met once, by hash.
-MEMO, SEEN = 600_000, 1 << 23
+#: Most pieces that a worker's memo holds, some 100 MB; it starts anew beyond. Marks of pieces met once, by hash.
+MEMO, SEEN = 500_000, 1 << 23
 #: Texts that are encoded together.
-GROUP = 400
+GROUP = 1000
 FIRST = -(2**63)
 CUT = re.compile(r"(?<=\S) (?=\S)")
 HEADS = "\r\n"
@@ -125,9 +125,9 @@ class Encoder:
                 found = self.learn({flat[i] for i in gone})
                 for i in gone:
                     got[i] = found[flat[i]]
-                for p, ids in found.items():  # what is met a second time is worth keeping
+                for p, ids in found.items():  # when the memo is half full, only what is met a second time is worth keeping
                     h = hash(p) & (SEEN - 1)
-                    if seen[h]:
+                    if seen[h] or len(memo) < MEMO // 2:
                         memo[p] = ids
                     else:
                         seen[h] = 1
