@@ -65,15 +65,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, row, fp) of every row of ``docs`` (doc_id, text); ``row`` is a hash of its text."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "row", "fp"])
 
     arrow_rows(docs.sparkSession, 500)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -141,7 +141,7 @@ def _flip_array(bits: int) -> str:
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, list_most: int = 256) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, row, fp, component_id) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     fps = settle(fingerprints(docs, shingle), "fps")
     did = F.coalesce("doc_id", F.lit(LAST))
@@ -155,17 +155,19 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, list_most:
     copies = nodes.where("n > 1").join(named.select("fp"), "fp", "left_anti").select("fp", F.col("node").alias("least"))
     named = settle(named.unionAll(copies), "groups")
     remove(spark, nodes_path)
-    out = fps.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("least", did).alias("component_id"))
+    out = fps.join(named, "fp", "left").select("doc_id", "row", "fp", F.coalesce("least", did).alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("component_id") < LAST, F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` of which each group keeps its least doc_id (one row of it, if it repeats)."""
-    groups = near_groups(docs, shingle, max_bits)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    kept = kept.groupBy("_id").agg(F.min("_fp").alias("_fp")).select("_id")
-    out = pack(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return unpack(out.dropDuplicates(["doc_id"]), docs.columns)
+    groups = settle(near_groups(docs, shingle, max_bits), "membership")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("row").alias("_row"))
+    packed = pack(docs, "doc_id", "text")
+    out = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))).drop("_id", "_row")
+    if not groups.groupBy("doc_id", "row").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])  # it shuffles texts again, which only repeated rows call for
+    return unpack(out, docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:

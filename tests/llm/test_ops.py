@@ -191,6 +191,8 @@ def test_simhash_odd_cases(spark, odd, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
     assert kept.where("doc_id in (0, 1, 2, 3)").count() == 1 and kept.where("doc_id in (4, 5)").count() == 1
+    two = spark.createDataFrame([(3, "near three"), (5, "near three"), (5, "something else of its own")], "doc_id bigint, text string")
+    assert sorted(r["text"] for r in simhash.one_of_each(two).collect()) == ["near three", "something else of its own"]
     assert simhash.fingerprint("A b") == simhash.fingerprint("a\tB")
 
 
