@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,11 @@ from lodestar.storage import new_path, settle
 SCHEMA = "doc_id long, shard int, first long, n_tokens int, ids array<int>"
 #: Most pieces that a worker's memo holds, some 100 MB; it starts anew beyond. Marks of pieces met once, by hash.
 MEMO, SEEN = 500_000, 1 << 23
-#: Texts that are encoded together.
-GROUP = 1000
+#: Bytes of texts that are encoded together.
+GROUP = 8 << 20
+SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: White space that is not single between other characters, or is neither space nor newline; an empty text.
+ODD = "  |\n\n| \n|\n |^[ \n]|[ \n]$|^$|[\t\r\x0b\x0c\x1c-\x1f" + "".join(map(chr, SPACES)) + "]"
 FIRST = -(2**63)
 CUT = re.compile(r"(?<=\S) (?=\S)")
 HEADS = "\r\n"
@@ -108,32 +112,81 @@ class Encoder:
             found.update(zip(part, map(raw.__getitem__, map(slice, begins.tolist(), ends.tolist())), strict=True))
         memo.update((p, (self.newline if p[0] == "\n" else b"") + found[p[1:]]) for p in heads)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of ``pieces``, from the memo as far as it goes."""
         if len(self.memo) > MEMO:
             self.memo, self.seen = {}, bytearray(SEEN)
-        out, memo, seen = [], self.memo, self.seen
-        for k in range(0, len(texts), GROUP):
+        memo, seen = self.memo, self.seen
+        got, gone, i = list(map(memo.get, pieces)), [], -1
+        for _ in range(got.count(None)):
+            gone.append(i := got.index(None, i + 1))
+        if gone:
+            found = self.learn({pieces[i] for i in gone})
+            for i in gone:
+                got[i] = found[pieces[i]]
+            for p, ids in found.items():  # when the memo is half full, only what is met a second time is worth keeping
+                h = hash(p) & (SEEN - 1)
+                if seen[h] or len(memo) < MEMO // 2:
+                    memo[p] = ids
+                else:
+                    seen[h] = 1
+        return got
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
             flat: list[str] = []
-            edges = [0]
-            for t in texts[k : k + GROUP]:
-                cut(t, flat)
-                edges.append(len(flat))
-            got, gone, i = list(map(memo.get, flat)), [], -1
-            for _ in range(got.count(None)):
-                gone.append(i := got.index(None, i + 1))
-            if gone:
-                found = self.learn({flat[i] for i in gone})
-                for i in gone:
-                    got[i] = found[flat[i]]
-                for p, ids in found.items():  # when the memo is half full, only what is met a second time is worth keeping
-                    h = hash(p) & (SEEN - 1)
-                    if seen[h] or len(memo) < MEMO // 2:
-                        memo[p] = ids
-                    else:
-                        seen[h] = 1
-            out += [b"".join(got[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+            cut(t, flat)
+            out.append(b"".join(self.pieces(flat)))
         return out
 
+    def column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, ``end_id`` after each, and each one's number of them.
+
+        Texts whose only white space is single spaces and newlines between other characters are cut and their distinct
+        pieces found by Arrow; what is left to Python is one look-up for each distinct piece of a group.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        size, parts = np.zeros(len(texts), np.int64), {}
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = np.frombuffer(self.encode([texts[i].as_py()])[0], "<u4")
+            size[i] = len(parts[i])
+        plain = np.flatnonzero(~odd)
+        values = np.zeros(0, np.uint32)
+        if len(plain):
+            marked = pc.binary_join_element_wise(pa.scalar("\r"), pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), pa.scalar(""))
+            lists = pc.split_pattern(marked, " ")
+            found = lists.flatten().dictionary_encode()
+            got, index = self.pieces(found.dictionary.to_pylist()), found.indices.to_numpy()
+            n = np.fromiter(map(len, got), np.int32, len(got)) // 4
+            first, each = (np.cumsum(n, dtype=np.int32) - n)[index], n[index]
+            ends = np.append(0, np.cumsum(each, dtype=np.int64))
+            at = np.repeat((first - ends[:-1]).astype(np.int32), each)
+            at += np.arange(ends[-1], dtype=np.int32)
+            values = np.frombuffer(b"".join(got), "<u4")[at]
+            size[plain] = np.diff(ends[lists.offsets.to_numpy()])
+        begin = np.cumsum(size + 1) - size - 1
+        out = np.full(int(size.sum()) + len(size), end_id, np.uint32)
+        mine = size[plain]
+        out[np.repeat(begin[plain] - (np.cumsum(mine) - mine), mine) + np.arange(len(values))] = values
+        for i, ids in parts.items():
+            out[begin[i] : begin[i] + size[i]] = ids
+        return out, size + 1
+
+
+def groups(texts: pa.Array, most: int = GROUP):
+    """Slices (first, rows) of a column with some ``most`` bytes each, a row at least."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if total and total + n > most:
+            yield first, i - first
+            first, total = i, 0
+        total += n
+    if len(size) > first:
+        yield first, len(size) - first
+
 
 def cut(text: str, flat: list[str]) -> None:
     """Add the pieces of ``text`` to ``flat``. The first of each line has a mark before it: LF, of the first line CR."""
@@ -153,15 +206,13 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
 
     def run(batches):
         encoder, shard, total = kept(f"encoder:{vocabulary}", lambda: Encoder(vocabulary)), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, GROUP):
-                part = b.slice(k, GROUP)
-                rows = [x + end for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                n = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) // 4
-                edge = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(edge[-1]), [None, pa.py_buffer(b"".join(rows))]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(rows), shard, np.int32)), pa.array(total + edge[:-1]), pa.array(n.astype(np.int32)), ids], names=["doc_id", "shard", "first", "n_tokens", "ids"])
+            for k, rows in groups(b.column(1)):
+                part = b.slice(k, rows)
+                ids, n = encoder.column(part.column(1), end_id)
+                edge = np.append(0, np.cumsum(n))
+                ids = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(rows, shard, np.int32)), pa.array(total + edge[:-1]), pa.array(n.astype(np.int32)), ids], names=["doc_id", "shard", "first", "n_tokens", "ids"])
                 total += int(edge[-1])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -169,7 +220,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, stripe_mb: int = 16, row_stride: int = 1000) -> None:
     """Encode ``docs`` (doc_id, text) into ORC files under ``path``. Texts are shuffled once, by range of doc_id."""
-    arrow_rows(docs.sparkSession, 1000)
+    arrow_rows(docs.sparkSession, 2000)
     # ranges by the ids alone: a range partitioner would read all texts to sample them
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce("doc_id", F.lit(FIRST))
