@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from lodestar.llm.kept import arrow_rows, kept
 
 #: Most words and fragments in a worker's memos; they start anew beyond.
-MEMO = 250_000
+MEMO = 200_000
 #: The pre-tokenizer's pattern for words, a fixed value of the format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White space as the pre-tokenizer has it.

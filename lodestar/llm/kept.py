@@ -9,13 +9,22 @@ from collections.abc import Callable
 
 def kept(name: str, make: Callable[[], object]):
     """The object of that name in this process, made at its first use. Functions travel by value, so module globals
-    would be made anew for each task."""
+    would be made anew for each task. What a process kept under another name goes: one operator's memory at a time."""
     holder = sys.modules.setdefault("_lodestar_kept", types.ModuleType("_lodestar_kept"))
     if not hasattr(holder, name):
+        forget()
         setattr(holder, name, make())
     return getattr(holder, name)
 
 
+def forget() -> None:
+    """Drop all that this process keeps; operators that keep nothing call it in their tasks."""
+    holder = sys.modules.get("_lodestar_kept")
+    for name in [k for k in vars(holder) if not k.startswith("__")] if holder else []:
+        delattr(holder, name)
+
+
 def arrow_rows(spark, rows: int) -> None:
-    """Rows in an Arrow batch from now on. Texts can be long: small batches bound a worker's memory."""
+    """Rows, and bytes, in an Arrow batch from now on. Texts can be long: small batches bound a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

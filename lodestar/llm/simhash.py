@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lodestar.llm.components import components
-from lodestar.llm.kept import arrow_rows
+from lodestar.llm.kept import arrow_rows, forget
 from lodestar.llm.packed import pack, unpack
 from lodestar.storage import new_path, remove, settle
 
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, row, fp) of every row of ``docs`` (doc_id, text); ``row`` is a hash of its text."""
 
     def run(batches):
+        forget()
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "row", "fp"])

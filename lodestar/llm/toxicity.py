@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.kept import arrow_rows
+from lodestar.llm.kept import arrow_rows, forget
 from lodestar.storage import settle
 
 TRAIN_ROWS, FEATURES, LETTERS = 30_000, 200_000, 40
 PRIOR, DRIFT, FLOOR = 10.0, 1.0, 0.3
 WORDS = re.compile(r"[^\W\d_]+")
-MEMO = 250_000
+MEMO = 150_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -191,6 +191,7 @@ def _counts(training: DataFrame) -> dict[int, tuple[Counter, int, int]]:
     """For each fold: toxic and clean documents that hold each feature, of the most significant ones, and in all."""
 
     def run(batches):
+        forget()
         for b in batches:
             held: dict[tuple[str, int, int], int] = Counter()
             for text, y, fold in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
@@ -270,6 +271,7 @@ def score_docs(docs: DataFrame, scorer: Scorer) -> DataFrame:
     sent = spark.sparkContext.broadcast((lexicon.counts, lexicon.base, scorer.rate, scorer.log_k, scorer.fit))
 
     def run(batches):
+        forget()
         counts, base, *rest = sent.value
         own = Lexicon(counts, 0, 1)
         own.base, own.zero = base, math.log(base / (1 - base))
@@ -293,6 +295,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        forget()
         counts, base, *rest = sent.value
         own = Lexicon(counts, 0, 1)
         own.base, own.zero = base, math.log(base / (1 - base))
