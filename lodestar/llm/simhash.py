@@ -142,7 +142,8 @@ def _flip_array(bits: int) -> str:
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, list_most: int = 256) -> DataFrame:
-    """(doc_id, row, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, row, fp, component_id, group) of every row of ``docs`` (doc_id, text). ``group`` is the least fingerprint of
+    the row's group; unlike component_id it tells groups apart whose rows share a doc_id, or have none."""
     spark = docs.sparkSession
     fps = settle(fingerprints(docs, shingle), "fps")
     did = F.coalesce("doc_id", F.lit(LAST))
@@ -152,23 +153,24 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, list_most:
     # of fingerprints in a group, the least document that holds one of them
     held = groups.withColumnRenamed("node", "fp").join(nodes.select("fp", "node"), "fp")
     least = held.groupBy("component").agg(F.min("node").alias("least"))
-    named = held.join(least, "component").select("fp", "least")
-    copies = nodes.where("n > 1").join(named.select("fp"), "fp", "left_anti").select("fp", F.col("node").alias("least"))
+    named = held.join(least, "component").select("fp", "least", "component")
+    copies = nodes.where("n > 1").join(named.select("fp"), "fp", "left_anti").select("fp", F.col("node").alias("least"), F.col("fp").alias("component"))
     named = settle(named.unionAll(copies), "groups")
     remove(spark, nodes_path)
-    out = fps.join(named, "fp", "left").select("doc_id", "row", "fp", F.coalesce("least", did).alias("component_id"))
+    out = fps.join(named, "fp", "left").select("doc_id", "row", "fp", F.coalesce("least", did).alias("component_id"), F.coalesce("component", "fp").alias("group"))
     return out.withColumn("component_id", F.when(F.col("component_id") < LAST, F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` of which each group keeps its least doc_id (one row of it, if it repeats)."""
-    groups = settle(near_groups(docs, shingle, max_bits), "membership")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("row").alias("_row"))
-    packed = pack(docs, "doc_id", "text")
-    out = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))).drop("_id", "_row")
+    """The rows of ``docs`` of which each group keeps its least (doc_id, row), null ids last (one row of it, if it repeats)."""
+    groups = settle(near_groups(docs, shingle, max_bits).select("doc_id", "row", "group"), "membership")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    kept = groups.groupBy("group").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.row").alias("_row"))
+    packed = pack(docs, "doc_id", "text").withColumn("_hash", F.xxhash64("text"))
+    out = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row"))).drop("_id", "_row")
     if not groups.groupBy("doc_id", "row").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])  # it shuffles texts again, which only repeated rows call for
-    return unpack(out, docs.columns)
+        out = out.dropDuplicates(["doc_id", "_hash"])  # it shuffles texts again, which only repeated rows call for
+    return unpack(out.drop("_hash"), docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -196,6 +196,13 @@ def test_simhash_odd_cases(spark, odd, none):
     assert simhash.fingerprint("A b") == simhash.fingerprint("a\tB")
 
 
+def test_one_of_each_keeps_unlinked_texts(spark):
+    texts = ["rivers rise in spring when snow melts", "a clock needs winding once a week", "bread is baked before the sun is up"]
+    rows = [(5, texts[0]), (5, texts[1]), *[(None, f"{t} and so on") for t in texts], (None, f"{texts[0]} and so on"), (8, texts[1]), (5, texts[1])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, rows[:5]))
+
+
 # 4
 
 
