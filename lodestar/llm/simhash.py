@@ -35,6 +35,7 @@ from xxhash import xxh64_intdigest
 
 from lodestar.llm.components import components
 from lodestar.llm.kept import arrow_rows, forget
+from lodestar.llm.likeness import like_groups
 from lodestar.llm.packed import pack, unpack
 from lodestar.storage import new_path, remove, settle
 
@@ -161,9 +162,9 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, list_most:
     return out.withColumn("component_id", F.when(F.col("component_id") < LAST, F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` of which each group keeps its least (doc_id, row), null ids last (one row of it, if it repeats)."""
-    groups = settle(near_groups(docs, shingle, max_bits).select("doc_id", "row", "group"), "membership")
+def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` of which each group of texts alike by 0.8 keeps its least (doc_id, row), null ids last (one row of it, if it repeats)."""
+    groups = settle(like_groups(docs, shingle), "membership")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     kept = groups.groupBy("group").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.row").alias("_row"))
     packed = pack(docs, "doc_id", "text").withColumn("_hash", F.xxhash64("text"))

@@ -10,7 +10,7 @@ import public_tokenizers as public
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, counts, forest, langid, line_dedup, mix, oracle, paragraphs, queries, simhash, tokens, toxicity
+from lodestar.llm import bpe, counts, forest, langid, likeness, line_dedup, mix, oracle, paragraphs, queries, simhash, tokens, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h1 string, _drop string, fp string"
@@ -203,6 +203,44 @@ def test_one_of_each_keeps_unlinked_texts(spark):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, rows[:5]))
 
 
+@pytest.mark.parametrize("most", [256, 3])
+def test_like_groups(spark, most):
+    rnd = random.Random(6)
+    base = [[f"w{rnd.randrange(300)}" for _ in range(n)] for n in (4, 60, 120, 400)]
+    rows = []
+    for words in base:
+        for edits in (0, 1, 2, 3, 4, 6, 8, 12, 12, 3):
+            new = list(words)
+            for k in rnd.sample(range(len(new)), min(edits, len(new))):
+                new[k] = f"v{rnd.randrange(300)}"
+            rows.append((len(rows), " ".join(new)))
+    rows += [(len(rows) + k, t) for k, t in enumerate([None, "", "the same words here", "The  same WORDS here"])]
+    sets = [set(likeness.shingles(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    few = far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) * 5 >= len(a | b) * 4:
+                root[top(i)] = top(j)
+                bits = (simhash.fingerprint(rows[i][1], 5) ^ simhash.fingerprint(rows[j][1], 5)).bit_count()
+                few, far = few + (bits <= 4), far + (bits > 4)
+    assert few and far  # more than four bits apart, too
+    got, want = {}, {}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in likeness.like_groups(docs, most=most, list_most=most).collect():
+        got.setdefault(r["group"], set()).add(r["doc_id"])
+    for i in range(len(rows)):
+        want.setdefault(top(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(map(min, want.values()))
+
+
 # 4
 
 
