@@ -12,8 +12,8 @@ comes from clean texts' best segments. lambda s - ln(K n) is a segment's evidenc
 sum over all significant ones, go into a logistic fit on documents that the counts have not seen (two folds).
 
 Bounds: ``TRAIN_ROWS`` labelled documents at most are learned from, chosen by a hash of doc_id, spread over the whole
-table; at most ``FEATURES`` features are collected and broadcast, each of ``LETTERS`` letters at most. Every text is
-scored whole.
+table; at most ``FEATURES`` features are collected and broadcast, each of ``LETTERS`` letters at most: of longer tokens
+only the prefixes are learned and scored. Every text is scored whole.
 
 Defined cases. Null or empty text: no tokens, no segments, the score of a text without evidence. Labels that are null or
 contradict another of the same doc_id: the larger counts, null ones do not. No labels of one kind: every score is the
@@ -49,8 +49,8 @@ def held_out(doc_id="doc_id"):
 
 
 def prefixes(word: str) -> list[str]:
-    """Features of a word, the shortest first; prefixes are marked by a caret."""
-    return [f"^{word[:k]}" for k in (4, 5) if len(word) > k] + [word]
+    """Features of a word, the shortest first; prefixes are marked by a caret. A longer word than LETTERS has prefixes only."""
+    return [f"^{word[:k]}" for k in (4, 5) if len(word) > k] + [word] * (len(word) <= LETTERS)
 
 
 def segments(scores: list[float]) -> list[tuple[float, int, int]]:
@@ -84,10 +84,9 @@ class Lexicon:
 
     def score(self, word: str) -> float:
         share = self.base
-        if len(word) <= LETTERS:
-            for f in prefixes(word):
-                t, c = self.counts.get(f, (0, 0))
-                share = (t + PRIOR * share) / (t + c + PRIOR)
+        for f in prefixes(word):
+            t, c = self.counts.get(f, (0, 0))
+            share = (t + PRIOR * share) / (t + c + PRIOR)
         value = self.memo[word] = math.log(share / (1 - share)) - self.zero - DRIFT
         return value
 
@@ -195,7 +194,7 @@ def _counts(training: DataFrame) -> dict[int, tuple[Counter, int, int]]:
         for b in batches:
             held: dict[tuple[str, int, int], int] = Counter()
             for text, y, fold in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = {w for w in tokens(text) if len(w) <= LETTERS}
+                words = set(tokens(text))
                 held.update((f, y, fold) for f in {f for w in words for f in prefixes(w)})
             keys = list(held)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], names=["feature", "y", "fold", "n"])

@@ -410,6 +410,14 @@ def test_toxicity(spark, odd, none):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_long_tokens_count_by_their_prefixes(spark):
+    long = "idiot" * 20
+    training = spark.createDataFrame([(k, f"{long} a{k}" if k % 2 else "calm words", k % 2, k // 2 % 2) for k in range(40)], "doc_id bigint, text string, y int, fold int")
+    held, toxic, clean = toxicity._counts(training)[None]
+    assert held["^idio"] == held["^idiot"] == (20, 0) and long not in held
+    assert toxicity.Lexicon(held, toxic, clean).score(long) > -toxicity.DRIFT
+
+
 # 9
 
 
