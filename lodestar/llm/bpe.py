@@ -65,7 +65,7 @@ class WordBpe:
         self.space = re.compile(SPACE)
         self.odd_space = re.compile("[\x1c-\x1f]")
         self.fragments: dict[str, list[str]] = {}
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
         self.strings = {i: t.encode() for t, i in (self.vocab | added).items()}
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -117,16 +117,15 @@ class WordBpe:
         part = letters[low:]
         return out + self.merge([*part[:-1], part[-1] + self.end])
 
-    def _spell(self, letters: str) -> tuple[bytes, bytes]:
+    def _spell(self, letters: str) -> bytes:
         tokens = self.word(letters)
         try:
-            return b"".join([self.raw[t] for t in tokens]), " ".join(tokens).encode()
+            return b"".join([self.raw[t] for t in tokens])
         except KeyError:  # a byte that the vocabulary lacks gives no token
-            tokens = [t for t in tokens if t in self.raw]
-            return b"".join([self.raw[t] for t in tokens]), " ".join(tokens).encode()
+            return b"".join([self.raw[t] for t in tokens if t in self.raw])
 
-    def learn(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids and decoded string of a chunk without white space, kept in the memo. Its words are kept too."""
+    def learn(self, chunk: str) -> bytes:
+        """Ids of a chunk without white space, kept in the memo. Its words are kept too."""
         letters = chunk.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         if chunk.isalpha() and max(chunk) < "\u0250":
             found = self._spell(letters)
@@ -136,20 +135,19 @@ class WordBpe:
                 if (part := self.memo.get(w)) is None:
                     part = self.memo[w] = self._spell(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
                 parts.append(part)
-            found = b"".join([i for i, _ in parts]), b" ".join([d for _, d in parts if d])
+            found = b"".join(parts)
         self.memo[chunk] = found
         return found
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
+    def ids(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if len(self.memo) + len(self.fragments) > MEMO:
             self.memo.clear()
             self.fragments.clear()
-        ids, strings, memo = [], [], self.memo
+        ids, memo = [], self.memo
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 ids.append(np.array([self.added[part]], dtype="<u4").tobytes())
-                strings.append(part.encode())
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
@@ -157,14 +155,17 @@ class WordBpe:
             chunks = self.space.split(part) if self.odd_space.search(part) else part.split()
             for c in chunks:
                 if c:
-                    i, d = memo.get(c) or self.learn(c)
-                    ids.append(i)
-                    if d:
-                        strings.append(d)
-        return b"".join(ids), b" ".join(strings)
+                    ids.append(memo.get(c) or self.learn(c))
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> bytes:
-        return b" ".join([self.strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        """The text of ids, in UTF-8."""
+        return b" ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def encode(self, text: str) -> tuple[bytes, bytes]:
+        """Ids, and the text that they decode to."""
+        ids = self.ids(text)
+        return ids, self.decode(ids)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, digest: bool = False) -> DataFrame:

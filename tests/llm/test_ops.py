@@ -451,6 +451,18 @@ def test_bpe_is_exact():
         assert decoded.decode() == tok.decode(ids, skip_special_tokens=False) and own.decode(got) == decoded
 
 
+def test_decoded_text_is_made_of_ids(spark, tmp_path):
+    import json
+
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"] = [{**spec["added_tokens"][0], "content": "<|other|>", "id": spec["model"]["vocab"]["the</w>"]}]
+    path = tmp_path / "renamed.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    row = bpe.encode_decode(spark.createDataFrame([(1, "the")], "doc_id bigint, text string"), str(path)).first()
+    assert row["ids"] == [spec["model"]["vocab"]["the</w>"]] and row["decoded"] == "<|other|>"
+
+
 # 10
 
 
