@@ -10,7 +10,7 @@ once, one bit at a time, from the longest match in any tree, and gathers the ran
 rows have been met (with repeats over trees). Those candidates are scored in double precision on the original vectors;
 the best ``k`` of each block are merged. Vectors that are nearly at random, as embeddings of unrelated things are, have
 neighbours hardly nearer than other rows, and only so many visits give a recall of 0.9 there; the default is measured in
-the tests.
+the tests. A block whose ascent meets no more than ``k`` rows is scored whole.
 
 Blocks hold at most ``block_rows`` rows and query chunks ``chunk_rows``; each pair is a task of its own, rebuilt anywhere if
 an executor is lost. No row is left out of the index.
@@ -34,8 +34,6 @@ from lodestar.storage import settle
 
 TREES, BITS, VISITS = 24, 32, 1.2
 BLOCKS, BLOCK_ROWS, CHUNK_ROWS = 8, 65_536, 4096
-#: In a block of so few rows the ascent goes on to the root, so that few candidates are all found.
-SMALL = 500
 
 
 class Forest:
@@ -56,10 +54,10 @@ class Forest:
         weights = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.int64)
         return (side @ weights).T.copy()
 
-    def candidates(self, q: np.ndarray, visits: float = VISITS):
-        """For each query, the mask of the rows that its synchronous ascent meets."""
+    def candidates(self, q: np.ndarray, visits: float = VISITS, least: int = 0):
+        """For each query, the mask of the rows that its synchronous ascent meets; all rows if they are below ``least``."""
         n = len(self.x)
-        need = (visits if n > SMALL else len(self.sorted)) * n
+        need = visits * n
         codes = self._codes(np.column_stack([q, np.zeros(len(q))]))
         low, high = np.zeros((len(codes), len(q)), np.int64), np.full((len(codes), len(q)), 0)
         done = np.zeros(len(q), bool)
@@ -77,6 +75,8 @@ class Forest:
             mask = np.zeros(n, bool)
             for t in range(len(codes)):
                 mask[self.order[t, low[t, i] : high[t, i]]] = True
+            if mask.sum() < least:
+                mask[:] = True
             yield mask
 
     def search(self, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, visits: float = VISITS):
@@ -85,7 +85,7 @@ class Forest:
         for a in range(0, len(q), step):
             part, part_ids = q[a : a + step], q_ids[a : a + step]
             about = part @ self.x.T  # places candidates; the last digits depend on the place
-            for i, mask in enumerate(self.candidates(part, visits)):
+            for i, mask in enumerate(self.candidates(part, visits, k + 1)):
                 at = np.flatnonzero(mask & (ids != part_ids[i]))
                 if not len(at):
                     continue

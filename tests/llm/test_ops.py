@@ -263,6 +263,22 @@ def test_forest(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_forest_ascent_is_no_scan(spark):
+    p = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x, ids = np.stack(p["embedding"]).astype(float), p["vec_id"].to_numpy()
+    for some in (slice(None), slice(0, 400)):
+        x, ids = x[some], ids[some]
+        ask = np.flatnonzero(ids % 20 == 0)
+        f = forest.Forest(x)
+        share = np.mean([m.mean() for m in f.candidates(x[ask], least=21)])
+        found = {q: set(best.tolist()) for q, best, _ in f.search(ids, x[ask], ids[ask], 20)}
+        s = x[ask] @ x.T
+        s[np.arange(len(ask)), ask] = -np.inf
+        recall = np.mean([len(found[ids[a]] & set(ids[np.argsort(-s[i])[:20]].tolist())) / 20 for i, a in enumerate(ask)])
+        print(f"rows {len(ids)} candidate share {share:.3f} recall {recall:.3f}")
+        assert share < 0.9 and recall >= 0.9
+
+
 def test_forest_odd_cases(spark):
     rows = [(0, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (3, None, "a"), (4, [0.0, 0.0], "a"), (5, [1.0, None], "a"), (6, [float("nan"), 1.0], "a"), (7, [float("inf"), 1.0], "a"), (8, [], "a"), (9, [1.0, 2.0, 3.0], "a"), (10, [-3.0, 0.1], "a"), (None, [1.0, 1.0], "a"), (20, [2.0, 0.0], "a"), (0, [1.0, 0.0], "a")]
     v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, block string")
