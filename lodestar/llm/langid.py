@@ -5,8 +5,8 @@ a softmax over the languages. A document's probabilities are the mean over all i
 text. The network is trained here, in numpy, by backpropagation through time with Adam, on positions labelled with
 their document's language.
 
-Bounds: ``TRAIN_ROWS`` documents or so are learned from, chosen by a hash of doc_id over the whole table, with ``PER_DOC``
-windows of each, evenly spaced, in ``STEPS`` steps of class-balanced batches. The weights, some 15 KB, are sent to the
+Bounds: of each language ``LANG_ROWS`` documents or so are learned from, all where there are fewer and one at least, chosen by
+a hash of doc_id and text over the whole table, with ``PER_DOC`` windows of each, evenly spaced, in ``STEPS`` steps of class-balanced batches. The weights, some 15 KB, are sent to the
 executors. Many windows run side by side, longest first, so that memory is bounded by ``LANES`` windows.
 
 Defined cases. A text that is null or has no letter: ``und``, score 0. No labelled documents: ``und`` everywhere. Null
@@ -24,7 +24,7 @@ from lodestar.llm.kept import arrow_rows
 from lodestar.llm.toxicity import held_out
 
 HIDDEN, WINDOW, LANES = 8, 128, 2048
-TRAIN_ROWS, PER_DOC, TRAIN_WINDOW, STEPS, BATCH, RATE = 6000, 6, 64, 500, 160, 0.02
+LANG_ROWS, PER_DOC, TRAIN_WINDOW, STEPS, BATCH, RATE = 1000, 6, 64, 500, 160, 0.02
 NONE = "und"
 
 
@@ -160,12 +160,19 @@ class BiGru:
         return np.add.reduceat(total, np.cumsum(count) - count, axis=0) / size[:, None]
 
 
+def drawn(known: DataFrame, most: int = LANG_ROWS) -> DataFrame:
+    """The rows of ``known`` (doc_id, text, lang) to learn from, ``most`` or so of each language."""
+    known = known.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id", "text"), 11).cast("double") * F.lit(2.0**-53))
+    # the least draw is always taken, so that no language is missed
+    bound = known.groupBy("lang").agg(F.greatest(F.lit(float(most)) / F.count("*"), F.min("draw")).alias("bound"))
+    bound = known.sparkSession.createDataFrame(bound.collect(), "lang string, bound double")
+    return known.join(bound, "lang").where("draw <= bound").select("doc_id", "text", "lang")
+
+
 def train(docs: DataFrame) -> BiGru | None:
     """The network for ``docs`` (doc_id, text, lang), from documents that are not held out."""
     spark = docs.sparkSession
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    part = min(1.0, TRAIN_ROWS / max(docs.where(~held_out() & F.col("lang").isNotNull()).count(), 1))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 11).cast("double") * F.lit(2.0**-53)
 
     def cut(batches):
         for b in batches:
@@ -180,7 +187,7 @@ def train(docs: DataFrame) -> BiGru | None:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "w"])
 
     arrow_rows(spark, 500)
-    rows = known.where(draw < part).mapInArrow(cut, "lang string, w binary").toArrow().sort_by([("lang", "ascending"), ("w", "ascending")])
+    rows = drawn(known).mapInArrow(cut, "lang string, w binary").toArrow().sort_by([("lang", "ascending"), ("w", "ascending")])
     if not rows.num_rows:
         return None
     langs = rows["lang"].to_pylist()

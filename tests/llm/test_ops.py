@@ -347,6 +347,12 @@ def test_language(spark, odd, none):
     assert np.allclose(one.sum(1), 1, atol=1e-4)
 
 
+def test_every_language_is_learned_from(spark):
+    docs = spark.range(40_000).selectExpr("id as doc_id", "concat('text ', id) as text", "case when id = 7 then 'rare' when id < 400 then 'few' else 'many' end as lang")
+    got = {r["lang"]: r["count"] for r in langid.drawn(docs).groupBy("lang").count().collect()}
+    assert got["rare"] == 1 and got["few"] == 399 and 850 < got["many"] < 1150
+
+
 # 7
 
 
