@@ -6,10 +6,11 @@ independently, by merges of least rank, and concatenated; only a word's last fra
 recur far more often than texts do and are kept in a bounded memo, as are whole words.
 
 ``WordBpe`` reads a file of the tokenizers library whose model is BPE with word ends over bytes and whose normalizer is
-NFC, white space to one space, lower case. Special strings in a text give their ids. Decoding joins the tokens' strings
+NFC, white space to one space, lower case. What is not ASCII goes through the library's own normalizer and pre-tokenizer,
+whose Unicode tables need not be Python's. Special strings in a text give their ids. Decoding joins the tokens' strings
 by spaces, as the library does for a file that names no decoder.
 
-Defined cases. Null text: empty, no ids, decoded as the empty string. Extra columns are kept by ``encode_decode``.
+Defined cases. Null text: empty, no ids, decoded as the empty string. Extra columns are left out.
 Repeated rows: alike. No rows: no rows.
 """
 
@@ -18,22 +19,21 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from lodestar.llm.kept import arrow_rows, kept
+from lodestar.llm.kept import kept, parts
 
 #: Most words and fragments in a worker's memos; they start anew beyond.
 MEMO = 200_000
-#: The pre-tokenizer's pattern for words, a fixed value of the format.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: White space as the pre-tokenizer has it.
-SPACE = "[" + "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+"
+#: The pre-tokenizer's pattern for words as far as ASCII goes, a fixed value of the format.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+#: White space of ASCII; U+001C to U+001F are none to the format.
+SPACE = "[\t-\r ]+"
 LONG = 48
 
 
@@ -46,6 +46,11 @@ def byte_letters() -> list[str]:
 
 class WordBpe:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        self.normalize, self.pre_tokenize = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -61,9 +66,8 @@ class WordBpe:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.words = regex.compile(WORDS)
+        self.words = re.compile(WORDS, re.ASCII)
         self.space = re.compile(SPACE)
-        self.odd_space = re.compile("[\x1c-\x1f]")
         self.fragments: dict[str, list[str]] = {}
         self.memo: dict[str, bytes] = {}
         self.strings = {i: t.encode() for t, i in (self.vocab | added).items()}
@@ -125,20 +129,22 @@ class WordBpe:
             return b"".join([self.raw[t] for t in tokens if t in self.raw])
 
     def learn(self, chunk: str) -> bytes:
-        """Ids of a chunk without white space, kept in the memo. Its words are kept too."""
-        letters = chunk.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        if chunk.isalpha() and max(chunk) < "\u0250":
-            found = self._spell(letters)
+        """Ids of a chunk without ASCII white space, kept in the memo. Its words are kept too."""
+        if chunk.isascii():
+            low = chunk.lower()
+            found = self._spell(low) if low.isalpha() else b"".join(map(self._word, self.words.findall(low.translate(self.letters))))
         else:
-            parts = []
-            for w in self.words.findall(chunk):
-                if (part := self.memo.get(w)) is None:
-                    part = self.memo[w] = self._spell(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
-                parts.append(part)
-            found = b"".join(parts)
+            found = b"".join([self._word(w) for part in self.normalize(chunk).split(" ") if part for w, _ in self.pre_tokenize(part)])
         self.memo[chunk] = found
         return found
 
+    def _word(self, letters: str) -> bytes:
+        """Ids of a word, by the letters of its bytes; a letter beyond ASCII is not that character in a chunk."""
+        name = letters if letters.isascii() else "\0" + letters
+        if (found := self.memo.get(name)) is None:
+            found = self.memo[name] = self._spell(letters)
+        return found
+
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self.memo) + len(self.fragments) > MEMO:
@@ -149,11 +155,9 @@ class WordBpe:
             if k % 2:
                 ids.append(np.array([self.added[part]], dtype="<u4").tobytes())
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            chunks = self.space.split(part) if self.odd_space.search(part) else part.split()
-            for c in chunks:
+            if part.isascii():
+                part = part.lower()
+            for c in self.space.split(part):
                 if c:
                     ids.append(memo.get(c) or self.learn(c))
         return b"".join(ids)
@@ -175,7 +179,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, digest: bool = False) -> Dat
     def run(batches):
         bpe = kept(f"bpe:{vocabulary}", lambda: WordBpe(vocabulary))
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in parts(batches, 1, 200):
             pairs = [bpe.encode(t.as_py() or "") for t in b.column(1)]
             n = np.fromiter((len(i) // 4 for i, _ in pairs), np.int64, len(pairs))
             if digest:
@@ -185,7 +189,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, digest: bool = False) -> Dat
                 columns = {"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), values), "decoded": pa.array([d.decode() for _, d in pairs], pa.string())}
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array(n), **columns})
 
-    arrow_rows(docs.sparkSession, 200)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

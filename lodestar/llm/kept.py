@@ -1,10 +1,13 @@
-"""What a Python worker keeps from task to task: loaded vocabularies and bounded memos."""
+"""What a Python worker keeps from task to task: loaded vocabularies and bounded memos; and how it takes its batches."""
 
 from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def kept(name: str, make: Callable[[], object]):
@@ -24,7 +27,22 @@ def forget() -> None:
         delattr(holder, name)
 
 
-def arrow_rows(spark, rows: int) -> None:
-    """Rows, and bytes, in an Arrow batch from now on. Texts can be long: small batches bound a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def groups(texts: pa.Array, most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Slices (first, rows) of a column with some ``most`` bytes each and ``rows`` rows at most, a row at least."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > first and (total + n > most or i - first >= rows):
+            yield first, i - first
+            first, total = i, 0
+        total += n
+    if len(size) > first:
+        yield first, len(size) - first
+
+
+def parts(batches: Iterable[pa.RecordBatch], text: int, rows: int = 500, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a part has ``rows`` rows at most and some ``most`` bytes of column ``text``. A worker's
+    memory is bounded so, whatever the session's own batch size is."""
+    for b in batches:
+        for first, n in groups(b.column(text), most, rows):
+            yield b.slice(first, n)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.kept import arrow_rows
+from lodestar.llm.kept import parts
 from lodestar.llm.toxicity import held_out
 
 HIDDEN, WINDOW, LANES = 8, 128, 2048
@@ -175,7 +175,7 @@ def train(docs: DataFrame) -> BiGru | None:
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
 
     def cut(batches):
-        for b in batches:
+        for b in parts(batches, 1):
             langs, windows = [], []
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -186,7 +186,6 @@ def train(docs: DataFrame) -> BiGru | None:
                 windows += [raw[k : k + TRAIN_WINDOW] for k in spread]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "w"])
 
-    arrow_rows(spark, 500)
     rows = drawn(known).mapInArrow(cut, "lang string, w binary").toArrow().sort_by([("lang", "ascending"), ("w", "ascending")])
     if not rows.num_rows:
         return None
@@ -202,7 +201,6 @@ def train(docs: DataFrame) -> BiGru | None:
 def predict(docs: DataFrame, net: BiGru | None) -> DataFrame:
     """(doc_id, lang_pred, score) of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    arrow_rows(spark, 400)
     sent = spark.sparkContext.broadcast((net.languages, net.p) if net else None)
 
     def run(batches):
@@ -210,7 +208,7 @@ def predict(docs: DataFrame, net: BiGru | None) -> DataFrame:
         if sent.value:
             mine = BiGru(sent.value[0])
             mine.p = sent.value[1]
-        for b in batches:
+        for b in parts(batches, 1, 400):
             texts = b.column(1).to_pylist()
             todo = list(dict.fromkeys(t for t in texts if t and any(map(str.isalpha, t)))) if mine else []
             found = {}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lodestar.llm.components import components
-from lodestar.llm.kept import arrow_rows, forget
+from lodestar.llm.kept import forget, parts
 from lodestar.llm.likeness import like_groups
 from lodestar.llm.packed import pack, unpack
 from lodestar.storage import new_path, remove, settle
@@ -70,11 +70,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     def run(batches):
         forget()
-        for b in batches:
+        for b in parts(batches, 2):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "row", "fp"])
 
-    arrow_rows(docs.sparkSession, 500)
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 

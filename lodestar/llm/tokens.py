@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.kept import arrow_rows, kept
+from lodestar.llm.kept import kept, parts
 from lodestar.llm.ranges import range_of
 from lodestar.storage import new_path, settle
 
@@ -175,19 +175,6 @@ class Encoder:
         return out, size + 1
 
 
-def groups(texts: pa.Array, most: int = GROUP):
-    """Slices (first, rows) of a column with some ``most`` bytes each, a row at least."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    first, total = 0, 0
-    for i, n in enumerate(size.tolist()):
-        if total and total + n > most:
-            yield first, i - first
-            first, total = i, 0
-        total += n
-    if len(size) > first:
-        yield first, len(size) - first
-
-
 def cut(text: str, flat: list[str]) -> None:
     """Add the pieces of ``text`` to ``flat``. The first of each line has a mark before it: LF, of the first line CR."""
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in ("", " ", "\n") or not text.replace("\n", "").isprintable():
@@ -206,21 +193,18 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
 
     def run(batches):
         encoder, shard, total = kept(f"encoder:{vocabulary}", lambda: Encoder(vocabulary)), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for k, rows in groups(b.column(1)):
-                part = b.slice(k, rows)
-                ids, n = encoder.column(part.column(1), end_id)
-                edge = np.append(0, np.cumsum(n))
-                ids = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(rows, shard, np.int32)), pa.array(total + edge[:-1]), pa.array(n.astype(np.int32)), ids], names=["doc_id", "shard", "first", "n_tokens", "ids"])
-                total += int(edge[-1])
+        for part in parts(batches, 1, 1 << 30, GROUP):
+            ids, n = encoder.column(part.column(1), end_id)
+            edge = np.append(0, np.cumsum(n))
+            ids = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(total + edge[:-1]), pa.array(n.astype(np.int32)), ids], names=["doc_id", "shard", "first", "n_tokens", "ids"])
+            total += int(edge[-1])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, stripe_mb: int = 16, row_stride: int = 1000) -> None:
     """Encode ``docs`` (doc_id, text) into ORC files under ``path``. Texts are shuffled once, by range of doc_id."""
-    arrow_rows(docs.sparkSession, 2000)
     # ranges by the ids alone: a range partitioner would read all texts to sample them
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce("doc_id", F.lit(FIRST))

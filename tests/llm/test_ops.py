@@ -312,6 +312,26 @@ def test_transducer_is_exact():
     assert machine.count([t.encode() for t in texts]).tolist() == [len(sp.encode(t)) for t in texts]
 
 
+def test_chunk_maps_compose_in_few_rounds():
+    import sentencepiece
+
+    path = public.path("piece_bpe_32k.model")
+    sp, machine, rnd = sentencepiece.SentencePieceProcessor(model_file=path), counts.Transducer(path), random.Random(8)
+    machine.restore(counts.compiled(path))
+    for t in ("a" * 200_001, "=" * 70_000, "世界" * 20_000, "".join(rnd.choice("ab=") for _ in range(60_000)), " " * 50_000):
+        chunks = len(t.encode()) / counts.CHUNK
+        assert machine.count([t.encode()]).tolist() == [len(sp.encode(t))]
+        assert machine.rounds <= np.log2(chunks) + 2 and machine.closures <= 2
+
+
+def test_neighbours_fit_as_segmented():
+    machine, rnd = counts.Transducer(public.path("piece_bpe_32k.model")), random.Random(9)
+    pieces = [p for p in machine.scores if machine._stable(p)]
+    marks = ["▁" * k for k in range(1, 17) if "▁" * k in machine.scores]
+    some = [(rnd.choice(pieces), rnd.choice(pieces)) for _ in range(4000)] + [(a, b) for a in marks for b in marks] + [("a" * j, "a" * k) for j in (1, 2, 4) for k in (1, 2, 4)]
+    assert all(machine._apart(a, b) == (machine._bpe(a + b) == [a, b]) for a, b in some)
+
+
 # 6
 
 
@@ -432,12 +452,48 @@ def test_toxicity(spark, odd, none):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
-def test_long_tokens_count_by_their_prefixes(spark):
-    long = "idiot" * 20
-    training = spark.createDataFrame([(k, f"{long} a{k}" if k % 2 else "calm words", k % 2, k // 2 % 2) for k in range(40)], "doc_id bigint, text string, y int, fold int")
-    held, toxic, clean = toxicity._counts(training)[None]
-    assert held["^idio"] == held["^idiot"] == (20, 0) and long not in held
-    assert toxicity.Lexicon(held, toxic, clean).score(long) > -toxicity.DRIFT
+def brute_score(text, training, rate, log_k, fit):
+    """The score of a text from (text, y) of the documents learned from, by the rules of the docstring."""
+    words = lambda t: toxicity.tokens(t)
+    features = lambda w: [f"^{w[:k]}" for k in (4, 5) if len(w) > k] + [w]
+    held = [({f for w in words(t) for f in features(w)}, y) for t, y in training]
+    toxic = sum(y for _, y in held)
+    base = (toxic + 0.5) / (len(held) + 1)
+    logit = lambda p: np.log(p / (1 - p))
+    scores = []
+    for w in words(text):
+        share = base
+        for f in features(w):
+            ys = [y for fs, y in held if f in fs]
+            share = (sum(ys) + 10 * share) / (len(ys) + 10)
+        scores.append(logit(share) - logit(base) - 1)
+    if not scores:
+        best, total = 0.0, 0.0
+    elif max(scores) <= 0:
+        best, total = -np.log1p(len(scores)), 0.0
+    else:
+        found = [rate * s - log_k - np.log(len(scores)) for s, _, _ in brute_segments(scores)]
+        best, total = max(found), np.log1p(sum(e for e in found if e > 0))
+    return 1 / (1 + np.exp(-(fit[0] + fit[1] * max(best, -20.0) + fit[2] * total)))
+
+
+def test_toxicity_scores_by_hand(spark):
+    rnd = random.Random(12)
+    calm, bad = ["river", "morning", "bread", "window", "travel", "garden"], ["idiotic", "idiots", "scummy"]
+    rows = [(k, " ".join(rnd.choice(calm + (bad if k % 3 == 0 and j > 6 else [])) for j in range(14)), int(k % 3 == 0)) for k in range(60)]
+    rows += [(60, "x" * 50, 1), (61, "", 0)]
+    training = spark.createDataFrame([(i, t, y, i % 2) for i, t, y in rows], "doc_id bigint, text string, y int, fold int")
+    lexicon = toxicity.Lexicon(*toxicity._counts(training)[None])
+    rate, log_k, fit = 0.8, -0.5, (-1.0, 0.4, 0.9)
+    scorer = toxicity.Scorer(lexicon, rate, log_k, fit)
+    learned = [(t, y) for _, t, y in rows]
+    texts = [*(t for t, _ in learned[:12]), "", None, "the scummy idiots", "x" * 60, "some " + "y" * 44 + " idiotic", "idiot" * 9]
+    docs = spark.createDataFrame([(k, t, "more") for k, t in enumerate([*texts, texts[0]])], "doc_id bigint, text string, score string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_docs(docs, scorer).collect()}
+    assert got[len(texts)] == got[0] and len(got) == len(texts) + 1
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(brute_score(t, learned, rate, log_k, fit), abs=1e-9)
+    assert len(toxicity.tokens("idiot" * 9)) == 40 and max(lexicon.scores(toxicity.tokens("idiot" * 9))) > 0
 
 
 # 9
@@ -463,7 +519,7 @@ def test_bpe_is_exact():
 
     path = public.path("word_bpe_49k.json")
     tok, own, rnd = Tokenizer.from_file(path), bpe.WordBpe(path), random.Random(5)
-    parts = ["a", "The", "s", " ", "\n", "!", "é", "1", "'s", "ß", "世", "é", "\xa0", "\x1c", "<|endoftext|>", "Σ", "İ", "½", "🙂", "\x85", "DON'T"]
+    parts = ["a", "The", "s", " ", "\n", "!", "é", "1", "'s", "ß", "世", "é", "\xa0", "\x1c", "<|endoftext|>", "Σ", "İ", "½", "🙂", "\x85", "DON'T", "\u0558", "\u058b", "\ua7cb", "\U00016ea0", "\u208f", "ā", "\x01"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
     texts += ["".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (49, 400)]
     for t in texts:
@@ -473,6 +529,18 @@ def test_bpe_is_exact():
         assert decoded.decode() == tok.decode(ids, skip_special_tokens=False) and own.decode(got) == decoded
 
 
+def test_bpe_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    # every code point of planes with characters, and every 61st of those without, which are all alike
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x33480), *range(0x33480, 0x110000, 61), *range(0xE0000, 0xE0200)]]
+    texts = [" ".join(f"{form.format(c)}" for c in points[k : k + 400]) for form in ("{}", "a{}b") for k in range(0, len(points), 400)]
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == e.ids
+
+
 def test_decoded_text_is_made_of_ids(spark, tmp_path):
     import json
 
