@@ -4,33 +4,38 @@ The transducer reads bytes. Its state holds what the past can still change: the
 and for each position in it from which a piece can still begin, the last token of the segmentation up to there and its
 token count, less the least of these; last tokens that admit the same few pieces count as one. That least count is certain, so a transition is annotated with its growth, the
 tokens it emits; a state's final output is what is still open. It rests on the fact that a token sequence is the BPE
-segmentation of its string just if each two neighbours are that of theirs. States are compiled when first reached and
-kept in a dense table of (state, byte); a full table starts anew.
+segmentation of its string just if each two neighbours are that of theirs.
+
+The driver compiles the machine of the vocabulary, all states that its pieces reach at the beginning of a word, once for
+each model, and sends it to the workers. States that only other words reach join a worker's dense table of (state, byte)
+when they are met; a full table goes back to the vocabulary's.
 
 Many chunks run side by side. Texts are cut at spaces that follow another character, where no piece can cross and
-the state is known, or after ``chunk`` bytes where there is none. A chunk's map (state in -> state out, tokens) is then a
-constant in the first case; in the second, it is evaluated for the state that a run over the bytes before it predicts.
-Maps are composed in scans over all chunks: counts add up, and each chunk whose state in differs from the state out of
-the one before is evaluated again for that state, until all agree.
+the state is known, or after ``chunk`` bytes where there is none. A chunk's map is a table (state in -> state out, tokens)
+over its domain: the known state; or else the states that the bytes before it lead to from ``STARTS`` different places,
+and whatever state the map of the chunk before leads to. Maps are composed by a parallel prefix scan: in each round the
+map of each chunk is followed by that of the chunk to which it leads, so that after r rounds a map spans 2^r chunks.
 
 Defined cases. Null or empty text: no bytes, no tokens. Extra columns are left out. Repeated rows: alike. No rows: none.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.kept import arrow_rows, kept
+from lodestar.llm.kept import kept, parts
 
 BAR = "▁"
 #: Most states in a worker's table (1 KB each).
-STATES = 120_000
+STATES = 160_000
 #: Pieces that begin alike of which it is worth finding those that fit.
 FEW = 10
-#: Least bytes of a chunk, and bytes before a chunk without a known state that predict it.
-CHUNK, BACK = 256, 64
+#: Least bytes of a chunk; bytes before a chunk whose state is not known that lead to its domain, and from how many places.
+CHUNK, BACK, STARTS = 256, 64, 16
 #: Bytes of text that run side by side at a time.
 GROUP = 4 << 20
 
@@ -57,7 +62,25 @@ class Transducer:
         for p in self.scores:
             for k in range(1, len(p)):
                 self.longer.setdefault(p[:k], []).append(p)
+        self.rank = {p: k for k, p in enumerate(sorted(self.scores, key=lambda p: (-self.scores[p], p)))}
+        alike = Counter(self.scores.values())
+        self.tied = set("".join(p for p, score in self.scores.items() if alike[score] > 1))
+        self.halves: dict[str, tuple[str, str]] = {}
         self.alone: dict[str, bool] = {}
+        self.rounds = self.closures = 0
+        self.base: tuple | None = None
+        self.clear()
+
+    def vocabulary(self) -> tuple:
+        """The machine of all pieces as words: states, and the entries of the table that are compiled."""
+        words = sorted({p.strip(BAR) for p in self.scores})
+        self.count([w.encode() for w in words if w])
+        at = np.flatnonzero(self.table >= 0)
+        return self.states, at, self.table[at]
+
+    def restore(self, base: tuple) -> None:
+        """Begin from what ``vocabulary`` gave."""
+        self.base = base
         self.clear()
 
     def clear(self) -> None:
@@ -69,14 +92,20 @@ class Transducer:
         self.table = np.full(256 * 1024, -1, dtype=np.int32)
         self.final = np.zeros(1024, dtype=np.int32)
         self.start = self._id(("", (None,), (0,), b""))
+        if self.base is not None:
+            states, at, values = self.base
+            for state in states:
+                self._id(state)
+            self.table[at] = values
 
     def _id(self, state: tuple) -> int:
         if (k := self.ids.get(state)) is None:
             k = self.ids[state] = len(self.states)
             self.states.append(state)
             if k >= len(self.final):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-                self.final = np.concatenate([self.final, np.zeros_like(self.final)])
+                more = min(len(self.final), 32768)
+                self.table = np.append(self.table, np.full(more * 256, -1, dtype=np.int32))
+                self.final = np.append(self.final, np.zeros(more, dtype=np.int32))
             self.final[k] = state[2][-1]
         return k
 
@@ -91,18 +120,42 @@ class Transducer:
                     best, at = s, i
             if best is None:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            merged = parts[at] + parts[at + 1]
+            self.halves[merged] = parts[at], parts[at + 1]
+            parts[at : at + 2] = [merged]
         return parts
 
+    def _stable(self, token: str) -> bool:
+        if (ok := self.alone.get(token)) is None:
+            ok = self.alone[token] = self._bpe(token) == [token]
+        return ok
+
     def _fits(self, before: str | None, token: str) -> bool:
+        """Whether the segmentation of the two as one string is these two."""
         if before is None:
-            if (ok := self.alone.get(token)) is None:
-                ok = self.alone[token] = self._bpe(token) == [token]
-            return ok
+            return self._stable(token)
         if (ok := self.pairs.get((before, token))) is None:
-            ok = self.pairs[before, token] = self._bpe(before + token) == [before, token]
+            ok = self.pairs[before, token] = self._stable(token) and self._stable(before) and self._apart(before, token)
         return ok
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Undo the merges that made both tokens, the latest first: at no time did what lay at both sides of the boundary
+        merge. Equal merges go from left to right; where pieces of equal scores meet, the string is segmented."""
+        if a[-1] in self.tied and b[0] in self.tied:
+            return self._bpe(a + b) == [a, b]
+        rank, halves, until = self.rank, self.halves, len(self.rank)
+        while True:
+            if rank.get(a + b, until) < until:
+                return False
+            left = rank[a] if len(a) > 1 else -1
+            right = rank[b] if len(b) > 1 else -1
+            if left < 0 and right < 0:
+                return True
+            if left > right:
+                until, a = left, halves[a][1]
+            else:
+                until, b = right + 1, halves[b][0]
+
     # transitions
 
     def _char(self, window: str, last: tuple, count: tuple, c: str) -> tuple[tuple, int]:
@@ -187,18 +240,47 @@ class Transducer:
         space = data == 32
         synced = np.flatnonzero(space[1:] & ~space[:-1] & (data[:-1] != BAR.encode()[-1])) + 1
         begin, known = cut_points(synced, head[:-1], data)
-        end = np.append(begin[1:], len(data))
-        state = np.full(len(begin), self.start, dtype=np.int64)
-        rest = np.flatnonzero(~known)
-        if len(rest):  # predicted by the bytes before; any prediction will do
-            state[rest] = self.run(data, whole(data, np.maximum(begin[rest] - BACK, 0)), begin[rest], state[rest])[0]
-        out, tokens = self.run(data, begin, end, state)
-        while len(wrong := rest[out[rest - 1] != state[rest]]):
-            state[wrong] = out[wrong - 1]
-            out[wrong], tokens[wrong] = self.run(data, begin[wrong], end[wrong], state[wrong])
-        # what is still open is emitted where the next chunk begins anew
-        tokens += np.where(np.append(known[1:], True), self.final[out], 0)
-        return np.add.reduceat(tokens, np.searchsorted(begin, head[:-1]))
+        chunk, link, out, tokens = self.maps(data, begin, known)
+        tokens = self.compose(link, tokens + np.where(link < 0, self.final[out], 0))
+        firsts = known[chunk]  # the one entry of each chunk whose state is known: its tokens go up to the next such chunk
+        return np.add.reduceat(tokens[firsts], np.searchsorted(begin[chunk[firsts]], head[:-1]))
+
+    def maps(self, data: np.ndarray, begin: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The maps of all chunks as one table of entries: (chunk, entry of the next chunk that it leads to, or -1 where
+        the next state is known, state out, tokens)."""
+        end, open_ = np.append(begin[1:], len(data)), np.append(~known[1:], False)
+        rest, heads = np.flatnonzero(~known), np.flatnonzero(known)
+        keys = heads << 32 | self.start
+        if len(rest):
+            since = begin[heads[np.searchsorted(heads, rest) - 1]]  # no run begins before a known state
+            for k in range(STARTS):
+                first = np.minimum(whole(data, np.maximum(begin[rest] - BACK - k, since)), begin[rest])
+                states = np.full(len(rest), self.start, dtype=np.int64)
+                keys = np.append(keys, rest << 32 | self.run(data, first, begin[rest], states)[0])
+        new = keys = np.unique(keys)
+        out = tokens = np.zeros(0, np.int64)
+        done, self.closures = new[:0], 0
+        while len(new):
+            chunk = new >> 32
+            got = self.run(data, begin[chunk], end[chunk], new & 0xFFFFFFFF)
+            order = np.argsort(np.append(done, new), kind="stable")
+            done, out, tokens = np.append(done, new)[order], np.append(out, got[0])[order], np.append(tokens, got[1])[order]
+            goes = open_[chunk]
+            new = np.setdiff1d((chunk[goes] + 1) << 32 | got[0][goes], done)
+            self.closures += 1
+        chunk = done >> 32
+        link = np.where(open_[chunk], np.searchsorted(done, (chunk + 1) << 32 | out), -1)
+        return chunk, link, out, tokens
+
+    def compose(self, link: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The tokens of each entry's chunk and all those it leads to."""
+        self.rounds = 0
+        while len(on := np.flatnonzero(link >= 0)):
+            to = link[on]
+            tokens, link = tokens.copy(), link.copy()
+            tokens[on], link[on] = tokens[on] + tokens[to], link[to]
+            self.rounds += 1
+        return tokens
 
 
 def whole(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -220,23 +302,36 @@ def cut_points(synced: np.ndarray, heads: np.ndarray, data: np.ndarray, chunk: i
     return begin, np.isin(begin, known)
 
 
+COMPILED: dict[str, tuple] = {}
+
+
+def compiled(model: str) -> tuple:
+    """The machine of a model's vocabulary, made once by the driver."""
+    if model not in COMPILED:
+        COMPILED[model] = Transducer(model).vocabulary()
+    return COMPILED[model]
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of ``docs`` (doc_id, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(compiled(model))
+
+    def make() -> Transducer:
+        machine = Transducer(model)
+        machine.restore(sent.value)
+        return machine
 
     def run(batches):
-        machine = kept(f"transducer:{model}", lambda: Transducer(model))
-        for b in batches:
+        machine = kept(f"transducer:{model}", make)
+        for b in parts(batches, 1, 2000, GROUP):
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(1)]
             size = np.fromiter(map(len, texts), np.int64, len(texts))
             n = np.zeros(len(texts), np.int64)
             some = np.flatnonzero(size)
-            group = np.cumsum(size[some]) // GROUP
-            for g in np.unique(group).tolist():
-                at = some[group == g]
-                n[at] = machine.count([texts[i] for i in at.tolist()])
+            if len(some):
+                n[some] = machine.count([texts[i] for i in some.tolist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    arrow_rows(docs.sparkSession, 2000)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
