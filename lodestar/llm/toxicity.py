@@ -1,9 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
+Tokens are words, runs of letters in lower case. A run of over ``LETTERS`` letters, as scripts without spaces have them,
+gives all its stretches of ``STRETCH`` letters, one from each letter on.
+
 Learning. Labelled documents, one of each text, give for each word and each prefix of 4 and 5 letters the toxic and the
 clean documents that hold it. A feature's toxic share has a Dirichlet prior of weight ``PRIOR`` whose mean is the share
 of its shorter prefix, down to that of all documents; a token's log-odds is the logit of its share less the logit of the
-whole. The ``FEATURES`` most significant features by z-score are the model.
+whole. Features are counted by hash in a table of ``CELLS`` cells: all of them are in the model, whose size is fixed.
 
 Scoring. Tokens score their log-odds less a drift that makes clean text negative. A linear-time scan (Ruzzo and Tompa)
 finds all maximal segments. For a clean text of n tokens, the best segment exceeds s with probability
@@ -12,18 +15,18 @@ comes from clean texts' best segments. lambda s - ln(K n) is a segment's evidenc
 sum over all significant ones, go into a logistic fit on documents that the counts have not seen (two folds).
 
 Bounds: ``TRAIN_ROWS`` labelled documents at most are learned from, chosen by a hash of doc_id, spread over the whole
-table; at most ``FEATURES`` features are collected and broadcast, each of ``LETTERS`` letters at most: of longer tokens
-only the prefixes are learned and scored. Every text is scored whole.
+table; counts of ``CELLS`` cells are collected and broadcast, 16 MB. Every text is scored whole, all its tokens.
 
 Defined cases. Null or empty text: no tokens, no segments, the score of a text without evidence. Labels that are null or
 contradict another of the same doc_id: the larger counts, null ones do not. No labels of one kind: every score is the
-share of toxic labels. Extra columns are kept by ``score_docs``. Repeated rows: alike. No rows: no rows.
+share of toxic labels. Extra columns are left out by ``score_docs`` and kept by ``drop_toxic``. Repeated rows: alike. No rows: no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,17 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.kept import arrow_rows, forget
+from lodestar.llm.kept import forget, parts
 from lodestar.storage import settle
 
-TRAIN_ROWS, FEATURES, LETTERS = 30_000, 200_000, 40
+TRAIN_ROWS, CELLS, LETTERS, STRETCH = 30_000, 1 << 21, 40, 6
 PRIOR, DRIFT, FLOOR = 10.0, 1.0, 0.3
 WORDS = re.compile(r"[^\W\d_]+")
 MEMO = 150_000
+#: Bins of token scores. A share is a count of documents smoothed three times: its logit is far within them.
+EDGES = np.linspace(-40, 40, 1601)
 
 
 def tokens(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+    words = WORDS.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LETTERS:
+        return words
+    return [t for w in words for t in ([w] if len(w) <= LETTERS else [w[i : i + STRETCH] for i in range(len(w) - STRETCH + 1)])]
 
 
 def held_out(doc_id="doc_id"):
@@ -49,8 +57,13 @@ def held_out(doc_id="doc_id"):
 
 
 def prefixes(word: str) -> list[str]:
-    """Features of a word, the shortest first; prefixes are marked by a caret. A longer word than LETTERS has prefixes only."""
-    return [f"^{word[:k]}" for k in (4, 5) if len(word) > k] + [word] * (len(word) <= LETTERS)
+    """Features of a token, the shortest first; prefixes are marked by a caret."""
+    return [f"^{word[:k]}" for k in (4, 5) if len(word) > k] + [word]
+
+
+def cells(word: str) -> list[int]:
+    """Where the features of a token are counted."""
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (CELLS - 1) for f in prefixes(word)]
 
 
 def segments(scores: list[float]) -> list[tuple[float, int, int]]:
@@ -75,17 +88,17 @@ def segments(scores: list[float]) -> list[tuple[float, int, int]]:
 
 
 class Lexicon:
-    """Token scores from counts: {feature: (toxic, clean)}, and the same of all documents."""
+    """Token scores from the toxic and the clean documents of each cell, and of all."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
+    def __init__(self, counts: tuple[np.ndarray, np.ndarray], toxic: int, clean: int):
         self.counts, self.base = counts, (toxic + 0.5) / (toxic + clean + 1.0)
         self.zero = math.log(self.base / (1 - self.base))
         self.memo: dict[str, float] = {}
 
     def score(self, word: str) -> float:
-        share = self.base
-        for f in prefixes(word):
-            t, c = self.counts.get(f, (0, 0))
+        share, (toxic, clean) = self.base, self.counts
+        for cell in cells(word):
+            t, c = int(toxic[cell]), int(clean[cell])
             share = (t + PRIOR * share) / (t + c + PRIOR)
         value = self.memo[word] = math.log(share / (1 - share)) - self.zero - DRIFT
         return value
@@ -115,28 +128,30 @@ class Scorer:
 
     def passages(self, text: str | None) -> list[tuple[float, int, int]]:
         """(evidence, first token, end token) of the significant passages."""
-        s = self.lexicon.scores(tokens(text))
-        runs, begin = compact(s)
-        if not runs:
-            return []
-        chance = self.log_k + math.log(len(s))
-        ends = np.append(begin, len(s))
-        return [(e, int(begin[a]), int(ends[b])) for x, a, b in segments(runs) if (e := self.rate * x - chance) > 0]
-
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """The best segment's evidence, and the logarithm of one plus the sum of all that is positive."""
+        return self.read(text)[2]
+
+    def read(self, text: str | None) -> tuple[float, float, list[tuple[float, int, int]]]:
+        """The best segment's evidence, the logarithm of one plus the sum of all that is positive, and the passages
+        that have it."""
         s = self.lexicon.scores(tokens(text))
         if not len(s) or s.max() <= 0:
-            return -math.log1p(len(s)), 0.0
-        found = [self.rate * x - self.log_k - math.log(len(s)) for x, _, _ in segments(compact(s)[0])]
-        return max(found), math.log1p(sum(e for e in found if e > 0))
+            return -math.log1p(len(s)), 0.0, []
+        runs, begin = compact(s)
+        chance, ends = self.log_k + math.log(len(s)), np.append(begin, len(s))
+        found = [(self.rate * x - chance, a, b) for x, a, b in segments(runs)]
+        beyond = [(e, int(begin[a]), int(ends[b])) for e, a, b in found if e > 0]
+        return max(e for e, _, _ in found), math.log1p(sum(e for e, _, _ in beyond)), beyond
 
-    def value(self, text: str | None) -> float:
+    def judge(self, text: str | None) -> tuple[float, list[tuple[float, int, int]]]:
+        """The score of a text and its significant passages."""
         if self.fit is None:
-            return self.lexicon.base
-        best, total = self.evidence(text)
+            return self.lexicon.base, []
+        best, total, beyond = self.read(text)
         z = self.fit[0] + self.fit[1] * max(best, -20.0) + self.fit[2] * total
-        return 1 / (1 + math.exp(-max(min(z, 700), -700)))
+        return 1 / (1 + math.exp(-max(min(z, 700), -700))), beyond
+
+    def value(self, text: str | None) -> float:
+        return self.judge(text)[0]
 
 
 def karlin_rate(values: np.ndarray, weights: np.ndarray) -> float:
@@ -186,38 +201,30 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(out.dropDuplicates(["doc_id"]).select("doc_id", "text", "y", "fold"), "training")
 
 
-def _counts(training: DataFrame) -> dict[int, tuple[Counter, int, int]]:
-    """For each fold: toxic and clean documents that hold each feature, of the most significant ones, and in all."""
+def _counts(training: DataFrame) -> dict[int, tuple[tuple[np.ndarray, np.ndarray], int, int]]:
+    """For each fold, and for both under None: toxic and clean documents by cell, and in all."""
 
     def run(batches):
         forget()
-        for b in batches:
-            held: dict[tuple[str, int, int], int] = Counter()
+        for b in parts(batches, 1, 1000):
+            held: dict[tuple[int, int, int], int] = Counter()
             for text, y, fold in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = set(tokens(text))
-                held.update((f, y, fold) for f in {f for w in words for f in prefixes(w)})
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], names=["feature", "y", "fold", "n"])
+                held.update((c, y, fold) for c in {c for w in set(tokens(text)) for c in cells(w)})
+            flat = np.array(list(held), np.int32).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(flat[:, 2]), pa.array(list(held.values()), pa.int64())], names=["cell", "y", "fold", "n"])
 
     totals = {(r["fold"], r["y"]): r["count"] for r in training.groupBy("fold", "y").count().collect()}
-    flat = training.mapInArrow(run, "feature string, y int, fold int, n long")
-    cell = lambda fold, y: F.sum(F.when((F.col("fold") == fold) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{fold}{y}")
-    table = flat.groupBy("feature").agg(*[cell(f, y) for f in (0, 1) for y in (0, 1)])
-    t, c = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
-    base = (sum(totals.get((f, 1), 0) for f in (0, 1)) + 0.5) / (sum(totals.values()) + 1.0)
-    z = F.abs(t - (t + c) * base) / F.sqrt((t + c) * base * (1 - base) + 1.0)
-    rows = table.where(t + c > 1).where(z >= 1.0).orderBy(z.desc(), "feature").limit(FEATURES).collect()
-    out = {}
-    for fold in (0, 1, None):
-        folds = (0, 1) if fold is None else (fold,)
-        held = {r["feature"]: (a, b) for r in rows if (a := sum(r[f"n{f}1"] for f in folds)) + (b := sum(r[f"n{f}0"] for f in folds))}
-        out[fold] = held, sum(totals.get((f, 1), 0) for f in folds), sum(totals.get((f, 0), 0) for f in folds)
-    return out
+    flat = training.mapInArrow(run, "cell int, y int, fold int, n long").groupBy("cell", "y", "fold").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    at = [flat[c].to_numpy() for c in ("fold", "y", "cell")]
+    table = np.zeros((2, 2, CELLS), np.int32)
+    table[tuple(at)] = flat["n"].to_numpy()
+    total = lambda f, y: totals.get((f, y), 0)
+    out = {f: ((table[f, 1], table[f, 0]), total(f, 1), total(f, 0)) for f in (0, 1)}
+    return out | {None: ((table[0, 1] + table[1, 1], table[0, 0] + table[1, 0]), total(0, 1) + total(1, 1), total(0, 0) + total(1, 0))}
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     sc = docs.sparkSession.sparkContext
-    arrow_rows(docs.sparkSession, 1000)
     training = _training(docs, labels)
     counts = _counts(training)
     held, toxic, clean = counts[None]
@@ -225,23 +232,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     if not toxic or not clean:
         return Scorer(whole)
     folds = sc.broadcast([counts[0], counts[1]])
-    edges = np.linspace(-8, 12, 401)
 
     def features(rate, log_k, clean_only):
         """Each document by the counts of the other fold: evidence, or a histogram of token scores with best segments."""
 
         def run(batches):
             pair = [Scorer(Lexicon(*c), rate, log_k) for c in folds.value]
-            for b in batches:
+            for b in parts(batches, 1, 1000):
                 rows = []
                 for text, y, fold in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                     scorer = pair[1 - fold]
                     if clean_only:
                         if not y and len(s := scorer.lexicon.scores(tokens(text))):
                             runs = compact(s)[0]
-                            rows.append((y, max([x for x, _, _ in segments(runs)], default=0.0), math.log(len(s)), np.histogram(s, edges)[0].tolist()))
+                            rows.append((y, max([x for x, _, _ in segments(runs)], default=0.0), math.log(len(s)), np.histogram(s, EDGES)[0].tolist()))
                     else:
-                        rows.append((y, *scorer.evidence(text), []))
+                        rows.append((y, *scorer.read(text)[:2], []))
                 cols = list(zip(*rows, strict=True)) or [[], [], [], []]
                 hist = pa.array(cols[3], pa.list_(pa.int64()))
                 if clean_only and rows:  # one histogram for the batch
@@ -251,8 +257,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         return training.mapInArrow(run, "y int, a double, b double, hist array<long>").toPandas()
 
     clean_rows = features(1.0, 0.0, True)
-    histogram = np.sum([h for h in clean_rows["hist"] if len(h)], axis=0) if len(clean_rows) else np.zeros(400)
-    rate = karlin_rate((edges[:-1] + edges[1:]) / 2, np.maximum(histogram, 1e-9)) if histogram.sum() else 1.0
+    histogram = np.sum([h for h in clean_rows["hist"] if len(h)], axis=0) if len(clean_rows) else np.zeros(len(EDGES) - 1)
+    rate = karlin_rate((EDGES[:-1] + EDGES[1:])[histogram > 0] / 2, histogram[histogram > 0]) if histogram.sum() else 1.0
     # the mean of a Gumbel variable is ln(K n) + Euler's constant, in units of the rate
     log_k = float((rate * clean_rows["a"] - clean_rows["b"]).mean()) - 0.5772156649015329 if len(clean_rows) else 0.0
     rows = features(rate, log_k, False)
@@ -262,45 +268,48 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     return Scorer(whole, rate, log_k, tuple(fit.tolist()))
 
 
-def score_docs(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, score) of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    arrow_rows(spark, 500)
+def _sent(spark, scorer: Scorer):
     lexicon = scorer.lexicon
-    sent = spark.sparkContext.broadcast((lexicon.counts, lexicon.base, scorer.rate, scorer.log_k, scorer.fit))
+    return spark.sparkContext.broadcast((lexicon.counts, lexicon.base, scorer.rate, scorer.log_k, scorer.fit))
+
+
+def _received(sent) -> Scorer:
+    counts, base, *rest = sent.value
+    own = Lexicon(counts, 0, 1)
+    own.base, own.zero = base, math.log(base / (1 - base))
+    return Scorer(own, *rest)
+
+
+def score_docs(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """(doc_id, score, passages) of ``docs`` (doc_id, text): of each significant passage, its evidence and its first and end
+    token."""
+    sent = _sent(docs.sparkSession, scorer)
 
     def run(batches):
         forget()
-        counts, base, *rest = sent.value
-        own = Lexicon(counts, 0, 1)
-        own.base, own.zero = base, math.log(base / (1 - base))
-        mine = Scorer(own, *rest)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mine.value(t.as_py()) for t in b.column(1)], pa.float64())], names=["doc_id", "score"])
+        mine = _received(sent)
+        kind = pa.list_(pa.struct([("evidence", pa.float64()), ("first", pa.int32()), ("end", pa.int32())]))
+        for b in parts(batches, 1):
+            judged = [mine.judge(t.as_py()) for t in b.column(1)]
+            passages = [[{"evidence": e, "first": i, "end": j} for e, i, j in found] for _, found in judged]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([j[0] for j in judged], pa.float64()), pa.array(passages, kind)], names=["doc_id", "score", "passages"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, passages array<struct<evidence:double,first:int,end:int>>")
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score_docs(docs, learn(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= FLOOR, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= FLOOR, 1).otherwise(0).alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    scorer = learn(docs, labels)
-    spark, schema = docs.sparkSession, docs.schema
-    sent = spark.sparkContext.broadcast((scorer.lexicon.counts, scorer.lexicon.base, scorer.rate, scorer.log_k, scorer.fit))
-    at = docs.columns.index("text")
+    sent, at = _sent(docs.sparkSession, learn(docs, labels)), docs.columns.index("text")
 
     def run(batches):
         forget()
-        counts, base, *rest = sent.value
-        own = Lexicon(counts, 0, 1)
-        own.base, own.zero = base, math.log(base / (1 - base))
-        mine = Scorer(own, *rest)
-        for b in batches:
+        mine = _received(sent)
+        for b in parts(batches, at):
             yield b.filter(pa.array([mine.value(t.as_py()) < FLOOR for t in b.column(at)], pa.bool_()))
 
-    arrow_rows(spark, 500)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
