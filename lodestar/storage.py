@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one is set only where none is named."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one is set only where none is named and
+    the whole of Spark is one process, as in tests. Elsewhere a folder of this machine would lose tables: an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isEmpty():
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         there = sc._jsc.sc().getCheckpointDir()
     return there.get().rstrip("/")
