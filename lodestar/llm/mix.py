@@ -2,15 +2,16 @@
 
 Sizes are word counts. Sources, by code point with null last, get weights that repeat ``weights``; they share ``total``
 times all words, and a source that would pass ``cap`` times its own words stops there while the others share the excess
-by weight. A source's target over its words is the number of copies that each of its documents is due: the whole part is
-allocated for certain, and the rest is the inclusion probability p of one more copy. Documents are ranked by random odds
-over inclusion odds, (U / (1 - U)) / (p / (1 - p)), U being a hash of doc_id and ``seed``, and the first are taken up to
-the cut at which the next would pass the target, and the one other document that best fills what then wants: a sample of
-fixed size in words, by Pareto's order.
+by weight. Within a source a document's expected copies are proportional to its size, rate * size, up to ``cap``; the rate is
+the one at which the expected words make the target. Whole copies are allocated for certain, and what is left is the
+inclusion probability p of one more. Documents are ranked by random odds over inclusion odds, (U / (1 - U)) / (p / (1 - p)),
+U being a hash of doc_id and ``seed``, and the first of that order are taken, up to the place at which the words taken come
+nearest to the target: a sample of unequal probabilities whose size is fixed in words.
 
-The cut needs no global sort: ranks fall into bins in groups, whose word sums show the group, and then the bin, that holds
-the cut, and only that bin's documents are ranked one by one. A source that holds a third of all rows adds up in
-every task before anything is shuffled.
+The rate comes from each source's table of sizes with their counts. The place needs no global sort: ranks fall into bins in
+groups, whose word sums show the group, and then the bin, that holds it, and only that bin's documents are ranked one by
+one. A source that holds a third of all rows adds up in every task before anything is shuffled. Sources are numbered by
+range partitions, and their shares found in a few rounds of sums, so that their number may be large.
 
 Only DataFrame operations. Reruns agree: nothing depends on the order or number of partitions.
 
@@ -29,6 +30,8 @@ from lodestar.storage import settle
 
 #: A table of sources of at most so many rows (some 10 MB) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Expected copies within so much of a whole number are that number.
+NEAR = 1e-9
 
 
 def _u(seed: int) -> Column:
@@ -37,25 +40,70 @@ def _u(seed: int) -> Column:
     return bits.cast("double") * F.lit(2.0**-53) + F.lit(2.0**-54)
 
 
-def source_targets(sizes: DataFrame, weights=(5, 2, 1), total: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(_source, source_size, target) for each source of ``sizes`` (_source, _size).
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with _k, the place of _source by code point, null last, from 0: ranges are sorted and counted apart."""
+    order = F.col("_source").asc_nulls_last()
+    ranged = settle(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()), "sources")
+    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    before, rows = 0, []
+    for r in sorted(ranged.groupBy(part.alias("p")).count().collect()):  # one row for each range
+        rows.append((r["p"], before))
+        before += r["count"]
+    starts = sources.sparkSession.createDataFrame(rows, "_p long, _before long")
+    return ranged.join(F.broadcast(starts), part == F.col("_p")).withColumn("_k", F.col("_before") + at).drop("_m", "_p", "_before")
 
-    With sources in order of cap over weight, those at their cap are a prefix: one passes its cap if its share of what
-    the sources before it leave, by weight, is at least its cap.
+
+def source_targets(sources: DataFrame, weights=(5, 2, 1), total: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(_source, source_size, target) for each source of ``sources`` (_source, source_size).
+
+    What a weight of one gets is found in rounds: sources whose cap is below their share stop there and leave the rest to
+    the others, whose shares grow, until no more sources stop.
     """
-    by = sizes.groupBy("_source").agg(F.sum("_size").cast("long").alias("source_size"))
-    by = by.withColumn("_k", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())))
-    by = by.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_k") - 1, F.lit(len(weights))) + 1).cast("int")))
-    by = by.withColumn("_cap", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), "_k")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    by = by.withColumn("_sum", F.sum("source_size").over(everything) * F.lit(float(total)))
-    by = by.withColumn("_left", F.col("_sum") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))).withColumn("_share", F.sum("_w").over(after))
-    by = by.withColumn("_full", F.col("_cap") * F.col("_share") <= F.col("_left") * F.col("_w"))
-    rest = F.col("_sum") - F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(everything), F.lit(0.0))
-    rate = rest / F.sum(F.when(~F.col("_full"), F.col("_w"))).over(everything)
-    return by.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * rate)).select("_source", "source_size", "target")
+    by = numbered(sources).withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_k") % len(weights) + 1).cast("int")))
+    by = settle(by.select("_source", "source_size", "_w", (F.col("source_size") * F.lit(float(cap))).alias("_cap")), "shares")
+    share, words = 0.0, None
+    while True:
+        full = F.col("_cap") <= F.col("_w") * F.lit(share)
+        caps, rest, every = by.agg(F.sum(F.when(full, F.col("_cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_w"))), F.sum("source_size")).first()
+        words = total * (every or 0)
+        new = (words - caps) / rest if rest else share
+        if new <= share:
+            break
+        share = new
+    mine = F.col("_w") * F.lit(share)
+    return by.select("_source", "source_size", F.when(F.col("_cap") <= mine, F.col("_cap")).otherwise(mine).alias("target"))
+
+
+def rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
+    """(_source, source_size, target, _rate, _rest) from ``sizes`` (_source, _size, _n) and ``targets``, which are few enough
+    to be joined by Spark's choice. _rest is the words that whole copies leave to the sample.
+
+    With a rate at which a size just reaches the cap, larger sizes are at the cap and smaller ones below it. The largest
+    size at which that makes the target or more is the largest that stays below the cap.
+    """
+    t = targets.withColumnRenamed("_source", "_of")
+    rows = sizes.where("_size > 0").join(t, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+    up = Window.partitionBy("_source").orderBy("_size")
+    words, squares = F.col("_size") * F.col("_n"), F.col("_size").cast("decimal(38,0)") * F.col("_size") * F.col("_n")
+    rows = rows.withColumn("_upto", F.sum(words).over(up)).withColumn("_squares", F.sum(squares.cast("decimal(38,0)")).over(up).cast("double"))
+    above = (F.col("source_size") - F.col("_upto")) * F.lit(cap)
+    rows = rows.withColumn("_r", (F.col("target") - above) / F.col("_squares"))
+    makes = above + F.lit(cap) / F.col("_size") * F.col("_squares")
+    rows = rows.withColumn("_fits", (makes >= F.col("target")) | (F.row_number().over(up) == 1))
+    top = rows.groupBy("_source").agg(F.max(F.when(F.col("_fits"), F.struct("_size", "_r"))).alias("_top"))
+    top = top.select(F.col("_source").alias("_of"), F.col("_top._r").alias("_rate"))
+    rows = rows.join(top, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+    whole = F.sum(F.floor(_expected(cap) + NEAR) * words)
+    out = rows.groupBy("_source").agg(F.max("_rate").alias("_rate"), whole.alias("_whole_words"))
+    t = targets.withColumnRenamed("_source", "_of")
+    out = t.join(out, F.col("_source").eqNullSafe(F.col("_of")), "left").withColumn("_source", F.col("_of")).drop("_of")
+    return out.select("_source", "source_size", "target", "_rate", (F.col("target") - F.coalesce("_whole_words", F.lit(0))).alias("_rest"))
+
+
+def _expected(cap: float) -> Column:
+    """Expected copies of a document of a source of known rate. A source at its cap takes all copies."""
+    at_cap = F.col("target") >= F.col("source_size") * F.lit(float(cap))
+    return F.when(at_cap, F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.col("_rate") * F.col("_size")))
 
 
 def _id_or_least() -> Column:
@@ -87,55 +135,60 @@ def _joined(left: DataFrame, right: DataFrame, n_right: int) -> DataFrame:
     return left.join(right.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), total: float = 1.5, cap: float = 2.0, seed: int = 11, bins: int = 4096) -> DataFrame:
-    """``docs`` (doc_id, text, source and more) with _size, source_size, target and _copies, the copies the mix takes."""
-    sized = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_source", F.col("source")).withColumn("_id", F.col("doc_id"))
-    slim = settle(sized.select("_id", "_source", "_size"), "sizes")
-    targets = settle(source_targets(slim, weights, total, cap), "targets")
-    n = targets.count()
-    due = F.col("target") / F.col("source_size")
-    targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(due)).otherwise(0)).withColumn("_p", F.when(F.col("source_size") > 0, due - F.col("_whole")).otherwise(0.0))
-    targets = targets.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    # random odds over inclusion odds, folded into (0, 1); any p between 0 and 1 gives the same order within a source
-    p = F.least(F.greatest(F.col("_p"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = (_u(seed) / (1 - _u(seed))) / (p / (1 - p))
-    rank = odds / (1 + odds)
-
-    ranked = _joined(slim, targets, n).withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") * bins)).where("_size > 0")
+def _ranked(rows: DataFrame, plan: DataFrame, n: int, cap: float, seed: int, bins: int) -> DataFrame:
+    """``rows`` (_id, _source, _size) at their source's plan, with _whole copies, p, rank and bin."""
+    rows = _joined(rows, plan, n).withColumn("_due", F.when(F.col("_size") > 0, _expected(cap)).otherwise(0.0))
+    rows = rows.withColumn("_whole", F.floor(F.col("_due") + NEAR)).withColumn("_p", F.col("_due") - F.col("_whole")).drop("_due")
+    odds = (_u(seed) / (1 - _u(seed))) / (F.col("_p") / (1 - F.col("_p")))
+    rows = rows.withColumn("_rank", F.when(F.col("_p") > NEAR, odds / (1 + odds)))  # folded into (0, 1)
+    return rows.withColumn("_bin", F.floor(F.col("_rank") * bins))
+
+
+def plan_mix(slim: DataFrame, weights=(5, 2, 1), total: float = 1.5, cap: float = 2.0, seed: int = 11, bins: int = 4096) -> tuple[DataFrame, int]:
+    """One row for each source of ``slim`` (_id, _source, _size), with its target, rate and cut; and their number."""
+    sizes = settle(slim.groupBy("_source", "_size").agg(F.count("*").alias("_n")), "counted")
+    sources = sizes.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).cast("long").alias("source_size"))
+    plan = settle(rates(sizes, source_targets(sources, weights, total, cap), cap), "rates")
+    n = plan.count()
+    ranked = _ranked(slim, plan, n, cap, seed, bins).where("_rank is not null")
     # first the group of bins, then the bin in it, in which the running sum passes the rest; none if nothing is to be sampled
     group = int(bins**0.5)
     coarse = _passing(ranked.withColumn("_at", F.floor(F.col("_bin") / group)).withColumn("_base", F.lit(0)))
-    fine = _passing(_on(ranked.withColumn("_at", F.floor(F.col("_bin") / group)), coarse).withColumn("_at", F.col("_bin")))
-    holds = fine.withColumnRenamed("_at", "_bin")
+    fine = settle(_passing(_on(ranked.withColumn("_at", F.floor(F.col("_bin") / group)), coarse).withColumn("_at", F.col("_bin"))), "bins")
     edge = _on(ranked.withColumn("_at", F.col("_bin")), fine)
     within = Window.partitionBy("_source").orderBy("_rank", "_id", "_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     peers = edge.groupBy("_source", "_rank", "_id", "_size", "_base", "_rest").agg(F.sum("_size").alias("_here"))
     peers = peers.withColumn("_upto", F.col("_base") + F.sum("_here").over(within))
-    taken = peers.where(F.col("_upto") <= F.col("_rest"))
-    cut = taken.groupBy("_source").agg(F.max(F.struct("_rank", _id_or_least(), "_size")).alias("_cut"), F.max("_upto").alias("_in"))
-    held = holds.select(F.col("_source").alias("_of2"), F.col("_bin").alias("_edge"), "_base")
-    plan = targets.join(cut.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    place, below = F.struct("_upto", "_rank", _id_or_least(), "_size"), F.col("_upto") <= F.col("_rest")
+    ends = peers.groupBy("_source").agg(F.max(F.when(below, place)).alias("_a"), F.min(F.when(~below, place)).alias("_b"), F.first("_base").alias("_base"), F.first("_rest").alias("_rest"))
+    nearer = F.col("_b._upto") - F.col("_rest") < F.col("_rest") - F.coalesce(F.col("_a._upto"), F.col("_base"))
+    last = F.when(F.coalesce(nearer, F.lit(False)), F.col("_b")).otherwise(F.col("_a"))
+    cut = ends.select(F.col("_source").alias("_of"), last.alias("_l")).select("_of", F.when(F.col("_l").isNotNull(), F.struct("_l._rank", "_l.i", "_l._size")).alias("_cut"))
+    held = fine.select(F.col("_source").alias("_of2"), F.col("_at").alias("_edge"))
     plan = plan.join(held, F.col("_source").eqNullSafe(F.col("_of2")), "left").drop("_of2")
-    plan = settle(plan.withColumn("_gap", F.col("_rest") - F.coalesce("_in", "_base")), "plan")
-    # the words still wanting at the cut: the one document outside that fills them best, if any comes nearer
-    far = F.abs(F.col("_gap") - F.col("_size"))
-    spare = _joined(slim, plan, n).withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") * bins))
-    spare = spare.where((F.col("_size") > 0) & (F.col("_p") > 0) & ~_inside() & (far < F.col("_gap")))
-    fill = spare.groupBy("_source").agg(F.min_by(F.struct("_rank", _id_or_least(), "_size"), F.struct(far, "_rank", "_id")).alias("_fill"))
-    plan = settle(plan.join(fill.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of"), "plan")
+    return settle(plan.join(cut, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of"), "plan"), n
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_size", n_words(F.col("text"))).withColumn("_source", F.col("source")).withColumn("_id", F.col("doc_id"))
+
 
-    out = _joined(sized, plan, n).withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") * bins))
-    inside = _inside() | F.coalesce(F.struct("_rank", _id_or_least(), "_size") == F.col("_fill"), F.lit(False))
-    out = out.withColumn("_copies", F.when(F.col("_size") > 0, F.col("_whole") + inside.cast("int")).otherwise(0).cast("int"))
-    return out.select(*docs.columns, "_size", "source_size", "target", "_copies")
+def _taken(rows: DataFrame, plan: DataFrame, n: int, cap: float = 2.0, seed: int = 11, bins: int = 4096) -> DataFrame:
+    """``rows`` with _copies, the copies that the mix takes."""
+    out = _ranked(rows, plan, n, cap, seed, bins)
+    more = F.when(F.col("_rank").isNotNull(), _inside().cast("int")).otherwise(0)
+    return out.withColumn("_copies", (F.col("_whole") + more).cast("int"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights=(5, 2, 1), total: float = 1.5, cap: float = 2.0, seed: int = 11, bins: int = 4096) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    out = mix(pack(docs, "doc_id", "text", "source"), **options)
+    sized = _sized(pack(docs, "doc_id", "text", "source"))
+    plan, n = plan_mix(settle(sized.select("_id", "_source", "_size"), "sizes"), weights, total, cap, seed, bins)
+    out = _taken(sized, plan, n, cap, seed, bins)
     return unpack(out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).drop("_copy"), docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    out = mix(docs.select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
+    slim = settle(_sized(docs.select("doc_id", "text", "source")).select("_id", "_source", "_size"), "sizes")
+    out = _taken(slim, *plan_mix(slim))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))

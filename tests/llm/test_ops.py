@@ -376,22 +376,21 @@ def test_every_language_is_learned_from(spark):
 # 7
 
 
-def test_mix(spark):
-    docs = documents(spark)
-    got = mix.op7(docs)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mix.op7(docs.repartition(7)).collect()))
-    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect()}
-    source = {r["doc_id"]: r["source"] for r in docs.collect()}
-    rows = got.collect()
-    totals, taken, largest = {}, {}, {}
-    for r in rows:
-        s = source[r["doc_id"]]
-        assert r["size"] == size[r["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"]
-        totals[s] = totals.get(s, 0) + r["size"]
-        taken[s] = taken.get(s, 0) + r["taken"]
-        largest[s] = max(largest.get(s, 0), r["size"])
-    weights = dict(zip(sorted(totals), [5, 2, 1] * 99, strict=False))
-    target, capped = {}, set()
+def xxh64(*longs, seed=42):
+    """Spark's xxhash64 of whole numbers, each hashed with the hash before as seed."""
+    import xxhash
+
+    for x in longs:
+        seed = xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), seed=seed % (1 << 64))
+    return seed
+
+
+def brute_mix(rows, seed=11):
+    """{(doc_id, size, source): copies} and targets of rows (doc_id, size, source), document by document."""
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s))
+    totals = {n: sum(z for _, z, s in rows if s == n) for n in names}
+    weights = dict(zip(names, [5, 2, 1] * len(names), strict=False))
+    capped, target = set(), {}
     while True:  # share what is left among those below their cap
         left = 1.5 * sum(totals.values()) - sum(2 * totals[s] for s in capped)
         rest = sum(w for s, w in weights.items() if s not in capped)
@@ -400,9 +399,46 @@ def test_mix(spark):
         if not over:
             break
         capped |= over
-    for r in rows:
-        assert r["target"] == pytest.approx(target[source[r["doc_id"]]]) and r["source_size"] == totals[source[r["doc_id"]]]
-    assert all(abs(taken[s] - target[s]) <= largest[s] for s in totals)
+    copies = {}
+    for n in names:
+        mine = [(i, z) for i, z, s in rows if s == n]
+        low, high = 0.0, 2.0  # the least document has a word: at a rate of 2 all are at the cap
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(2.0, mid * z) * z for _, z in mine) < target[n] else (low, mid)
+        due = {(i, z): 2.0 if n in capped else min(2.0, high * z) for i, z in mine}
+        whole = {k: int(e + 1e-9) for k, e in due.items()}
+        gap = target[n] - sum(whole[i, z] * z for i, z in mine)
+        order = []
+        for i, z in mine:
+            p = due[i, z] - whole[i, z]
+            if p > 1e-9:
+                u = (xxh64(seed, i) >> 11) * 2.0**-53 + 2.0**-54
+                order.append(((u / (1 - u)) / (p / (1 - p)), i, z))
+        order.sort()
+        sums = np.cumsum([0] + [z for _, _, z in order])
+        n_taken = int(np.argmin(np.abs(sums - gap)))
+        for i, z in mine:
+            copies[i, z, n] = whole[i, z]
+        for _, i, z in order[:n_taken]:
+            copies[i, z, n] += 1
+    return copies, target, totals
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_mix(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    got = mix.op7(docs).collect()
+    if size == "sf0.001":
+        assert sorted(map(tuple, got)) == sorted(map(tuple, mix.op7(docs.repartition(7)).collect()))
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    size_of = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect()}
+    copies, target, totals = brute_mix([(i, z, source[i]) for i, z in size_of.items()])
+    assert len(got) == len(size_of) and {r["size"] > 0 and r["taken"] // r["size"] for r in got} == {0, 1, 2}
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["size"] == size_of[r["doc_id"]] and r["source_size"] == totals[s] and r["target"] == pytest.approx(target[s])
+        assert r["taken"] == copies[r["doc_id"], r["size"], s] * r["size"]
 
 
 def test_mix_odd_cases(odd, none):
@@ -412,6 +448,12 @@ def test_mix_odd_cases(odd, none):
     assert mix.mixed(odd).schema == odd.schema and mix.mixed(odd).count() == sum(r["taken"] // r["size"] for r in rows if r["size"])
 
 
+def test_sources_are_numbered(spark):
+    names = [None, "", "Z", "a", "\U0001f642", "\uffee", *[f"s{k}" for k in range(300)]]
+    got = mix.numbered(spark.createDataFrame([(n, 1) for n in names], "_source string, source_size bigint").repartition(5)).collect()
+    assert [r["_source"] for r in sorted(got, key=lambda r: r["_k"])] == [*sorted(n for n in names if n is not None), None]
+
+
 # 8
 
 
