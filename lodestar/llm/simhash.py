@@ -4,17 +4,18 @@ A text's words (A-Z lower-cased, split at white space) give shingles of ``shingl
 give one shingle, none give fingerprint zero. Bit i of the 64-bit fingerprint is 1 if it is set in over half of the
 shingles' XXH64 (seed 42). Two texts are linked if their fingerprints differ in at most ``max_bits`` bits.
 
-Eight positional bytes: at most ``max_bits`` of them differ between linked fingerprints, so that at least
-``need = 8 - max_bits`` agree. Lists of single bytes would hold 1/256 of all fingerprints each; the index therefore
-intersects them by ``need`` at a time: each distinct fingerprint is posted under each choice of ``need`` positions with
-their bytes. A pair's shared bytes are tallied, the pair is counted once, in the first list that its shared bytes name,
-and it is verified by its exact distance. Lists grow with the number of fingerprints over 2^(8 need).
-
-A list of over ``list_most`` fingerprints (near copies in great number) is not paired at all. Its members instead meet
+The index. Two fingerprints within ``max_bits`` agree in at least ``need = 8 - max_bits`` of their eight bytes. Each distinct
+fingerprint is posted under its bytes with their positions. A list of single bytes holds 1/256 of all fingerprints, so
+it is refined by further positions until lists are short: under ``depth`` bytes and positions at a time, ``depth`` being the
+least with less than one fingerprint for four lists, as a tree over the bytes grows with the logarithm of what it holds. For each
+pair the lists that hold both are tallied: two fingerprints that share m bytes meet in C(m, depth) lists. Pairs that reach
+the guaranteed minimum, C(need, depth), are retained and verified by their exact distance.
+
+A list of over ``list_most`` fingerprints (near copies in great number) is not paired. Its members instead meet
 at midpoints: two fingerprints differ in at most 4 bits just if some 64-bit value is within 2 bits of both, so each of
 them is posted under the values within 2 bits of it (2081 for 64 bits), and all that share one are linked through its
-least member. This is exact, finds the same groups, and grows with the members, not their pairs. For other ``max_bits``,
-which have to be even, midpoints are within half as many bits.
+least member. This is the exact way for the rest: it finds the same groups, also for pairs whose tally lacks such a list, and
+grows with the members, not their pairs. For other ``max_bits``, which have to be even, midpoints are within half as many bits.
 
 Equal fingerprints are one node throughout. Fingerprints are computed in Python (Arrow batches); all else is DataFrame
 operations. Rows that a third of the table shares are met by partial aggregation and by skew joins.
@@ -26,6 +27,7 @@ documents; a group of such rows alone has component_id null. Extra columns are k
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -81,14 +83,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _masks(need: int) -> list[int]:
-    return [_signed(sum(0xFF << (8 * p) for p in at)) for at in combinations(range(8), need)]
+def _masks(depth: int) -> list[int]:
+    return [_signed(sum(0xFF << (8 * p) for p in at)) for at in combinations(range(8), depth)]
 
 
-def _shared(a: Column, b: Column) -> list[Column]:
-    """For each of the eight positions, whether the bytes agree."""
-    x = a.bitwiseXOR(b)
-    return [x.bitwiseAND(F.lit(_signed(0xFF << (8 * p)))) == 0 for p in range(8)]
+def depth_of(n: int, need: int) -> int:
+    """How many bytes at a time ``n`` fingerprints are posted under."""
+    return next((d for d in range(1, need) if 4 * n < 256**d), need)
 
 
 def links(nodes: DataFrame, max_bits: int = 4, list_most: int = 256) -> DataFrame:
@@ -97,36 +98,28 @@ def links(nodes: DataFrame, max_bits: int = 4, list_most: int = 256) -> DataFram
     spark, need = nodes.sparkSession, 8 - max_bits
     if not 0 < need < 8 or max_bits % 2:
         raise ValueError("max_bits is 2, 4 or 6")
-    masks = _masks(need)
-    posted = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("p")).select("fp", "p.at", "p.key")
-    lists_path = new_path(spark, "lists")
+    depth = depth_of(nodes.count(), need)
+    spread = nodes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    under = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(depth))]))
+    posted = spread.select("fp", under.alias("p")).select("fp", "p.at", "p.key")
+    lists_path, member_path = new_path(spark, "lists"), new_path(spark, "members")
     lists = settle(posted.groupBy("at", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "lists", lists_path)
-    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
-    # the first choice of positions, in the order of combinations, that a pair shares is made of its first shared bytes
-    running = lambda a, b: [sum((s.cast("int") for s in _shared(a, b)[: p + 1]), F.lit(0)) for p in range(8)]
-
-    def first(a: Column, b: Column, at: Column) -> Column:
-        mask = F.lit(0).cast("long")
-        for p, (s, r) in enumerate(zip(_shared(a, b), running(a, b), strict=True)):
-            mask = mask.bitwiseOR(F.when(s & (r <= need), F.lit(_signed(0xFF << (8 * p)))).otherwise(F.lit(0).cast("long")))
-        return F.element_at(F.array(*[F.lit(m) for m in masks]), at + 1) == mask
-
-    twos = lists.where("n = 2").where(close(F.col("u"), F.col("v"))).select("u", "v")
+    twos = lists.where("n = 2").select("u", "v")
     longer = lists.where("n > 2").select("at", "key", "n")
     n_longer = longer.count()
-    member = posted.join(F.broadcast(longer) if n_longer <= BROADCAST_ROWS else longer, ["at", "key"])
-    member_path = new_path(spark, "members")
-    member = settle(member, "members", member_path)
+    member = settle(posted.join(F.broadcast(longer) if n_longer <= BROADCAST_ROWS else longer, ["at", "key"]), "members", member_path)
     inside = member.where(F.col("n") <= list_most).groupBy("at", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    pairs = F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & close(a, b) & first(a, b, F.col("at").cast("int"))), lambda b: F.struct(a.alias("u"), b.alias("v")))))
-    pairs = inside.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+    meet = F.flatten(F.transform("fps", lambda a, i: F.transform(F.slice("fps", i + 2, F.size("fps")), lambda b: F.struct(a.alias("u"), b.alias("v")))))
+    met = twos.unionAll(inside.select(F.explode(meet).alias("e")).select("e.u", "e.v"))
+    enough = met.groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= comb(need, depth))
+    pairs = enough.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
 
     crowd = member.where(F.col("n") > list_most).select("fp").distinct()
     # midpoints that only one member reaches fall away in the aggregation
     mid = crowd.select("fp", F.explode(F.expr(_flip_array(max_bits // 2))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     heart = mid.groupBy("mid").agg(F.min("fp").alias("u"), F.count("*").alias("k")).where("k > 1")
     stars = mid.join(heart, "mid").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
-    out = settle(twos.unionAll(pairs).unionAll(stars).distinct(), "links")
+    out = settle(pairs.unionAll(stars).distinct(), "links")
     for p in (lists_path, member_path):
         remove(spark, p)
     return out

@@ -159,12 +159,55 @@ def brute_groups(fps, ids, bits):
     return [least[root(k)] for k in range(len(ids))]
 
 
+def brute_fingerprint(text, shingle=4):
+    """The fingerprint by the contract's words, bit by bit."""
+    import xxhash
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("n", [10, 3000])  # posted under one byte, and two at a time
+@pytest.mark.parametrize("most", [256, 2])
+def test_simhash_links(spark, n, most):
+    rnd = random.Random(n)
+    fps = {rnd.getrandbits(64) for _ in range(n // 2)}
+    for f in list(fps):
+        for k in (rnd.choice([1, 3, 4, 5]) for _ in range(2)):
+            fps.add(f ^ sum(1 << b for b in rnd.sample(range(64), k)))
+    fps = sorted(fps)[: 3 * n // 2]
+    assert simhash.depth_of(len(fps), 4) == (1 if n == 10 else 2)
+    near = {(f, g) for i, f in enumerate(fps) for g in fps[i + 1 :] if (f ^ g).bit_count() <= 4}
+    sign = lambda f: f - (1 << 64) if f >> 63 else f
+    got = {tuple(r) for r in simhash.links(spark.createDataFrame([(sign(f),) for f in fps], "fp long"), list_most=most).collect()}
+    found = {frozenset(x % (1 << 64) for x in e) for e in got}
+    if most == 256:
+        assert found == {frozenset(e) for e in near}
+    want, have = (brute_classes(fps, e) for e in (near, found))
+    assert want == have
+
+
+def brute_classes(nodes, edges):
+    group = {x: {x} for x in nodes}
+    for a, b in map(tuple, edges):
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    return {frozenset(g) for g in group.values()}
+
+
 @pytest.mark.parametrize("most", [256, 2])
 def test_simhash(spark, most):
     docs = documents(spark).where("doc_id is not null")
     got = {r["doc_id"]: r for r in simhash.near_groups(docs, list_most=most).collect()}
     rows = pairs(docs)
-    fps = [simhash.fingerprint(t) for _, t in rows]
+    fps = [brute_fingerprint(t) for _, t in rows]
     for (i, _), f, c in zip(rows, fps, brute_groups(fps, [i for i, _ in rows], 4), strict=True):
         assert got[i]["fp"] % (1 << 64) == f and got[i]["component_id"] == c
 
