@@ -4,9 +4,14 @@ A line's key is the line stripped of white space at both ends with A-Z lower-cas
 points that is held by two or more documents keeps its lines in the smallest doc_id that holds it and loses all others.
 
 Batches of documents in ascending doc_id order go one by one against the runs: tables of (128-bit key hash, first
-doc_id), each sorted by hash. A batch is merge-joined with the runs, what is new to them is written as a run of its own
+doc_id), each bucketed and sorted by hash, all with the same buckets. A batch's keys become such a table too and are
+merge-anti-joined with the runs bucket by bucket, with neither shuffle nor sort; what is new to them is a run of its own
 at level 0, and a level that holds ``fanout`` runs is merged into one run of the next level. So each key is rewritten
-about log(batches) times, and no batch ever compares lines with lines.
+about log(batches) times, and no batch ever compares lines with lines. A batch loses the lines of all its keys that are
+not new, and of new keys those beyond the first document. Batches have ``batch_lines`` lines or so, a quarter of all at most.
+
+The merge joins need Spark to take the tables' order as given, which is a setting: they run in a session of their own,
+and the caller's settings stay as they are.
 
 Only DataFrame operations; hashes and positions are shuffled, and the texts once, by doc_id.
 
@@ -25,7 +30,7 @@ from lodestar.llm.text import lower_ascii, strip_white
 from lodestar.storage import new_path, remove, settle
 
 LAST = 9223372036854775807
-RUN = "h1 long, h2 long, first long"
+LINE = "_did long, _row long, pos int, h1 long, h2 long"
 
 
 def split_lines(text: Column) -> Column:
@@ -45,71 +50,117 @@ def hash_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return keys.select("_did", "_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
 
 
+class HashTables:
+    """Tables bucketed and sorted by (h1, h2) in the shared folder, and a session that relies on their order."""
+
+    def __init__(self, spark: SparkSession):
+        own = spark.newSession()
+        for key in ("spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+            if (value := spark.conf.get(key, None)) is not None and own.conf.isModifiable(key):
+                own.conf.set(key, value)
+        # a table's order counts only if asked for, and each of its buckets is one file
+        own.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.spark, self.names = own, {}
+        self.buckets = int(own.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """``df`` by bucket, so that each is written by one task, as one file."""
+        return df.repartition(self.buckets, "h1", "h2")
+
+    def write(self, df: DataFrame, kind: str) -> str:
+        """The name of a table of rows that lie by bucket, as those read from such tables do."""
+        path = new_path(self.spark, kind)
+        name = "lodestar_" + path.rsplit("/", 1)[-1].replace("-", "_")
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name, format="parquet")
+        self.names[name] = path
+        return name
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(name)
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.names.pop(name))
+
+
 class LineRuns:
-    """The runs, by level. Each run is a Parquet table sorted by hash within hash partitions."""
+    """The runs (h1, h2, first) by level."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    def __init__(self, tables: HashTables, fanout: int = 2):
+        self.tables, self.fanout, self.levels = tables, fanout, []
 
-    def known(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+    def new_of(self, keys: DataFrame) -> DataFrame:
+        """The rows of ``keys``, a table like the runs, whose hash no run holds."""
+        for run in (r for level in self.levels for r in level):
+            keys = keys.join(self.tables.read(run).hint("merge"), ["h1", "h2"], "left_anti")
+        return keys
 
-    def add(self, fresh: DataFrame, level: int = 0) -> None:
-        path = new_path(self.spark, f"run-{level}")
-        fresh.select("h1", "h2", "first").sortWithinPartitions("h1", "h2").write.parquet(path)
+    def add(self, run: str, level: int = 0) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             olds, self.levels[level] = self.levels[level], []
-            merged = self.spark.read.schema(RUN).parquet(*olds)
-            self.add(merged.repartition(F.col("h1"), F.col("h2")), level + 1)
-            for p in olds:
-                remove(self.spark, p)
+            merged = self.tables.read(olds[0]).select("h1", "h2", "first")
+            for old in olds[1:]:  # no key is in two runs
+                other = self.tables.read(old).select("h1", "h2", F.col("first").alias("second"))
+                merged = merged.join(other.hint("merge"), ["h1", "h2"], "full").select("h1", "h2", F.coalesce("first", "second").alias("first"))
+            self.add(self.tables.write(merged, f"run{level + 1}"), level + 1)
+            for old in olds:
+                self.tables.drop(old)
 
     def drop(self) -> None:
         for level in self.levels:
-            for p in level:
-                remove(self.spark, p)
+            for run in level:
+                self.tables.drop(run)
         self.levels = []
 
 
-def line_drops(docs: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+def line_drops(docs: DataFrame, min_chars: int = 10, batch_lines: int = 50_000_000, fanout: int = 2, least_batches: int = 4) -> DataFrame:
     """(_did, _row, drop: ascending line positions to drop) of the rows that lose lines."""
-    spark = docs.sparkSession
-    line_path = new_path(spark, "lines")
-    lines = settle(hash_lines(docs.select("doc_id", "text"), min_chars), "lines", line_path)
-    cuts = lines.select(F.percentile_approx("_did", [i / n_batches for i in range(1, n_batches)], 10000)).first()[0] or []
+    spark, tables = docs.sparkSession, HashTables(docs.sparkSession)
+    own = tables.spark
+    line_path, drop_path = new_path(spark, "lines"), new_path(spark, "drops")
+    settle(hash_lines(docs.select("doc_id", "text"), min_chars), "lines", line_path)
+    lines = own.read.schema(LINE).parquet(line_path)
+    n_batches = max(least_batches, -(-lines.count() // batch_lines))
+    cuts = lines.select(F.percentile_approx("_did", [i / n_batches for i in range(1, n_batches)], max(10_000, 10 * n_batches))).first()[0] or [] if n_batches > 1 else []
     cuts = sorted(set(cuts))
-    runs, parts, paths = LineRuns(spark, fanout), [], []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+    runs, parts, olds = LineRuns(tables, fanout), [], []
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         batch = lines
         if low is not None:
             batch = batch.where(F.col("_did") > low)
         if high is not None:
             batch = batch.where(F.col("_did") <= high)
-        own = batch.groupBy("h1", "h2").agg(F.min("_did").alias("lo"), F.max("_did").alias("hi"))
-        met = own.join(runs.known().withColumnRenamed("first", "seen"), ["h1", "h2"], "left")
-        met_path = new_path(spark, "met")
-        met = settle(met.select("h1", "h2", F.coalesce("seen", "lo").alias("first"), F.col("seen").isNull().alias("fresh"), (F.col("seen").isNotNull() | (F.col("hi") > F.col("lo"))).alias("shared")), "met", met_path)
-        runs.add(met.where("fresh"))
-        parts.append(batch.join(met.where("shared").select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("_did") > F.col("first")).select("_did", "_row", "pos"))
-        paths.append(met_path)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    # equal rows carry equal positions, so a set of positions is the whole answer
-    out = settle(out.groupBy("_did", "_row").agg(F.array_sort(F.collect_set("pos")).alias("drop")), "drops")
+        keys = tables.write(tables.dealt(batch.groupBy("h1", "h2").agg(F.min("_did").alias("first"), F.max("_did").alias("last"))), "keys")
+        run = tables.write(runs.new_of(tables.read(keys)), "run0")
+        new = tables.read(run)
+        again = tables.read(keys).join(new.hint("merge"), ["h1", "h2"], "left_anti")
+        lose = again.select("h1", "h2", F.lit(None).cast("long").alias("first")).unionAll(new.where(F.col("last") > F.col("first")).select("h1", "h2", "first"))
+        part_path = new_path(spark, "lost")
+        met = batch.join(lose, ["h1", "h2"]).where(F.col("first").isNull() | (F.col("_did") > F.col("first")))
+        settle(met.select("_did", "_row", "pos"), "lost", part_path)
+        tables.drop(keys)
+        parts.append(part_path)
+        if k < len(cuts):  # else no batch follows
+            runs.add(run)
+        else:
+            olds.append(run)
     runs.drop()
-    for p in [line_path, *paths]:
+    for run in olds:
+        tables.drop(run)
+    # equal rows carry equal positions, so a set of positions is the whole answer
+    lost = spark.read.schema("_did long, _row long, pos int").parquet(*parts)
+    out = settle(lost.groupBy("_did", "_row").agg(F.array_sort(F.collect_set("pos")).alias("drop")), "drops", drop_path)
+    for p in [line_path, *parts]:
         remove(spark, p)
     return out
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with ``_lines`` (all lines), ``_drop`` (positions dropped) and ``_kept`` (the text that stays)."""
-    drops = line_drops(docs, min_chars, n_batches, fanout)
+    drops = line_drops(docs, **options)
     keyed = docs.select("*", *_row_key(docs))
     out = keyed.join(drops, ["_did", "_row"], "left").drop("_did", "_row")
     out = out.withColumn("_lines", split_lines(F.col("text"))).withColumn("_drop", F.coalesce("drop", F.array().cast("array<int>"))).drop("drop")

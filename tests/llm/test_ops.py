@@ -658,7 +658,7 @@ def brute_lines(rows):
 @pytest.mark.parametrize("batches", [1, 4, 9])
 def test_lines(spark, odd, none, batches):
     for docs in (documents(spark), odd.select("doc_id", "text")):
-        out = line_dedup.dedup_lines(docs, n_batches=batches)
+        out = line_dedup.dedup_lines(docs, least_batches=batches)
         got = [(str(r["doc_id"]), len(r["_lines"]), len(r["_drop"]), hashlib.sha256(r["_kept"].encode()).hexdigest()) for r in out.collect()]
         assert sorted(got) == brute_lines(pairs(docs))
     assert sorted((str(r["doc_id"]), *r[1:]) for r in line_dedup.op10(odd).collect()) == brute_lines(pairs(odd))
@@ -667,6 +667,25 @@ def test_lines(spark, odd, none, batches):
     assert whole.columns == odd.columns and whole.where("h1 = 'h' and _drop = 'd'").count() == odd.where("h1 = 'h'").count()
 
 
+def test_runs_are_joined_without_shuffle_or_sort(spark):
+    tables = line_dedup.HashTables(spark)
+    keys = lambda a, b: tables.spark.range(a, b).selectExpr("xxhash64(id) as h1", "id as h2", "id as first").groupBy("h1", "h2").agg(F.min("first").alias("first")).transform(tables.dealt)
+    runs = line_dedup.LineRuns(tables)
+    runs.add(tables.write(keys(0, 4000), "run0"))
+    runs.add(tables.write(keys(4000, 6000), "run0"))
+    runs.add(tables.write(keys(6000, 9000), "run0"))
+    assert [len(level) for level in runs.levels] == [1, 1]
+    batch = tables.write(keys(1000, 9500), "keys")
+    new = runs.new_of(tables.read(batch))
+    assert sorted(r["h2"] for r in new.collect()) == list(range(9000, 9500))
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan and "LeftAnti" in plan
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    runs.drop()
+    tables.drop(batch)
+    assert not tables.names
+
+
 def test_lines_as_sql(spark):
     import duckdb
 
