@@ -7,14 +7,15 @@ shingles' XXH64 (seed 42). Two texts are linked if their fingerprints differ in
 The index. Two fingerprints within ``max_bits`` agree in at least ``need = 8 - max_bits`` of their eight bytes. Each distinct
 fingerprint is posted under its bytes with their positions. A list of single bytes holds 1/256 of all fingerprints, so
 it is refined by further positions until lists are short: under ``depth`` bytes and positions at a time, ``depth`` being the
-least with less than one fingerprint for four lists, as a tree over the bytes grows with the logarithm of what it holds. For each
-pair the lists that hold both are tallied: two fingerprints that share m bytes meet in C(m, depth) lists. Pairs that reach
-the guaranteed minimum, C(need, depth), are retained and verified by their exact distance.
+least with less than one fingerprint for four lists, as a tree over the bytes grows with the logarithm of what it holds. A posting
+is the whole fingerprint: where a pair meets first, in the list of its first shared bytes, its shared positional bytes are
+tallied, all eight at once and without a shuffle of counts. Pairs that reach the guaranteed minimum ``need`` are
+retained and verified by their exact distance.
 
 A list of over ``list_most`` fingerprints (near copies in great number) is not paired. Its members instead meet
 at midpoints: two fingerprints differ in at most 4 bits just if some 64-bit value is within 2 bits of both, so each of
 them is posted under the values within 2 bits of it (2081 for 64 bits), and all that share one are linked through its
-least member. This is the exact way for the rest: it finds the same groups, also for pairs whose tally lacks such a list, and
+least member. This is the exact way for the rest: it finds the same groups and
 grows with the members, not their pairs. For other ``max_bits``, which have to be even, midpoints are within half as many bits.
 
 Equal fingerprints are one node throughout. Fingerprints are computed in Python (Arrow batches); all else is DataFrame
@@ -27,7 +28,6 @@ documents; a group of such rows alone has component_id null. Extra columns are k
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ SEED = 42
 BLOCK = 1 << 15
 #: A table of at most so many list keys (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
+#: In several lists of that length a fingerprint meets about as many others as it has midpoints.
+LIST_MOST = 512
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -87,12 +89,26 @@ def _masks(depth: int) -> list[int]:
     return [_signed(sum(0xFF << (8 * p) for p in at)) for at in combinations(range(8), depth)]
 
 
+def _linked(a: Column, b: Column, at: Column, depth: int, need: int, max_bits: int) -> Column:
+    """Whether list ``at`` is the one of the first ``depth`` bytes that a pair shares, the tally of all its shared bytes
+    reaches ``need``, and its distance is ``max_bits`` at most."""
+    apart = a.bitwiseXOR(b)
+    shared = [(apart.bitwiseAND(F.lit(_signed(0xFF << (8 * p)))) == 0).cast("int") for p in range(8)]
+    tally = sum(shared[1:], shared[0])
+    first, before = F.lit(0).cast("long"), F.lit(0)
+    for p in range(8):
+        mine = F.when((shared[p] == 1) & (before < depth), F.lit(_signed(0xFF << (8 * p)))).otherwise(F.lit(0).cast("long"))
+        first, before = first.bitwiseOR(mine), before + shared[p]
+    here = F.element_at(F.array(*[F.lit(m) for m in _masks(depth)]), at.cast("int") + 1)
+    return (tally >= need) & (F.bit_count(apart) <= max_bits) & (first == here)
+
+
 def depth_of(n: int, need: int) -> int:
     """How many bytes at a time ``n`` fingerprints are posted under."""
     return next((d for d in range(1, need) if 4 * n < 256**d), need)
 
 
-def links(nodes: DataFrame, max_bits: int = 4, list_most: int = 256) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = 4, list_most: int = LIST_MOST) -> DataFrame:
     """Edges (u, v) over the distinct fingerprints of ``nodes`` (fp): every pair of lists up to ``list_most``, and for
     larger lists a star through each midpoint. They connect just those that links of at most ``max_bits`` bits connect."""
     spark, need = nodes.sparkSession, 8 - max_bits
@@ -104,15 +120,14 @@ def links(nodes: DataFrame, max_bits: int = 4, list_most: int = 256) -> DataFram
     posted = spread.select("fp", under.alias("p")).select("fp", "p.at", "p.key")
     lists_path, member_path = new_path(spark, "lists"), new_path(spark, "members")
     lists = settle(posted.groupBy("at", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "lists", lists_path)
-    twos = lists.where("n = 2").select("u", "v")
+    twos = lists.where("n = 2").where(_linked(F.col("u"), F.col("v"), F.col("at"), depth, need, max_bits)).select("u", "v")
     longer = lists.where("n > 2").select("at", "key", "n")
     n_longer = longer.count()
     member = settle(posted.join(F.broadcast(longer) if n_longer <= BROADCAST_ROWS else longer, ["at", "key"]), "members", member_path)
     inside = member.where(F.col("n") <= list_most).groupBy("at", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    meet = F.flatten(F.transform("fps", lambda a, i: F.transform(F.slice("fps", i + 2, F.size("fps")), lambda b: F.struct(a.alias("u"), b.alias("v")))))
-    met = twos.unionAll(inside.select(F.explode(meet).alias("e")).select("e.u", "e.v"))
-    enough = met.groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= comb(need, depth))
-    pairs = enough.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
+    found = lambda a, i: F.filter(F.slice("fps", i + 2, F.size("fps")), lambda b: _linked(a, b, F.col("at"), depth, need, max_bits))
+    pairs = F.flatten(F.transform("fps", lambda a, i: F.transform(found(a, i), lambda b: F.struct(a.alias("u"), b.alias("v")))))
+    pairs = twos.unionAll(inside.select(F.explode(pairs).alias("e")).select("e.u", "e.v"))
 
     crowd = member.where(F.col("n") > list_most).select("fp").distinct()
     # midpoints that only one member reaches fall away in the aggregation
@@ -134,7 +149,7 @@ def _flip_array(bits: int) -> str:
     return out
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, list_most: int = 256) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, list_most: int = LIST_MOST) -> DataFrame:
     """(doc_id, row, fp, component_id, group) of every row of ``docs`` (doc_id, text). ``group`` is the least fingerprint of
     the row's group; unlike component_id it tells groups apart whose rows share a doc_id, or have none."""
     spark = docs.sparkSession

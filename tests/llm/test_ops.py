@@ -173,7 +173,7 @@ def brute_fingerprint(text, shingle=4):
 
 
 @pytest.mark.parametrize("n", [10, 3000])  # posted under one byte, and two at a time
-@pytest.mark.parametrize("most", [256, 2])
+@pytest.mark.parametrize("most", [512, 2])
 def test_simhash_links(spark, n, most):
     rnd = random.Random(n)
     fps = {rnd.getrandbits(64) for _ in range(n // 2)}
@@ -186,7 +186,7 @@ def test_simhash_links(spark, n, most):
     sign = lambda f: f - (1 << 64) if f >> 63 else f
     got = {tuple(r) for r in simhash.links(spark.createDataFrame([(sign(f),) for f in fps], "fp long"), list_most=most).collect()}
     found = {frozenset(x % (1 << 64) for x in e) for e in got}
-    if most == 256:
+    if most == 512:
         assert found == {frozenset(e) for e in near}
     want, have = (brute_classes(fps, e) for e in (near, found))
     assert want == have
