@@ -287,39 +287,76 @@ def test_like_groups(spark, most):
 # 4
 
 
-def test_forest(spark):
-    v = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    p = v.toPandas()
-    x, ids = np.stack(p["embedding"]).astype(float), p["vec_id"].to_numpy()
+def nearest_of(x, ids, q, k=20):
+    """The rows nearest to each of ``q`` (rows of x), best first, ties to smaller ids."""
+    out = []
+    for i in q:
+        s = (x * x[i]).sum(1)
+        order = np.lexsort((ids, -s))
+        out.append(([int(ids[o]) for o in order if ids[o] != ids[i]][:k], s))
+    return out
+
+
+def recall_of(rows, x, ids, every=20):
     got = {}
-    for r in forest.op4(v).collect():
+    for r in rows:
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    asked = np.flatnonzero(ids % every == 0)
+    assert set(got) == set(ids[asked].tolist())
     recall = []
-    assert set(got) == set(ids[ids % 20 == 0].tolist())
-    for q, found in got.items():
-        found.sort()
-        s = (x * x[ids == q]).sum(1)
-        best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
-        assert [r for r, _, _ in found] == list(range(1, 21))
-        assert all(score == s[ids == i][0] for _, i, score in found)
-        recall.append(len({i for _, i, _ in found} & set(best)) / 20)
-    assert np.mean(recall) >= 0.9
-
-
-def test_forest_ascent_is_no_scan(spark):
-    p = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    for i, (best, s) in zip(asked, nearest_of(x, ids, asked), strict=True):
+        found = sorted(got[ids[i]])
+        assert [r for r, _, _ in found] == list(range(1, len(best) + 1))
+        assert all(score == s[ids == v][0] for _, v, score in found)
+        assert [(-c, v) for _, v, c in found] == sorted((-c, v) for _, v, c in found)
+        recall.append(len({v for _, v, _ in found} & set(best)) / len(best))
+    return np.mean(recall)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_forest(spark, size):
+    v = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    p = v.toPandas()
     x, ids = np.stack(p["embedding"]).astype(float), p["vec_id"].to_numpy()
-    for some in (slice(None), slice(0, 400)):
-        x, ids = x[some], ids[some]
-        ask = np.flatnonzero(ids % 20 == 0)
-        f = forest.Forest(x)
-        share = np.mean([m.mean() for m in f.candidates(x[ask], least=21)])
-        found = {q: set(best.tolist()) for q, best, _ in f.search(ids, x[ask], ids[ask], 20)}
-        s = x[ask] @ x.T
-        s[np.arange(len(ask)), ask] = -np.inf
-        recall = np.mean([len(found[ids[a]] & set(ids[np.argsort(-s[i])[:20]].tolist())) / 20 for i, a in enumerate(ask)])
-        print(f"rows {len(ids)} candidate share {share:.3f} recall {recall:.3f}")
-        assert share < 0.9 and recall >= 0.9
+    assert recall_of(forest.op4(v).collect(), x, ids) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random"])
+def test_forest_of_many_blocks(spark, kind):
+    rng = np.random.default_rng(6)
+    n = 20_000
+    x = rng.standard_normal((n, 32))
+    if kind == "clustered":
+        x = rng.standard_normal((600, 32))[rng.integers(0, 600, n)] + 0.3 * x
+        x[:300] = x[0]  # copies
+    x = x.astype(np.float32)
+    ids = np.arange(n)
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id bigint, embedding array<float>")
+    assert recall_of(forest.neighbours(v, every=100, block_rows=3000, chunk_rows=64).collect(), x.astype(float), ids, 100) >= 0.9
+
+
+def test_ascent_scores_few_rows_of_clusters():
+    rng = np.random.default_rng(7)
+    n = 20_000
+    alike = rng.standard_normal((500, 64))[rng.integers(0, 500, n)] + 0.35 * rng.standard_normal((n, 64))
+    apart = rng.standard_normal((n, 64))
+    for x, most in ((alike, 0.2), (apart / np.linalg.norm(apart, axis=1)[:, None], 0.6)):
+        f = forest.Forest(x, np.arange(n), np.sqrt((x * x).sum(1).max()))
+        q = np.arange(0, n, 100)
+        got = [set(at.tolist()) for _, at, _ in f.search(x[q], q, np.full(len(q), -np.inf), 20)]
+        recall = np.mean([len(g & set(b)) / 20 for g, (b, _) in zip(got, nearest_of(x, np.arange(n), q), strict=True)])
+        assert recall >= 0.9 and f.scored / len(q) / n < most
+
+
+def test_few_blocks_are_visited():
+    blocks = forest.cut_blocks([(8, r, p, 10) for r in range(4) for p in range(1 << 10)], 80)
+    assert len(blocks) == 4 * 128 and all(parts == 1 for *_, parts in blocks)
+    assert [b[4] for b in forest.cut_blocks([(8, 0, 5, 7), (8, 0, 6, 900), (8, 0, 9, 7)], 100)] == [1, 9, 1]
+    near, far = forest.plan_visits(np.array([0.97]), 4, 0.06), forest.plan_visits(np.array([0.62]), 4, 0.06)
+    assert near[0][0] * 0.5 ** near[1][0] < 0.001 and (far[0][0], far[1][0]) == (1, 0)
+    for p in (0.7, 0.8, 0.9, 0.99):
+        m, x = forest.plan_visits(np.array([p]), 4, 0.06)
+        assert (1 - p ** x[0]) ** m[0] <= 0.06
 
 
 def test_forest_odd_cases(spark):
