@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.storage import settle
+from lodestar.storage import new_path, remove, settle
 
 
 def shortest_paths(edges: DataFrame) -> DataFrame:
@@ -14,14 +14,17 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
     Each round joins the table with itself and doubles the edges that a path may have, until nothing changes; rounds are
     bounded by the logarithm of the number of vertices, beyond which only a negative cycle would go on.
     """
-    now = settle(edges.groupBy("src", "dst").agg(F.min("w").cast("bigint").alias("dist")), "paths")
+    path = new_path(edges.sparkSession, "paths")
+    now = settle(edges.groupBy("src", "dst").agg(F.min("w").cast("bigint").alias("dist")), "paths", path)
     vertices = max(2, now.select("src").union(now.select("dst")).distinct().count())
     sign = None
     for _ in range((vertices - 1).bit_length() + 1):
         left = now.select("src", F.col("dst").alias("via"), F.col("dist").alias("d1"))
         right = now.select(F.col("src").alias("via"), "dst", F.col("dist").alias("d2"))
         longer = left.join(right, "via").select("src", "dst", (F.col("d1") + F.col("d2")).alias("dist"))
-        now = settle(now.unionByName(longer).groupBy("src", "dst").agg(F.min("dist").alias("dist")), "paths")
+        old, path = path, new_path(edges.sparkSession, "paths")
+        now = settle(now.unionByName(longer).groupBy("src", "dst").agg(F.min("dist").alias("dist")), "paths", path)
+        remove(edges.sparkSession, old)
         new = tuple(now.agg(F.count("*"), F.sum("dist")).first())
         if new == sign:
             break

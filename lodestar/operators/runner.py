@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shlex
 import subprocess
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,19 @@ from pyspark.sql import DataFrame
 
 def run_commands(planned: DataFrame, slices: int = 10, column: str = "command", dry: bool = True) -> DataFrame:
     """(command, code) of each planned command. ``dry`` gives null codes and starts nothing; otherwise each task runs its
-    share of commands by the shell, one after another. Retried tasks run theirs again."""
+    share of commands, one after another, without a shell: words are as shlex has them. A command that cannot be started
+    has the code 127. Retried tasks run theirs again."""
+
+    def start(command: str) -> int:
+        try:
+            return subprocess.run(shlex.split(command), check=False).returncode
+        except OSError:
+            return 127
+
 
     def go(batches):
         for b in batches:
-            codes = [None if dry else subprocess.run(c, shell=True, check=False).returncode for c in b["command"]]
+            codes = [None if dry else start(c) for c in b["command"]]
             yield b.assign(code=codes).astype({"code": "Int32"})
 
     return planned.selectExpr(f"{column} as command").repartition(slices).mapInPandas(go, "command string, code int")

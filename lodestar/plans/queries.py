@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.sam import mark_duplicate, parse_read, read_line, region_key
-from lodestar.operators import dedup, graph, merge, partition, profile, regions, vector
+from lodestar.operators import contigs, dedup, graph, kdtree, merge, partition, profile, regions, vector
 from lodestar.plans import views as v
-from lodestar.storage import new_path
+from lodestar.sinks import reads as sinks
+from lodestar.sources import text as sources
+from lodestar.storage import new_path, remove, settle
 from lodestar.streaming import frames as streams
 
 PARTITIONS, REGION_PARTITIONS, TILE, RADIUS, K = 32, 16, 10_000_000, 1.25, 10
@@ -227,6 +230,24 @@ def vector_knn_multi(s, d):
     return vector.nearest_of_each(e, e.where(F.col("vec_id") % 20 == 0), K, blocks=16).withColumn("dist", F.round("dist", 6))
 
 
+def _tree(s, d):
+    """A KD tree over the vectors: rows with their leaf, boxes, splits and levels."""
+    splits, levels = kdtree.build(v.vectors(s, d), leaf_rows=250, levels=4)
+    placed = settle(kdtree.descend(v.vectors(s, d), splits, levels), "leaves")
+    return placed, kdtree.boxes(placed), splits, levels
+
+
+@query(f"WITH {DIST} SELECT vec_id, label, round(x, 6) AS dist FROM dist WHERE x < {RADIUS}")
+def vector_tree_range(s, d):
+    placed, box, _, _ = _tree(s, d)
+    return kdtree.range_search(placed, box, _point(s, d)[0], RADIUS).select("vec_id", "label", F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH {DIST} SELECT CAST(row_number() OVER (ORDER BY x, vec_id) AS INTEGER) AS rank, vec_id, label, round(x, 6) AS dist FROM dist ORDER BY x, vec_id LIMIT {K}")
+def vector_tree_knn(s, d):
+    return kdtree.nearest(*_tree(s, d), _point(s, d)[0], K).select("rank", "vec_id", "label", F.round("dist", 6).alias("dist"))
+
+
 @query(f"WITH {DIST} SELECT label, vec_id, round(x, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY x, vec_id) AS k FROM dist) WHERE k = 1")
 def vector_nearest_per_label(s, d):
     return vector.nearest_per_label(v.vectors(s, d), _point(s, d)[0]).withColumn("dist", F.round("dist", 6))
@@ -371,7 +392,7 @@ def stream_region_batches(s, d):
     source, out = new_path(s, "frames"), new_path(s, "regions")
     v.frames(s, d).write.text(source)
     streams.run_regions(streams.frame_stream(s, source, files_per_batch=4), v.contigs(s, d), out, new_path(s, "offsets"), REGION_PARTITIONS)
-    got = s.read.schema("pid int, region_key bigint, value string").parquet(f"{out}/*/reads").select("pid", "region_key", parse_read(F.col("value")).alias("r"))
+    got = s.read.schema("pid int, region_key bigint, value string").parquet(f"{out}/stream-*/reads").select("pid", "region_key", parse_read(F.col("value")).alias("r"))
     return got.groupBy("region_key", "pid").agg(F.count("*").alias("n_reads"), F.countDistinct("r.qname").alias("n_qnames"), F.sum("r.pos").alias("sum_pos"))
 
 
@@ -380,4 +401,81 @@ def stream_frame_count(s, d):
     source, out = new_path(s, "frames"), new_path(s, "counts")
     v.frames(s, d).write.text(source)
     streams.count_frames(streams.frame_stream(s, source, files_per_batch=4), out, new_path(s, "offsets"))
-    return s.read.schema("n bigint").parquet(f"{out}/*").agg(F.sum("n").alias("n_frames"))
+    remove(s, source)
+    return s.read.schema("total bigint").parquet(f"{out}/*").agg(F.max("total").alias("n_frames"))
+
+
+@query(f"""WITH {CONTIGS}, k AS (SELECT r.*, c.idx * 1000 + r.pos // 100000000 AS region_key FROM reads r JOIN contigs c ON r.rname = c.rname)
+SELECT region_key, CAST(region_key % {REGION_PARTITIONS} AS INTEGER) AS pid, count(*) AS n_reads FROM k GROUP BY region_key""")
+def stream_header_control(s, d):
+    """The dictionary comes from the stream's own header, and the stream ends at its end line."""
+    source, out = new_path(s, "frames"), new_path(s, "regions")
+    header = v.contigs(s, d).where("idx > 0").orderBy("idx").select(F.concat(F.lit("@SQ\tSN:"), "rname").alias("value"))
+    header.coalesce(1).write.text(source)
+    v.frames(s, d).coalesce(8).write.mode("append").text(source)
+    s.createDataFrame([("##end",)], "value string").coalesce(1).write.mode("append").text(source)
+    streams.run_regions(streams.frame_stream(s, source), None, out, new_path(s, "offsets"), REGION_PARTITIONS, interval="1 second")
+    remove(s, source)
+    return s.read.schema("pid int, region_key bigint").parquet(f"{out}/stream-*/reads").groupBy("region_key", "pid").agg(F.count("*").alias("n_reads"))
+
+
+# written in a format of the engine, and read again
+
+
+@query(f"WITH {CONTIGS} SELECT rname, CAST(idx AS INTEGER) AS idx FROM contigs UNION ALL SELECT '*', 0")
+def header_dictionary(s, d):
+    path = new_path(s, "header")
+    c = v.contigs(s, d).where("idx > 0").orderBy("idx").select(F.concat(F.lit("@SQ\tSN:"), "rname").alias("value"))
+    tail = v.frames(s, d).where("value like '1%'")
+    c.coalesce(1).unionAll(c.coalesce(1)).unionAll(tail).coalesce(1).write.text(path)
+    return contigs.dictionary_of_header(sources.read_header(s, path))
+
+
+@query(f"WITH {READS} SELECT dedup_key, qname, flag, rname, pos FROM reads")
+def keyed_layout_reads(s, d):
+    path, r = new_path(s, "keyed"), v.plain_reads(s, d)
+    r.select(F.concat("dedup_key", F.lit(" lane@"), read_line(F.col("qname"), F.col("flag"), F.col("rname"), F.col("pos"))).alias("value")).write.text(path)
+    return sources.read_reads(s, path, "keyed")[0].select("dedup_key", "qname", "flag", "rname", "pos")
+
+
+@query(f"WITH {KEYS} SELECT qname, dedup_key, CASE WHEN CAST(qname AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS un1, 0 AS un2 FROM keys")
+def keys_of_four_columns(s, d):
+    path = new_path(s, "keys4")
+    sinks.write_keys(v.keys4(s, d), path)
+    return sources.read_keys(s, path, 4)
+
+
+@query(f"""WITH {READS}, {PLAN}, a AS (SELECT r.rname, CAST(r.pos % p.parts + p.acc AS INTEGER) AS pid FROM reads r JOIN plan p ON r.rname = p.rname)
+SELECT DISTINCT 'part-' || lpad(CAST(pid AS VARCHAR), 5, '0') AS part, CASE WHEN rname = '*' THEN 'unmapped' ELSE rname END AS rname FROM a""")
+def manifest_read(s, d):
+    path, r = new_path(s, "manifest"), v.plain_reads(s, d)
+    sinks.write_manifest(partition.assign(r, partition.plan(profile.contig_counts(r), PARTITIONS)), path)
+    return sources.read_manifest(s, path).select("part", F.explode("rnames").alias("rname"))
+
+
+@query(f"WITH {CONTIGS} SELECT rname, CAST(length AS BIGINT) AS length FROM contigs")
+def fai_read(s, d):
+    path = new_path(s, "fai")
+    v.contigs(s, d).where("idx > 0").select(F.concat_ws("\t", "rname", "length", F.lit("6"), F.lit("60")).alias("value")).write.text(path)
+    return sources.read_fai(s, path)
+
+
+@query(f"WITH {READS} SELECT rname, file, count(*) AS n FROM reads GROUP BY rname, file")
+def contig_counts_read(s, d):
+    path = new_path(s, "rname")
+    sinks.write_contig_counts(v.reads(s, d), path)
+    got = sources.read_contig_counts(s, f"{path}/*")
+    return got.select("rname", F.regexp_extract("file", r"file=(\d+)/", 1).cast("int").alias("file"), "n")
+
+
+@query(f"""WITH {CONTIGS}, k AS (SELECT r.*, c.idx * 1000000 + r.pos // 1000000 AS region_key FROM reads r JOIN contigs c ON r.rname = c.rname)
+SELECT CAST(region_key % {REGION_PARTITIONS} AS INTEGER) AS pid, count(*) AS n_reads, CAST(0 AS BIGINT) AS n_unsorted, CAST(1 AS BIGINT) AS n_headers FROM k GROUP BY 1""")
+def sorted_text_files(s, d):
+    """The files of sorted reads that begin with a header: their reads, those out of order, and their header lines."""
+    path, r = new_path(s, "sorted"), v.plain_reads(s, d)
+    sinks.write_reads(partition.assign_regions(r, v.contigs(s, d), REGION_PARTITIONS, "fine"), path, REGION_PARTITIONS, ["@HD\tSO:coordinate"])
+    lines = s.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"part-(\d+)", 1).cast("int").alias("pid"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("line <> ''")
+    pos = F.when(F.col("line").startswith("@"), F.lit(-1)).otherwise(parse_read(F.col("line"))["pos"])
+    order = Window.partitionBy("pid").orderBy("at")
+    seen = lines.withColumn("pos", pos).withColumn("before", F.lag("pos").over(order))
+    return seen.groupBy("pid").agg(F.count_if(F.col("pos") >= 0).alias("n_reads"), F.count_if(F.col("before") > F.col("pos")).alias("n_unsorted"), F.count_if(F.col("pos") < 0).alias("n_headers"))

@@ -32,9 +32,10 @@ def read_reads(spark: SparkSession, paths, layout: str = "sam", bad_pos: int | N
 
 
 def read_header(spark: SparkSession, paths) -> DataFrame:
-    """Header lines (value, at), in file order. ``at`` grows along the file."""
-    lines = spark.read.text(paths, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    return lines.where(is_header(F.col("value")))
+    """Header lines (value, at). ``at`` grows along each file: where the line's split of the file begins, and its place in
+    what a task reads, which is in the order of the file. Reads, in the same file or not, are passed over line by line."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("n"))
+    return lines.where(is_header(F.col("value"))).select("value", F.struct("begin", "n").alias("at"))
 
 
 def read_keys(spark: SparkSession, paths, columns: int = 2) -> DataFrame:

@@ -62,3 +62,15 @@ def test_greeting_source(spark, tmp_path):
     finally:
         query.stop()
         server.close()
+
+
+def test_header_end_and_totals(spark, tmp_path, rows):
+    (tmp_path / "in").mkdir()
+    for k, lines in enumerate((LINES[:3], ["@SQ\tSN:d", *LINES[3:5]], ["##end"])):
+        (tmp_path / "in" / f"{k}.txt").write_text("\n".join(lines))
+    stream = lambda: frames.frame_stream(spark, f"{tmp_path}/in", files_per_batch=1)
+    frames.run_regions(stream(), None, f"{tmp_path}/out", f"{tmp_path}/offsets", interval="100 milliseconds")
+    got = spark.read.parquet(f"{tmp_path}/out/stream-*/reads")
+    assert rows(got, "region_key", "pid") == [(1000, 8), (1001, 9), (2000, 0)]
+    frames.count_frames(stream(), f"{tmp_path}/n", f"{tmp_path}/offsets2")
+    assert rows(spark.read.parquet(f"{tmp_path}/n"), "batch", "n", "total") == [(0, 1, 1), (1, 2, 3), (2, 0, 3)]
