@@ -19,7 +19,6 @@ def run_commands(planned: DataFrame, slices: int = 10, column: str = "command",
         except OSError:
             return 127
 
-
     def go(batches):
         for b in batches:
             codes = [None if dry else start(c) for c in b["command"]]

@@ -78,9 +78,9 @@ def test_merge_plans(spark):
 
 
 def test_runner(spark):
-    plan = spark.createDataFrame([("exit 3",), ("true",)], "command string")
-    assert [r["code"] for r in runner.run_commands(plan, 2).collect()] == [None, None]
-    assert sorted(r["code"] for r in runner.run_commands(plan, 2, dry=False).collect()) == [0, 3]
+    plan = spark.createDataFrame([("sh -c 'exit 3'",), ("true",), ("no-such-tool",)], "command string")
+    assert [r["code"] for r in runner.run_commands(plan, 2).collect()] == [None, None, None]
+    assert sorted(r["code"] for r in runner.run_commands(plan, 2, dry=False).collect()) == [0, 3, 127]
 
 
 def test_shortest_paths(spark):

@@ -1,5 +1,6 @@
 """Streams give what a batch over the same lines gives."""
 
+import os
 import socket
 import struct
 import threading
@@ -68,6 +69,7 @@ def test_header_end_and_totals(spark, tmp_path, rows):
     (tmp_path / "in").mkdir()
     for k, lines in enumerate((LINES[:3], ["@SQ\tSN:d", *LINES[3:5]], ["##end"])):
         (tmp_path / "in" / f"{k}.txt").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{k}.txt", (1_700_000_000 + k,) * 2)  # streams take the oldest first
     stream = lambda: frames.frame_stream(spark, f"{tmp_path}/in", files_per_batch=1)
     frames.run_regions(stream(), None, f"{tmp_path}/out", f"{tmp_path}/offsets", interval="100 milliseconds")
     got = spark.read.parquet(f"{tmp_path}/out/stream-*/reads")
