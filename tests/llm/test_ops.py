@@ -276,7 +276,7 @@ def test_like_groups(spark, most):
     assert few and far  # more than four bits apart, too
     got, want = {}, {}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for r in likeness.like_groups(docs, most=most, list_most=most).collect():
+    for r in likeness.like_groups(docs, most=most).collect():
         got.setdefault(r["group"], set()).add(r["doc_id"])
     for i in range(len(rows)):
         want.setdefault(top(i), set()).add(i)
