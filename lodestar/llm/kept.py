@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -21,10 +22,16 @@ def kept(name: str, make: Callable[[], object]):
 
 
 def forget() -> None:
-    """Drop all that this process keeps; operators that keep nothing call it in their tasks."""
+    """Drop all that this process keeps, and give free memory back to the system, which a worker that lives on for other
+    operators would hold; operators that keep nothing call it in their tasks."""
     holder = sys.modules.get("_lodestar_kept")
     for name in [k for k in vars(holder) if not k.startswith("__")] if holder else []:
         delattr(holder, name)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this system's library
 
 
 def groups(texts: pa.Array, most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
