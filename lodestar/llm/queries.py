@@ -1,10 +1,10 @@
-"""The thin queries of the ten operators: each applies one, with production parameters, to its whole table."""
+"""The thin queries of the thirteen operators: each applies one, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
 import public_tokenizers
 
-from lodestar.llm import bpe, counts, forest, langid, line_dedup, mix, paragraphs, simhash, tokens, toxicity
+from lodestar.llm import bpe, codes, counts, forest, langid, line_dedup, mix, paragraphs, quality, search, simhash, tokens, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -51,4 +51,16 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.op10(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_token_orc, op3_simhash_near_dedup, op4_nearest_neighbours, op5_token_counts, op6_language_id, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup)}
+def op11_quality(spark, sf_dir):
+    return quality.op11(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return search.op12(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return codes.op13(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_paragraph_sketches, op2_token_orc, op3_simhash_near_dedup, op4_nearest_neighbours, op5_token_counts, op6_language_id, op7_mix_sources, op8_toxicity, op9_bpe_round_trip, op10_line_dedup, op11_quality, op12_ranked_search, op13_vector_codes)}
