@@ -1,95 +1,85 @@
-"""A KD tree over vectors: leaves as a column, boxes that prune, exact range and nearest-neighbour search.
+"""A KD tree over vectors: splits fitted on a bounded sample, leaves as a column, boxes that prune.
 
-Splits are made level by level: each node is cut on the dimension in which its rows spread widest, at their approximate
-median; a row goes left if its value is at most the split's. A level is two aggregations over the table; nodes number at
-most 2^levels, which bounds what is collected and broadcast. Leaves are numbered as in a heap: the root is 1.
+A node is cut on the dimension in which its rows spread widest, at their median; a row goes left if its value is at most
+the split's. Nodes are numbered as in a heap: the root is 1, a node's children are 2 n and 2 n + 1. They number 2^(levels + 1)
+at most, which bounds what is collected and broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.vectors import gap, l2
-
-#: Most levels of a tree: 4096 leaves.
-LEVELS = 12
-
-
-def _at(v: Column, dim: Column) -> Column:
-    return F.element_at(v, dim + 1).cast("double")
-
-
-def descend(vectors: DataFrame, splits: DataFrame, levels: int, column: str = "embedding") -> DataFrame:
-    """``vectors`` with leaf: the node of ``splits`` (node, dim, split) at which each row's way down ends. Rows that are
-    inserted later find their leaf in the same way."""
-    out = vectors.withColumn("leaf", F.lit(1))
-    for _ in range(levels):
-        out = out.join(F.broadcast(splits.withColumnRenamed("node", "leaf")), "leaf", "left")
-        side = F.when(_at(F.col(column), F.col("dim")) <= F.col("split"), 0).otherwise(1)
-        out = out.withColumn("leaf", F.when(F.col("dim").isNull(), F.col("leaf")).otherwise(2 * F.col("leaf") + side)).drop("dim", "split")
+from lodestar.functions.vectors import gap
+from lodestar.storage import local
+
+#: Most levels of a tree (4096 leaves), and rows at most or so from which one round's splits are fitted.
+LEVELS, SAMPLE = 12, 50_000
+
+
+def fit(points: dict[int, np.ndarray], sizes: dict[int, float], leaf_rows: int, levels: int = LEVELS) -> list[tuple[int, int, float]]:
+    """(node, dim, split) below the nodes of ``points``, samples of their ``sizes`` rows, down to leaves of ``leaf_rows`` rows or so."""
+    made, todo = [], [(node, x, float(sizes[node])) for node, x in sorted(points.items())]
+    while todo:
+        node, x, n = todo.pop()
+        if n <= leaf_rows or node.bit_length() > levels or len(x) < 2:
+            continue
+        dim = int(np.ptp(x, axis=0).argmax())
+        values = np.sort(x[:, dim])
+        if values[0] == values[-1]:
+            continue
+        split = values[(len(values) - 1) // 2]
+        if split == values[-1]:
+            split = values[values < split][-1]
+        left = x[:, dim] <= split
+        made.append((node, dim, float(split)))
+        todo += [(2 * node, x[left], n * left.mean()), (2 * node + 1, x[~left], n * (1 - left.mean()))]
+    return made
+
+
+def descend(vectors: DataFrame, splits: list[tuple[int, int, float]], column: str = "embedding") -> DataFrame:
+    """``vectors`` with leaf: where each row's way down ends, from the root or from the leaf that it has already."""
+    out = vectors if "leaf" in vectors.columns else vectors.withColumn("leaf", F.lit(1).cast("long"))
+    if not splits:
+        return out
+    names = {node for node, _, _ in splits}
+    depth = 1 + max(_above(node, names) for node in names)
+    table = local(vectors.sparkSession, splits, "leaf long, _dim int, _split double")
+    for _ in range(depth):
+        value = F.element_at(F.col(column), F.col("_dim") + 1).cast("double")
+        below = 2 * F.col("leaf") + F.when(value <= F.col("_split"), 0).otherwise(1)
+        out = out.join(F.broadcast(table), "leaf", "left").withColumn("leaf", F.when(F.col("_dim").isNull(), F.col("leaf")).otherwise(below)).drop("_dim", "_split")
     return out
 
 
-def build(vectors: DataFrame, leaf_rows: int = 31, levels: int = LEVELS, column: str = "embedding") -> tuple[DataFrame, int]:
-    """The splits (node, dim, split) of a tree with leaves of ``leaf_rows`` rows or so, and its levels."""
-    spark, made, depth = vectors.sparkSession, [], 0
-    schema = "node int, dim int, split double"
-    while depth < levels:
-        placed = descend(vectors, spark.createDataFrame(made, schema), depth, column)
-        each = placed.where(F.col("leaf") >= 1 << depth).select("leaf", F.posexplode(F.col(column).cast("array<double>")).alias("dim", "x"))
-        spread = each.groupBy("leaf", "dim").agg((F.max("x") - F.min("x")).alias("width"), F.percentile_approx("x", 0.5).alias("split"), F.max("x").alias("top"), F.count("*").alias("n"))
-        widest = spread.groupBy("leaf").agg(F.max_by(F.struct("dim", "split", "top"), F.struct("width", -F.col("dim"))).alias("s"), F.max("width").alias("width"), F.max("n").alias("n"))
-        new = [(r["leaf"], r["s"]["dim"], r["s"]["split"]) for r in widest.where((F.col("n") > leaf_rows) & (F.col("width") > 0) & (F.col("s.split") < F.col("s.top"))).collect()]
-        if not new:
-            break
-        made, depth = made + new, depth + 1
-    return spark.createDataFrame(made, schema), depth
-
-
-def boxes(placed: DataFrame, column: str = "embedding") -> DataFrame:
-    """(leaf, low, high): the least and greatest value of each dimension in each leaf."""
-    each = placed.select("leaf", F.posexplode(F.col(column).cast("array<double>")).alias("dim", "x")).groupBy("leaf", "dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    side = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("dim", c))), lambda s: s[c]).alias(c)
-    return each.groupBy("leaf").agg(side("low"), side("high"))
-
-
-def _gaps(q: list[float]) -> Column:
-    return F.zip_with(F.zip_with("low", "high", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.array(*[F.lit(float(x)) for x in q]), lambda s, x: gap(s["a"], s["b"], x).cast("double"))
-
-
-def gap_sum(q: list[float]) -> Column:
-    """How far ``q`` lies outside a box (low, high), summed over the dimensions."""
-    return F.aggregate(_gaps(q), F.lit(0.0), lambda s, x: s + x)
-
-
-def box_distance(q: list[float]) -> Column:
-    """The least distance that a row in a box (low, high) can have from ``q``."""
-    return F.sqrt(F.aggregate(_gaps(q), F.lit(0.0), lambda s, x: s + x * x))
+def _above(node: int, names: set[int]) -> int:
+    """How many of ``names`` stand above a node."""
+    n = 0
+    while node > 1:
+        node //= 2
+        n += node in names
+    return n
 
 
-def in_leaves(placed: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The rows of ``placed`` in any of ``leaves`` (leaf), a row for each of at most 2^LEVELS."""
-    return placed.join(F.broadcast(leaves.select("leaf")), "leaf", "left_semi")
+def boxes(placed: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
+    """(leaf, n, low, high): the rows of each leaf, and the least and greatest value of each dimension in it."""
+    at = [F.get(F.col(column), F.lit(k)).cast("double") for k in range(dim)]
+    return placed.groupBy("leaf").agg(F.count("*").alias("n"), F.array(*[F.min(x) for x in at]).alias("low"), F.array(*[F.max(x) for x in at]).alias("high"))
 
 
-def leaf_partition(leaf: Column, n: int) -> Column:
-    return F.pmod(leaf, F.lit(n)).cast("int")
+def box_distance(query: Column) -> Column:
+    """The least distance that a row in a box (low, high) can have from ``query``, an array of doubles."""
+    sides = F.zip_with("low", "high", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    gaps = F.zip_with(sides, query, lambda s, x: gap(s["a"], s["b"], x).cast("double"))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def range_search(placed: DataFrame, box: DataFrame, q: list[float], radius: float, column: str = "embedding") -> DataFrame:
-    """Rows nearer to ``q`` than ``radius``, with dist. A leaf is read if its box comes so near."""
-    met = in_leaves(placed, box.where(box_distance(q) < radius))
-    return met.withColumn("dist", l2(F.col(column), F.array(*[F.lit(float(x)) for x in q]))).where(F.col("dist") < radius)
+def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The same for one query and many boxes (row by row), rounded down: never more than a row's distance as it is computed."""
+    return np.sqrt((np.maximum(np.maximum(low - q, q - high), 0.0) ** 2).sum(1)) * (1 - 1e-9)
 
 
-def nearest(placed: DataFrame, box: DataFrame, splits: DataFrame, levels: int, q: list[float], k: int, column: str = "embedding") -> DataFrame:
-    """The ``k`` nearest rows with rank and dist, exactly: the k-th of the query's own leaf bounds which others count."""
-    spark, point = placed.sparkSession, F.array(*[F.lit(float(x)) for x in q])
-    own = descend(spark.range(1).select(point.alias(column)), splits, levels, column).select("leaf")
-    far = in_leaves(placed, own).select(l2(F.col(column), point).alias("dist")).orderBy("dist").limit(k)
-    row = far.agg(F.count("*"), F.max("dist")).first()
-    radius = row[1] if row[0] == k else float("inf")
-    met = in_leaves(placed, box.where(box_distance(q) <= F.lit(radius))).withColumn("dist", l2(F.col(column), point))
-    best = met.orderBy("dist", "vec_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("dist", "vec_id")))
+def gap_sums(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far ``q`` lies outside each box, summed over the dimensions: never less than the distance."""
+    return np.maximum(np.maximum(low - q, q - high), 0.0).sum(1)

@@ -6,14 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.sam import mark_duplicate, parse_read, read_line, region_key
-from lodestar.operators import contigs, dedup, graph, kdtree, merge, partition, profile, regions, vector
+from lodestar.operators import contigs, dedup, graph, merge, partition, profile, regions, vector
+from lodestar.operators.vector_store import VectorStore
 from lodestar.plans import views as v
 from lodestar.sinks import reads as sinks
 from lodestar.sources import text as sources
 from lodestar.storage import new_path, remove, settle
 from lodestar.streaming import frames as streams
 
-PARTITIONS, REGION_PARTITIONS, TILE, RADIUS, K = 32, 16, 10_000_000, 1.25, 10
+PARTITIONS, REGION_PARTITIONS, TILE, RADIUS, K, LEAF_ROWS = 32, 16, 10_000_000, 1.25, 10, 1000
 
 QUERIES, SQL = {}, {}
 
@@ -223,29 +224,55 @@ def vector_knn(s, d):
     return vector.nearest(v.vectors(s, d), _point(s, d)[0], K).select("rank", "vec_id", "label", F.round("dist", 6).alias("dist"))
 
 
-@query(f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS x FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
-SELECT query_id, rank, vec_id, round(x, 6) AS dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id) AS INTEGER) AS rank FROM p) WHERE rank <= {K}""")
+MULTI = f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS x FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, rank, vec_id, round(x, 6) AS dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id) AS INTEGER) AS rank FROM p) WHERE rank <= {K}"""
+
+
+def _store(s, d, batches: int = 1, leaf_rows: int = LEAF_ROWS):
+    """A new store of all vectors, inserted in so many batches, and its folder."""
+    path, e = new_path(s, "vectors"), v.vectors(s, d)
+    store = VectorStore(s, path, leaf_rows)
+    for k in range(batches):
+        store.insert(e.where(F.pmod("vec_id", F.lit(batches)) == k))
+    return store, path
+
+
+@query(MULTI)
 def vector_knn_multi(s, d):
-    e = v.vectors(s, d)
-    return vector.nearest_of_each(e, e.where(F.col("vec_id") % 20 == 0), K, blocks=16).withColumn("dist", F.round("dist", 6))
+    store, path = _store(s, d)
+    out = store.nearest_of_each(v.vectors(s, d).where(F.col("vec_id") % 20 == 0), K).withColumn("dist", F.round("dist", 6))
+    remove(s, path)  # what was found is a table of its own
+    return out
+
+
+@query(MULTI)
+def vector_store_inserts_knn(s, d):
+    """Three inserts, with the splits that they cause, answer as one."""
+    store, path = _store(s, d, 3, 100)
+    out = store.nearest_of_each(v.vectors(s, d).where(F.col("vec_id") % 20 == 0), K).withColumn("dist", F.round("dist", 6))
+    remove(s, path)
+    return out
 
 
-def _tree(s, d):
-    """A KD tree over the vectors: rows with their leaf, boxes, splits and levels."""
-    splits, levels = kdtree.build(v.vectors(s, d), leaf_rows=250, levels=4)
-    placed = settle(kdtree.descend(v.vectors(s, d), splits, levels), "leaves")
-    return placed, kdtree.boxes(placed), splits, levels
+@query(f"""WITH {DIST} SELECT CAST(k + 1 AS INTEGER) AS version, vec_id, label, round(x, 6) AS dist FROM dist, range(3) t(k) WHERE x < {RADIUS} AND vec_id % 3 <= k""")
+def vector_store_versions(s, d):
+    """The range query on each version of a store that was filled by three inserts: each holds what was in by then."""
+    store, q = _store(s, d, 3, 100)[0], _point(s, d)[0]
+    found = [store.in_range(q, RADIUS, store.version(k)).select(F.lit(k).cast("int").alias("version"), "vec_id", "label", F.round("dist", 6).alias("dist")) for k in store.versions()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query(f"WITH {DIST} SELECT vec_id, label, round(x, 6) AS dist FROM dist WHERE x < {RADIUS}")
 def vector_tree_range(s, d):
-    placed, box, _, _ = _tree(s, d)
-    return kdtree.range_search(placed, box, _point(s, d)[0], RADIUS).select("vec_id", "label", F.round("dist", 6).alias("dist"))
+    return _store(s, d)[0].in_range(_point(s, d)[0], RADIUS).select("vec_id", "label", F.round("dist", 6).alias("dist"))
 
 
 @query(f"WITH {DIST} SELECT CAST(row_number() OVER (ORDER BY x, vec_id) AS INTEGER) AS rank, vec_id, label, round(x, 6) AS dist FROM dist ORDER BY x, vec_id LIMIT {K}")
 def vector_tree_knn(s, d):
-    return kdtree.nearest(*_tree(s, d), _point(s, d)[0], K).select("rank", "vec_id", "label", F.round("dist", 6).alias("dist"))
+    return _store(s, d)[0].nearest(_point(s, d)[0], K).select("rank", "vec_id", "label", F.round("dist", 6).alias("dist"))
 
 
 @query(f"WITH {DIST} SELECT label, vec_id, round(x, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY x, vec_id) AS k FROM dist) WHERE k = 1")

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,8 +46,26 @@ def sized(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of rows that the driver has, as part of the plan: reading it takes no job of its own."""
+    kind = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) or [[] for _ in kind]
+    return spark.createDataFrame(pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, kind, strict=True)], names=kind.names), kind)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of any file system that Spark knows."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole (written to their end) Spark tables in a folder; none if it is not there."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()]
+    return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))

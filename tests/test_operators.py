@@ -106,34 +106,3 @@ def test_vector_search(spark, rows):
     got = rows(vector.nearest_of_each(v, v.where("vec_id in (0, 7)"), 2, blocks=3), "query_id", "rank", "vec_id")
     assert got == [(0, 1, 1), (0, 2, 2), (7, 1, 6), (7, 2, 5)]
     assert rows(vector.leaf_radius_range(v, [0.0, 0.0], 0, 2), "vec_id") == [(i,) for i in range(6)]
-
-
-def test_kd_tree(spark):
-    import random
-
-    from lodestar.operators import kdtree
-
-    rnd = random.Random(1)
-    rows = [(i, [rnd.gauss(i % 4 * 20, 1), rnd.gauss(i % 3 * 20, 1), 5.0]) for i in range(400)] + [(400 + i, [1.0, 1.0, 5.0]) for i in range(60)]
-    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    splits, levels = kdtree.build(v, leaf_rows=31)
-    placed = kdtree.descend(v, splits, levels).persist()
-    leaf = {r["vec_id"]: r["leaf"] for r in placed.collect()}
-    cut = {r["node"]: r for r in splits.collect()}
-    for i, x in rows:
-        at = 1
-        while at in cut:
-            at = 2 * at + (x[cut[at]["dim"]] > cut[at]["split"])
-        assert leaf[i] == at
-    assert len(set(leaf.values())) > 12
-    box = kdtree.boxes(placed)
-    q = rows[7][1]
-    dist = lambda x: sum((a - b) ** 2 for a, b in zip(x, q, strict=True)) ** 0.5
-    near = sorted((dist(x), i) for i, x in rows)
-    assert sorted(r["vec_id"] for r in kdtree.range_search(placed, box, q, 3.0).collect()) == sorted(i for s, i in near if s < 3.0)
-    got = kdtree.nearest(placed, box, splits, levels, q, 12).orderBy("rank").collect()
-    assert [r["vec_id"] for r in got] == [i for _, i in near[:12]]
-    read = box.where(kdtree.box_distance(q) < 3.0).count()
-    assert 0 < read < len(set(leaf.values())) / 2
-    assert box.where(kdtree.gap_sum(q) < kdtree.box_distance(q) - 1e-9).count() == 0
-    assert {r["p"] for r in placed.select(kdtree.leaf_partition(placed["leaf"], 4).alias("p")).distinct().collect()} <= {0, 1, 2, 3}
