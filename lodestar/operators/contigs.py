@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from lodestar.functions.sam import UNMAPPED
 
 
+def header_names(header: DataFrame) -> DataFrame:
+    """(rname, at): each contig of the @SQ lines, as first seen."""
+    return header.where(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", r"SN:(\S+)", 1).alias("rname"), "at").groupBy("rname").agg(F.min("at").alias("at"))
+
+
 def dictionary_of_header(header: DataFrame) -> DataFrame:
     """(rname, idx) from header lines (value, at): the unmapped contig is 0, others count from 1 as first seen."""
-    names = header.where(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", r"SN:(\S+)", 1).alias("rname"), "at").groupBy("rname").agg(F.min("at").alias("at"))
-    dense = names.where(F.col("rname") != UNMAPPED).select("rname", F.row_number().over(Window.orderBy("at", "rname")).alias("idx"))
+    dense = header_names(header).where(F.col("rname") != UNMAPPED).select("rname", F.row_number().over(Window.orderBy("at", "rname")).alias("idx"))
     return dense.unionByName(header.sparkSession.createDataFrame([(UNMAPPED, 0)], "rname string, idx int"))
 
 

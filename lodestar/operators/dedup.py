@@ -8,7 +8,7 @@ share is then split by adaptive skew joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.sam import UNMAPPED, mark_duplicate
@@ -47,7 +47,12 @@ def _marked(reads: DataFrame, hit: Column, *drop: str) -> DataFrame:
 
 def mark_representative_kept(reads: DataFrame, keys: DataFrame, min_count: int = 2) -> DataFrame:
     """Marks reads whose key is duplicated, but for those of the key's representative."""
-    dup = duplicate_keys(keys, min_count).select("dedup_key", "rep_qname")
+    return mark_against(reads, duplicate_keys(keys, min_count))
+
+
+def mark_against(reads: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """The same by a table (dedup_key, rep_qname) that was made before."""
+    dup = duplicates.select("dedup_key", "rep_qname")
     return _marked(reads.join(dup, "dedup_key", "left"), F.col("qname") != F.col("rep_qname"), "rep_qname")
 
 
@@ -90,6 +95,11 @@ def mark_multiread(reads: DataFrame) -> DataFrame:
     return mark_qnames(reads, many)
 
 
+def observed(marked: DataFrame, seen: Observation) -> DataFrame:
+    """``marked``, whose first run also gives ``seen`` its total_reads and marked_reads: no run of its own counts them."""
+    return marked.observe(seen, F.count(F.lit(1)).alias("total_reads"), F.count_if("is_dup").alias("marked_reads"))
+
+
 def counts(marked: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("total_reads"), F.count_if("is_dup").alias("marked_reads"))
 

@@ -40,24 +40,21 @@ def negative_cycles(paths: DataFrame) -> DataFrame:
 
 def routes(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """(src, dst, dist, hops, route) of a shortest path of each pair of different vertices; of equal ones, the least next
-    vertex is taken at each step. Weights are positive."""
+    vertex is taken at each step. Weights are positive. A route goes on with the route that its last stop has so far, so
+    that rounds double the hops: their number is the logarithm of the longest route's."""
     e = edges.groupBy("src", "dst").agg(F.min("w").cast("bigint").alias("w")).select("src", F.col("dst").alias("via"), "w")
     whole = paths.where("src <> dst")
     rest = paths.select(F.col("src").alias("via"), "dst", F.col("dist").alias("rest")).where("via <> dst")
     steps = whole.join(e, "src").join(rest, ["via", "dst"], "left")
     ok = F.when(F.col("via") == F.col("dst"), F.col("w") == F.col("dist")).otherwise(F.col("w") + F.col("rest") == F.col("dist"))
-    nxt = settle(steps.where(ok).groupBy("src", "dst", "dist").agg(F.min("via").alias("via")), "next")
-    now = nxt.select("src", "dst", "dist", F.col("via").alias("at"), F.lit(1).alias("hops"), F.concat_ws(">", F.col("src").cast("string"), F.col("via").cast("string")).alias("route"))
-    done = []
-    while True:
-        now = settle(now, "routes")
-        done.append(now.where("at = dst"))
-        open_ = now.where("at <> dst")
-        if open_.isEmpty():
-            break
-        on = nxt.select(F.col("src").alias("at"), "dst", "via")
-        now = open_.join(on, ["at", "dst"]).select("src", "dst", "dist", F.col("via").alias("at"), (F.col("hops") + 1).alias("hops"), F.concat_ws(">", "route", F.col("via").cast("string")).alias("route"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("src", "dst", "dist", "hops", "route")
+    nxt = steps.where(ok).groupBy("src", "dst", "dist").agg(F.min("via").alias("at"))
+    name = new_path(edges.sparkSession, "routes")
+    now = settle(nxt.select("src", "dst", "dist", "at", F.array("at").alias("stops")), "routes", name)
+    while not (now.where("at <> dst").isEmpty()):
+        on = now.select(F.col("src").alias("at"), "dst", F.col("at").alias("on"), F.col("stops").alias("more"))
+        longer = now.join(on, ["at", "dst"], "left").select("src", "dst", "dist", F.coalesce("on", "at").alias("at"), F.concat("stops", F.coalesce("more", F.array().cast("array<int>"))).alias("stops"))
+        old, name = name, new_path(edges.sparkSession, "routes")
+        now = settle(longer, "routes", name)
+        remove(edges.sparkSession, old)
+    route = F.concat_ws(">", F.concat(F.array(F.col("src")), "stops").cast("array<string>"))
+    return now.select("src", "dst", "dist", F.size("stops").alias("hops"), route.alias("route"))

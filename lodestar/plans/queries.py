@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.sam import mark_duplicate, parse_read, read_line, region_key
-from lodestar.operators import contigs, dedup, graph, merge, partition, profile, regions, vector
+from lodestar.operators import contigs, dedup, graph, merge, partition, profile, regions, staged, strides, vector
 from lodestar.operators.vector_store import VectorStore
 from lodestar.plans import views as v
 from lodestar.sinks import reads as sinks
+from lodestar.sinks.sorted_reads import write_sorted
 from lodestar.sources import text as sources
 from lodestar.storage import new_path, remove, settle
 from lodestar.streaming import frames as streams
+from lodestar.streaming.state import keep_totals, last_totals, running_totals
 
 PARTITIONS, REGION_PARTITIONS, TILE, RADIUS, K, LEAF_ROWS = 32, 16, 10_000_000, 1.25, 10, 1000
 
@@ -102,6 +104,35 @@ def marked_read_count(s, d):
     return dedup.counts(dedup.mark_representative_kept(v.plain_reads(s, d), v.keys(s, d)))
 
 
+@query(f"{_M1} SELECT count(*) AS total_reads, count(*) FILTER (hit) AS marked_reads, count(*) FILTER (hit) AS marked_written FROM m")
+def marked_counts_observed(s, d):
+    """The counts come with the write of the marked reads; what was written is counted beside them."""
+    path, seen = new_path(s, "marked"), Observation("marked")
+    dedup.observed(dedup.mark_representative_kept(v.plain_reads(s, d), v.keys(s, d)), seen).write.parquet(path)
+    got = seen.get
+    out = s.read.parquet(path).agg(F.lit(got["total_reads"]).alias("total_reads"), F.lit(got["marked_reads"]).alias("marked_reads"), F.count_if(F.col("flag").bitwiseAND(1024) > 0).alias("marked_written"))
+    return out
+
+
+@query(f"{_M1} SELECT CAST(batch AS INTEGER) AS loop, count(*) AS n_reads, count(*) FILTER (hit) AS n_marked, count(*) FILTER (hit) AS n_marked_written, CAST(1 AS BIGINT) AS n_headers FROM m GROUP BY batch")
+def stride_loop(s, d):
+    """Eight read files, three in a stride, marked against all keys; stopped after one stride and started again."""
+    source, out = new_path(s, "files"), new_path(s, "strides")
+    r = v.reads(s, d).withColumn("pid", F.col("file"))
+    write_sorted(r, source, 8, value=F.concat("dedup_key", F.lit(" lane@"), read_line(F.col("qname"), F.col("flag"), F.col("rname"), F.col("pos"))))
+    files = strides.strides_of(s, source, 3, "part-*")
+    for most in (1, None):
+        done = strides.mark_in_strides(s, files, v.keys(s, d), out, PARTITIONS, ["@HD\tSO:coordinate"], most=most)
+    lines = sources.read_lines(s, f"{out}/loop*/part-*").withColumn("loop", F.regexp_extract("file", r"loop(\d+)/", 1).cast("int"))
+    flag = parse_read(F.col("value"))["flag"].bitwiseAND(1024) > 0
+    read = lines.where("value not like '@%'").groupBy("loop").agg(F.count_if(flag).alias("n_marked_written"))
+    heads = lines.where("value like '@%'").groupBy("loop").agg(F.countDistinct("value").alias("n_headers"))
+    got = settle(done.join(read, "loop").join(heads, "loop"), "strides")
+    remove(s, source)
+    remove(s, out)
+    return got
+
+
 @query(f"{_M1} SELECT qname, dedup_key, rname, pos, {MARK.format('hit')} FROM m")
 def mark_dups(s, d):
     return dedup.mark_representative_kept(v.plain_reads(s, d), v.keys(s, d))
@@ -193,6 +224,18 @@ def partition_manifest(s, d):
     return partition.manifest(partition.assign(r, partition.plan(profile.contig_counts(r), PARTITIONS)))
 
 
+@query(f"""WITH {READS}, {PLAN}, a AS (SELECT r.rname, CAST(r.pos % p.parts + p.acc AS INTEGER) AS pid FROM reads r JOIN plan p ON r.rname = p.rname)
+SELECT 'part-' || lpad(CAST(pid AS VARCHAR), 5, '0') AS part, string_agg(DISTINCT CASE WHEN rname = '*' THEN 'unmapped' ELSE rname END, ',' ORDER BY CASE WHEN rname = '*' THEN 'unmapped' ELSE rname END) AS rnames, count(*) AS n_reads, CAST(1 AS BIGINT) AS n_headers FROM a GROUP BY pid""")
+def sorted_reads_with_manifest(s, d):
+    """Reads written by plan, with the manifest that the write's commit made: read back, with the lines of each file."""
+    path, r = new_path(s, "planned"), v.plain_reads(s, d)
+    planned = settle(partition.plan(profile.contig_counts(r), PARTITIONS), "plan")
+    write_sorted(partition.assign(r, planned), path, partition.total_partitions(planned, PARTITIONS), ["@HD\tSO:coordinate"])
+    made = sources.read_manifest(s, f"{path}/part.info").select("part", F.array_join("rnames", ",").alias("rnames"))
+    lines = sources.read_lines(s, f"{path}/part-*").groupBy(F.element_at(F.split("file", "/"), -1).alias("part"))
+    return made.join(lines.agg(F.count_if(~F.col("value").startswith("@")).alias("n_reads"), F.count_if(F.col("value").startswith("@")).alias("n_headers")), "part")
+
+
 @query(f"WITH {CONTIGS} SELECT rname, CAST(idx AS INTEGER) AS idx, length FROM contigs UNION ALL SELECT '*', 0, 0")
 def contig_dictionary(s, d):
     return v.contigs(s, d)
@@ -331,6 +374,15 @@ def region_commands(s, d):
     return regions.commands(_pairs(s, d), "/out", "ref.fa")
 
 
+@query(f"""WITH {BAMS}, calls AS (SELECT path, 'freebayes -v ' || {_VCF} || ' {regions.CALLER} -f ref.fa ' || path || ' -r ' || name || ':' || start || '-' || "end" AS command FROM pairs)
+SELECT DISTINCT 0 AS stage, 'samtools index ' || path AS command FROM calls WHERE CAST(split_part(path, '/', 3) AS INTEGER) % 2 = 1 UNION ALL SELECT 1, command FROM calls""")
+def staged_commands(s, d):
+    """Files of odd passes have no index yet."""
+    files = v.bams(s, d).select("path")
+    indexes = files.where(F.element_at(F.split("path", "/"), 3).cast("int") % 2 == 0).select(F.concat("path", F.lit(".bai")).alias("path"))
+    return staged.plan(files, indexes, region_commands(s, d).select("path", "command"))
+
+
 PARTS = """parts AS (SELECT l_linenumber AS loop, 'part-' || lpad(CAST(l_suppkey % 40 AS VARCHAR), 5, '0') AS part, l_returnflag || l_linestatus AS rname, count(*) AS bytes,
  'loop-' || l_linenumber || '/part-' || lpad(CAST(l_suppkey % 40 AS VARCHAR), 5, '0') AS path FROM lineitem GROUP BY ALL)"""
 
@@ -429,7 +481,7 @@ def stream_frame_count(s, d):
     v.frames(s, d).write.text(source)
     streams.count_frames(streams.frame_stream(s, source, files_per_batch=4), out, new_path(s, "offsets"))
     remove(s, source)
-    return s.read.schema("total bigint").parquet(f"{out}/*").agg(F.max("total").alias("n_frames"))
+    return last_totals(s, out).select(F.col("total").alias("n_frames"))
 
 
 @query(f"""WITH {CONTIGS}, k AS (SELECT r.*, c.idx * 1000 + r.pos // 100000000 AS region_key FROM reads r JOIN contigs c ON r.rname = c.rname)
@@ -446,6 +498,35 @@ def stream_header_control(s, d):
     return s.read.schema("pid int, region_key bigint").parquet(f"{out}/stream-*/reads").groupBy("region_key", "pid").agg(F.count("*").alias("n_reads"))
 
 
+@query(f"""WITH {CONTIGS}, k AS (SELECT r.*, CASE WHEN c.idx <= 3 THEN c.idx ELSE 0 END * 1000 + r.pos // 100000000 AS region_key FROM reads r JOIN contigs c ON r.rname = c.rname)
+SELECT CASE WHEN region_key < 1000 THEN 0 ELSE region_key END AS region_key, count(*) AS n_reads FROM k GROUP BY 1""")
+def stream_header_frozen(s, d):
+    """Header lines that come after the first reads change nothing, also if the stream was stopped and started again in between."""
+    source, out, offsets = new_path(s, "frames"), new_path(s, "regions"), new_path(s, "offsets")
+    for k in range(2):
+        header = v.contigs(s, d).where("idx between 1 and 3" if k == 0 else "idx > 0").orderBy("idx").select(F.concat(F.lit("@SQ\tSN:"), "rname").alias("value"))
+        header.coalesce(1).write.mode("append").text(source)
+        v.frames(s, d).where(F.pmod(F.xxhash64("value"), F.lit(2)) == k).write.mode("append").text(source)
+        streams.run_regions(streams.frame_stream(s, source), None, out, offsets, REGION_PARTITIONS)
+    got = settle(s.read.schema("pid int, region_key bigint").parquet(f"{out}/stream-*/reads").select(F.when(F.col("region_key") >= 1000, F.col("region_key")).otherwise(0).alias("region_key")).groupBy("region_key").agg(F.count("*").alias("n_reads")), "totals")
+    for path in (source, out, offsets):
+        remove(s, path)
+    return got
+
+
+@query(f"WITH {READS} SELECT rname, count(*) AS total FROM reads GROUP BY rname")
+def stream_contig_totals(s, d):
+    """Reads of each contig, in keyed state: the stream is stopped and started again from its checkpoint."""
+    source, out, offsets = new_path(s, "frames"), new_path(s, "totals"), new_path(s, "offsets")
+    for k in range(2):
+        v.frames(s, d).where(F.pmod(F.xxhash64("value"), F.lit(2)) == k).write.mode("append").text(source)
+        keep_totals(running_totals(streams.reads_of_frames(streams.frame_stream(s, source, files_per_batch=8)), "rname"), out, offsets)
+    got = settle(last_totals(s, out).select(F.col("key").alias("rname"), "total"), "totals")
+    for path in (source, out, offsets):
+        remove(s, path)
+    return got
+
+
 # written in a format of the engine, and read again
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -69,3 +70,8 @@ def children(spark: SparkSession, path: str) -> list[str]:
         return []
     names = [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()]
     return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system, of those that pyarrow opens, of a path or address, and the path in it: for tasks that write files of their own."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.sam import parse_read
-from lodestar.operators.contigs import dictionary_of_header
 from lodestar.operators.partition import assign_regions, lay_out, manifest
 from lodestar.sinks.reads import read_lines_of
+from lodestar.streaming.state import FrozenDictionary, keep_totals, running_totals
 
 MARK = "XXQQ"
 END = "##"
@@ -45,23 +45,22 @@ def reads_of_frames(lines: DataFrame, layout: str = "sam") -> DataFrame:
     return rows.select(F.col("key").alias("dedup_key"), "r.qname", "r.flag", "r.rname", "r.pos", "r.others")
 
 
-def header_so_far(batch: DataFrame, number: int, out: str) -> DataFrame:
-    """(value, at) of the header lines up to this micro-batch, whose own are written to a folder named by its number."""
+def header_of(batch: DataFrame) -> DataFrame:
+    """(value, at) of the header lines of a micro-batch."""
     own = batch.select(F.explode(F.split("value", "\n")).alias("value")).where(kind() == "header")
-    own.select("value", F.struct(F.lit(number).alias("batch"), F.monotonically_increasing_id().alias("n")).alias("at")).write.mode("overwrite").parquet(f"{out}/header/batch={number:05d}")
-    rows = batch.sparkSession.read.schema("value string, at struct<batch:int,n:bigint>, batch int").parquet(f"{out}/header")
-    return rows.where(F.col("batch") <= number).select("value", "at")
+    return own.select("value", F.monotonically_increasing_id().alias("at"))
 
 
 def region_batches(contigs: DataFrame | None, out: str, partitions: int = 16, seen: list | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: parses, keys by region, lays out and writes reads and manifest of a micro-batch, in folders named by
-    its number. A batch that is run again overwrites its own. Without ``contigs``, the stream's header lines up to the
-    batch make the dictionary. ``seen`` gets the number of a batch that holds the line that ends the stream."""
+    its number. A batch that is run again overwrites its own. Without ``contigs``, the stream's header lines make the
+    dictionary until its first reads freeze it. ``seen`` gets the number of a batch that holds the line that ends the stream."""
 
     def write(batch: DataFrame, number: int) -> None:
         if seen is not None and ended(batch):
             seen.append(number)
-        known = dictionary_of_header(header_so_far(batch, number, out)) if contigs is None else contigs
+        dictionary = FrozenDictionary(batch.sparkSession, f"{out}/dictionary")
+        known = dictionary.at(number, header_of(batch), lambda: not frames(batch).isEmpty()) if contigs is None else contigs
         assigned = assign_regions(reads_of_frames(batch), known, partitions).persist()
         where = f"{out}/stream-{number:05d}"
         lay_out(assigned, partitions).select("pid", "region_key", read_lines_of(assigned).alias("value")).write.mode("overwrite").parquet(f"{where}/reads")
@@ -86,15 +85,8 @@ def run_regions(lines: DataFrame, contigs: DataFrame | None, out: str, checkpoin
 
 
 def count_frames(lines: DataFrame, out: str, checkpoint: str) -> None:
-    """(n, total) of each micro-batch: its frames, and all up to it. A batch that is run again finds the total before it."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema("total bigint, batch int").parquet(out).where(F.col("batch") < number).agg(F.max("total")).first()[0] if number else 0
-        frames(batch).agg(F.count("*").alias("n")).withColumn("total", F.col("n") + F.lit(before or 0)).write.mode("overwrite").parquet(f"{out}/batch={number:05d}")
-
-    query = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """(key: null, n, total) of each micro-batch: its frames, and all up to it."""
+    keep_totals(running_totals(frames(lines)), out, checkpoint)
 
 
 def ended(lines: DataFrame) -> bool:
