@@ -70,6 +70,7 @@ class WordBpe:
         self.space = re.compile(SPACE)
         self.fragments: dict[str, list[str]] = {}
         self.memo: dict[str, bytes] = {}
+        self.spelled: dict[str, bytes] = {}
         self.strings = {i: t.encode() for t, i in (self.vocab | added).items()}
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -139,16 +140,18 @@ class WordBpe:
         return found
 
     def _word(self, letters: str) -> bytes:
-        """Ids of a word, by the letters of its bytes; a letter beyond ASCII is not that character in a chunk."""
-        name = letters if letters.isascii() else "\0" + letters
-        if (found := self.memo.get(name)) is None:
-            found = self.memo[name] = self._spell(letters)
+        """Ids of a word, by the letters of its bytes. Only A-Z and a-z are the same as a chunk: other letters may stand for
+        other bytes, and have a memo of their own."""
+        memo = self.memo if letters.isascii() and letters.isalpha() else self.spelled
+        if (found := memo.get(letters)) is None:
+            found = memo[letters] = self._spell(letters)
         return found
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) + len(self.fragments) > MEMO:
+        if len(self.memo) + len(self.spelled) + len(self.fragments) > MEMO:
             self.memo.clear()
+            self.spelled.clear()
             self.fragments.clear()
         ids, memo = [], self.memo
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
