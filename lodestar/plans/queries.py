@@ -12,7 +12,7 @@ from lodestar.plans import views as v
 from lodestar.sinks import reads as sinks
 from lodestar.sinks.sorted_reads import write_sorted
 from lodestar.sources import text as sources
-from lodestar.storage import new_path, remove, settle
+from lodestar.storage import local, new_path, remove, settle
 from lodestar.streaming import frames as streams
 from lodestar.streaming.state import keep_totals, last_totals, running_totals
 
@@ -468,11 +468,14 @@ def negative_cycle_check(s, d):
 @query(f"""WITH {CONTIGS}, k AS (SELECT r.*, c.idx * 1000 + r.pos // 100000000 AS region_key FROM reads r JOIN contigs c ON r.rname = c.rname)
 SELECT region_key, CAST(region_key % {REGION_PARTITIONS} AS INTEGER) AS pid, count(*) AS n_reads, count(DISTINCT qname) AS n_qnames, CAST(sum(pos) AS BIGINT) AS sum_pos FROM k GROUP BY region_key""")
 def stream_region_batches(s, d):
-    source, out = new_path(s, "frames"), new_path(s, "regions")
+    source, out, offsets = new_path(s, "frames"), new_path(s, "regions"), new_path(s, "offsets")
     v.frames(s, d).write.text(source)
-    streams.run_regions(streams.frame_stream(s, source, files_per_batch=4), v.contigs(s, d), out, new_path(s, "offsets"), REGION_PARTITIONS)
+    streams.run_regions(streams.frame_stream(s, source, files_per_batch=4), v.contigs(s, d), out, offsets, REGION_PARTITIONS)
     got = s.read.schema("pid int, region_key bigint, value string").parquet(f"{out}/stream-*/reads").select("pid", "region_key", parse_read(F.col("value")).alias("r"))
-    return got.groupBy("region_key", "pid").agg(F.count("*").alias("n_reads"), F.countDistinct("r.qname").alias("n_qnames"), F.sum("r.pos").alias("sum_pos"))
+    got = settle(got.groupBy("region_key", "pid").agg(F.count("*").alias("n_reads"), F.countDistinct("r.qname").alias("n_qnames"), F.sum("r.pos").alias("sum_pos")), "regions-counted")
+    for path in (source, out, offsets):
+        remove(s, path)
+    return got
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_frames FROM lineitem")
@@ -532,11 +535,84 @@ def stream_contig_totals(s, d):
 
 @query(f"WITH {CONTIGS} SELECT rname, CAST(idx AS INTEGER) AS idx FROM contigs UNION ALL SELECT '*', 0")
 def header_dictionary(s, d):
+    return contigs.dictionary_of_header(sources.read_header(s, _with_header(s, d)))
+
+
+def _with_header(s, d) -> str:
+    """A folder of files: one that begins with a header with repeated lines and lines of no use, and the reads."""
     path = new_path(s, "header")
-    c = v.contigs(s, d).where("idx > 0").orderBy("idx").select(F.concat(F.lit("@SQ\tSN:"), "rname").alias("value"))
-    tail = v.frames(s, d).where("value like '1%'")
-    c.coalesce(1).unionAll(c.coalesce(1)).unionAll(tail).coalesce(1).write.text(path)
-    return contigs.dictionary_of_header(sources.read_header(s, path))
+    sq = v.contigs(s, d).where("idx > 0").select(F.concat(F.lit("@SQ\tSN:"), "rname").alias("value"), F.col("idx").alias("n"))
+    rg = v.reads(s, d).select(F.concat(F.lit("@RG\tID:"), F.col("file").cast("string")).alias("value"), (F.col("file") + 2000).alias("n")).distinct()
+    more = local(s, [("@HD\tSO:coordinate", -1), ("@PG\tID:x", 5000)], "value string, n int")
+    sq.unionByName(sq.withColumn("n", F.col("n") + 1000)).unionByName(rg).unionByName(more).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    v.frames(s, d).write.mode("append").text(path)
+    return path
+
+
+@query(f"WITH {CONTIGS} SELECT '@SQ' || chr(9) || 'SN:' || rname AS value FROM contigs UNION ALL SELECT '@RG' || chr(9) || 'ID:' || min(file) FROM reads")
+def header_lines_kept(s, d):
+    return contigs.kept_header(sources.read_header(s, _with_header(s, d))).select("value")
+
+
+@query(f"WITH {READS} SELECT count(*) AS n_reads, CAST(0 AS BIGINT) AS n_overlaps, CAST(0 AS BIGINT) AS n_unsorted FROM reads")
+def reads_in_ranges(s, d):
+    """Reads laid out by ranges of position: files whose ranges overlap, and reads out of order in a file."""
+    path = new_path(s, "ranges")
+    partition.lay_out_by_range(v.plain_reads(s, d), REGION_PARTITIONS, "pos").write.parquet(path)
+    rows = s.read.parquet(path).select("pos", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    seen = rows.withColumn("before", F.lag("pos").over(Window.partitionBy("file").orderBy("at")))
+    by = seen.groupBy("file").agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.count_if(F.col("before") > F.col("pos")).alias("unsorted"))
+    by = by.withColumn("before", F.lag("high").over(Window.orderBy("low")))  # over a row for each file
+    return by.agg(F.sum("n").alias("n_reads"), F.count_if(F.col("before") >= F.col("low")).alias("n_overlaps"), F.sum("unsorted").alias("n_unsorted"))
+
+
+@query(f"WITH {KEYS} SELECT dedup_key FROM keys")
+def scalar_text(s, d):
+    """One value a line, and whole lines read as keys."""
+    path = new_path(s, "scalar")
+    v.keys(s, d).select("dedup_key").write.text(path)
+    return sources.read_keys(s, path, 1)
+
+
+@query(f"""WITH {CONTIGS} SELECT qname, flag, r.rname, pos, CAST((c.idx * 1000 + r.pos // 100000000) % {REGION_PARTITIONS} AS INTEGER) AS pid FROM reads r JOIN contigs c ON r.rname = c.rname""")
+def headerless_text_files(s, d):
+    path, r = new_path(s, "headerless"), v.plain_reads(s, d)
+    sinks.write_reads(partition.assign_regions(r, v.contigs(s, d), REGION_PARTITIONS), path, REGION_PARTITIONS)
+    got, _ = sources.read_reads(s, path)
+    return got.select("qname", "flag", "rname", "pos", F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("pid"))
+
+
+INTEGERS = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS INTEGER))"
+
+
+def _vector_text(s, d, *more) -> str:
+    path = new_path(s, "vector-text")
+    numbers = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 1000).cast("string"))
+    v.vectors(s, d).select(F.concat_ws(" ", numbers, *more).alias("value")).write.text(path)
+    return path
+
+
+@query(f"SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, CAST(min(len(embedding)) AS INTEGER) AS dimension, CAST(sum(list_sum({INTEGERS})) AS BIGINT) AS total FROM embeddings GROUP BY label")
+def vector_text_scan(s, d):
+    """Vectors as lines of numbers with a label at the end."""
+    rows = sources.read_vectors(s, _vector_text(s, d, F.col("label").cast("string")), 64)
+    total = F.aggregate("features", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("features")).alias("dimension"), F.sum(total).alias("total"))
+
+
+@query(f"SELECT array_to_string({INTEGERS}, ' ') AS features FROM embeddings")
+def query_vector_scan(s, d):
+    return sources.read_query_vectors(s, _vector_text(s, d)).select(F.array_join(F.col("features").cast("array<string>"), " ").alias("features"))
+
+
+@query(f"""WITH {READS} SELECT 'part-' || lpad(CAST(file AS VARCHAR), 5, '0') AS name, file AS number, CAST(file // 3 AS BIGINT) AS stride, CAST(sum(strlen(qname || chr(9) || flag || chr(9) || rname || chr(9) || pos) + 1) AS BIGINT) AS length
+FROM reads GROUP BY file""")
+def file_catalog(s, d):
+    """Names, numbers, strides and sizes of files, which are listed and not read."""
+    path = new_path(s, "catalog")
+    write_sorted(v.reads(s, d).withColumn("pid", F.col("file")), path, 8)
+    listed = sources.list_files(s, path, "part-*")
+    return listed.select("name", sources.file_number(F.col("name")).alias("number"), sources.batch_number(F.col("name"), 3).alias("stride"), "length")
 
 
 @query(f"WITH {READS} SELECT dedup_key, qname, flag, rname, pos FROM reads")
