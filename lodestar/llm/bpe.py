@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from lodestar.llm.kept import kept, parts
 
-#: Most words and fragments in a worker's memos; they start anew beyond.
-MEMO = 200_000
+#: Most words and fragments in a worker's memos or so. They have two generations: at half as many the younger takes the place
+#: of the older, and what is met again is taken over.
+MEMO = 300_000
 #: The pre-tokenizer's pattern for words as far as ASCII goes, a fixed value of the format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 #: White space of ASCII; U+001C to U+001F are none to the format.
@@ -71,6 +72,8 @@ class WordBpe:
         self.fragments: dict[str, list[str]] = {}
         self.memo: dict[str, bytes] = {}
         self.spelled: dict[str, bytes] = {}
+        self.old_memo: dict[str, bytes] = {}
+        self.old_spelled: dict[str, bytes] = {}
         self.strings = {i: t.encode() for t, i in (self.vocab | added).items()}
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -131,7 +134,9 @@ class WordBpe:
 
     def learn(self, chunk: str) -> bytes:
         """Ids of a chunk without ASCII white space, kept in the memo. Its words are kept too."""
-        if chunk.isascii():
+        if (found := self.old_memo.get(chunk)) is not None:
+            pass
+        elif chunk.isascii():
             low = chunk.lower()
             found = self._spell(low) if low.isalpha() else b"".join(map(self._word, self.words.findall(low.translate(self.letters))))
         else:
@@ -142,16 +147,17 @@ class WordBpe:
     def _word(self, letters: str) -> bytes:
         """Ids of a word, by the letters of its bytes. Only A-Z and a-z are the same as a chunk: other letters may stand for
         other bytes, and have a memo of their own."""
-        memo = self.memo if letters.isascii() and letters.isalpha() else self.spelled
+        memo, old = (self.memo, self.old_memo) if letters.isascii() and letters.isalpha() else (self.spelled, self.old_spelled)
         if (found := memo.get(letters)) is None:
-            found = memo[letters] = self._spell(letters)
+            if (found := old.get(letters)) is None:
+                found = self._spell(letters)
+            memo[letters] = found
         return found
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) + len(self.spelled) + len(self.fragments) > MEMO:
-            self.memo.clear()
-            self.spelled.clear()
+        if len(self.memo) + len(self.spelled) + len(self.fragments) > MEMO // 2:
+            self.old_memo, self.old_spelled, self.memo, self.spelled = self.memo, self.spelled, {}, {}
             self.fragments.clear()
         ids, memo = [], self.memo
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
