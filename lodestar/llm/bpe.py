@@ -6,7 +6,7 @@ independently, by merges of least rank, and concatenated; only a word's last fra
 recur far more often than texts do and are kept in a bounded memo, as are whole words.
 
 ``WordBpe`` reads a file of the tokenizers library whose model is BPE with word ends over bytes and whose normalizer is
-NFC, white space to one space, lower case. What is not ASCII goes through the library's own normalizer and pre-tokenizer,
+NFC, white space to one space, lower case. What is neither ASCII nor Latin letters goes through the library's own normalizer and pre-tokenizer,
 whose Unicode tables need not be Python's. Special strings in a text give their ids. Decoding joins the tokens' strings
 by spaces, as the library does for a file that names no decoder.
 
@@ -33,6 +33,8 @@ from lodestar.llm.kept import kept, parts
 MEMO = 300_000
 #: The pre-tokenizer's pattern for words as far as ASCII goes, a fixed value of the format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+#: Letters of Latin script beyond ASCII, in one place of Unicode and in all its versions: they are whole characters in NFC.
+LATIN = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha())
 #: White space of ASCII; U+001C to U+001F are none to the format.
 SPACE = "[\t-\r ]+"
 LONG = 48
@@ -68,6 +70,8 @@ class WordBpe:
         self.added = added
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.words = re.compile(WORDS, re.ASCII)
+        self.latin = re.compile(f"[\\x21-\\x7e{LATIN}]+")
+        self.latin_words = re.compile(WORDS.replace("a-z", f"a-z{LATIN}"), re.ASCII)
         self.space = re.compile(SPACE)
         self.fragments: dict[str, list[str]] = {}
         self.memo: dict[str, bytes] = {}
@@ -139,6 +143,8 @@ class WordBpe:
         elif chunk.isascii():
             low = chunk.lower()
             found = self._spell(low) if low.isalpha() else b"".join(map(self._word, self.words.findall(low.translate(self.letters))))
+        elif self.latin.fullmatch(low := chunk.lower()):
+            found = b"".join([self._word(w.encode().decode("latin-1").translate(self.letters)) for w in self.latin_words.findall(low)])
         else:
             found = b"".join([self._word(w) for part in self.normalize(chunk).split(" ") if part for w, _ in self.pre_tokenize(part)])
         self.memo[chunk] = found

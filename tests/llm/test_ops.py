@@ -643,6 +643,8 @@ def test_bpe_is_exact():
     tok, own, rnd = Tokenizer.from_file(path), bpe.WordBpe(path), random.Random(5)
     parts = ["a", "The", "s", " ", "\n", "!", "é", "1", "'s", "ß", "世", "é", "\xa0", "\x1c", "<|endoftext|>", "Σ", "İ", "½", "🙂", "\x85", "DON'T", "\u0558", "\u058b", "\ua7cb", "\U00016ea0", "\u208f", "ā", "\x01"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    latin = [*map(chr, range(0x21, 0x250)), "'s", "'ll", "e\u0301"]
+    texts += ["".join(rnd.choice(latin) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
     texts += ["".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (49, 400)]
     for t in texts:
         ids = tok.encode(t, add_special_tokens=False).ids
