@@ -8,7 +8,9 @@ doc_id), each bucketed and sorted by hash, all with the same buckets. A batch's
 merge-anti-joined with the runs bucket by bucket, with neither shuffle nor sort; what is new to them is a run of its own
 at level 0, and a level that holds ``fanout`` runs is merged into one run of the next level. So each key is rewritten
 about log(batches) times, and no batch ever compares lines with lines. A batch loses the lines of all its keys that are
-not new, and of new keys those beyond the first document. Batches have ``batch_lines`` lines or so, a quarter of all at most.
+not new, and of new keys those beyond the first document. Batches have ``batch_lines`` lines or so for each bucket, a quarter
+of all at most; lines are written once more by batch, so that each batch reads its own folder only. All tables of a job go when
+it ends, be it by failure.
 
 The merge joins need Spark to take the tables' order as given, which is a setting: they run in a session of their own,
 and the caller's settings stay as they are.
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.packed import REST, pack, unpack
+from lodestar.llm.ranges import range_of
 from lodestar.llm.text import lower_ascii, strip_white
 from lodestar.storage import new_path, remove, settle
 
@@ -82,6 +85,10 @@ class HashTables:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, self.names.pop(name))
 
+    def drop_all(self) -> None:
+        for name in list(self.names):
+            self.drop(name)
+
 
 class LineRuns:
     """The runs (h1, h2, first) by level."""
@@ -116,46 +123,57 @@ class LineRuns:
         self.levels = []
 
 
-def line_drops(docs: DataFrame, min_chars: int = 10, batch_lines: int = 50_000_000, fanout: int = 2, least_batches: int = 4) -> DataFrame:
+def lines_by_batch(lines: DataFrame, n_batches: int, path: str) -> tuple[DataFrame, int]:
+    """``lines`` written anew with one folder for each batch, ``_batch`` from 0 in ascending order of _did, and the number of batches.
+
+    A batch is made of ranges of _did of about equal numbers of lines, so that one task writes each range into one folder."""
+    spark = lines.sparkSession
+    per_batch = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_batches)
+    n = per_batch * n_batches
+    cuts = lines.select(F.percentile_approx("_did", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or [] if n > 1 else []
+    # ranges that a document fills alone leave fewer cuts than asked for; batches count the ranges that there are
+    cuts = sorted(set(cuts))
+    ranged = lines.withColumn("_range", range_of(F.col("_did"), cuts).cast("int"))
+    dealt = ranged.repartitionById(len(cuts) + 1, "_range").select("*", F.expr(f"_range div {per_batch}").cast("int").alias("_batch")).drop("_range")
+    dealt.write.partitionBy("_batch").parquet(path)
+    return spark.read.schema(f"{LINE}, _batch int").parquet(path), len(cuts) // per_batch + 1
+
+
+def line_drops(docs: DataFrame, min_chars: int = 10, batch_lines: int = 2_000_000, fanout: int = 2, least_batches: int = 4) -> DataFrame:
     """(_did, _row, drop: ascending line positions to drop) of the rows that lose lines."""
     spark, tables = docs.sparkSession, HashTables(docs.sparkSession)
-    own = tables.spark
-    line_path, drop_path = new_path(spark, "lines"), new_path(spark, "drops")
-    settle(hash_lines(docs.select("doc_id", "text"), min_chars), "lines", line_path)
-    lines = own.read.schema(LINE).parquet(line_path)
-    n_batches = max(least_batches, -(-lines.count() // batch_lines))
-    cuts = lines.select(F.percentile_approx("_did", [i / n_batches for i in range(1, n_batches)], max(10_000, 10 * n_batches))).first()[0] or [] if n_batches > 1 else []
-    cuts = sorted(set(cuts))
-    runs, parts, olds = LineRuns(tables, fanout), [], []
-    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("_did") > low)
-        if high is not None:
-            batch = batch.where(F.col("_did") <= high)
-        keys = tables.write(tables.dealt(batch.groupBy("h1", "h2").agg(F.min("_did").alias("first"), F.max("_did").alias("last"))), "keys")
-        run = tables.write(runs.new_of(tables.read(keys)), "run0")
-        new = tables.read(run)
-        again = tables.read(keys).join(new.hint("merge"), ["h1", "h2"], "left_anti")
-        lose = again.select("h1", "h2", F.lit(None).cast("long").alias("first")).unionAll(new.where(F.col("last") > F.col("first")).select("h1", "h2", "first"))
-        part_path = new_path(spark, "lost")
-        met = batch.join(lose, ["h1", "h2"]).where(F.col("first").isNull() | (F.col("_did") > F.col("first")))
-        settle(met.select("_did", "_row", "pos"), "lost", part_path)
-        tables.drop(keys)
-        parts.append(part_path)
-        if k < len(cuts):  # else no batch follows
-            runs.add(run)
-        else:
-            olds.append(run)
-    runs.drop()
-    for run in olds:
-        tables.drop(run)
-    # equal rows carry equal positions, so a set of positions is the whole answer
-    lost = spark.read.schema("_did long, _row long, pos int").parquet(*parts)
-    out = settle(lost.groupBy("_did", "_row").agg(F.array_sort(F.collect_set("pos")).alias("drop")), "drops", drop_path)
-    for p in [line_path, *parts]:
-        remove(spark, p)
-    return out
+    lines_path, drop_path, parts = new_path(spark, "lines"), new_path(spark, "drops"), []
+    try:
+        plain = settle(hash_lines(docs.select("doc_id", "text"), min_chars), "lines", f"{lines_path}/plain")
+        n_batches = max(least_batches, -(-plain.count() // (batch_lines * tables.buckets)))
+        lines, n_batches = lines_by_batch(tables.spark.read.schema(LINE).parquet(f"{lines_path}/plain"), n_batches, f"{lines_path}/batches")
+        remove(spark, f"{lines_path}/plain")
+        runs = LineRuns(tables, fanout)
+        for k in range(n_batches):
+            parts.append(new_path(spark, "lost"))
+            run = _lost_of_batch(tables, runs, lines.where(F.col("_batch") == k), parts[-1])
+            if k < n_batches - 1:  # else no batch follows
+                runs.add(run)
+        # equal rows carry equal positions, so a set of positions is the whole answer
+        lost = spark.read.schema("_did long, _row long, pos int").parquet(*parts)
+        return settle(lost.groupBy("_did", "_row").agg(F.array_sort(F.collect_set("pos")).alias("drop")), "drops", drop_path)
+    finally:
+        tables.drop_all()
+        for p in [lines_path, *parts]:
+            remove(spark, p)
+
+
+def _lost_of_batch(tables: HashTables, runs: LineRuns, batch: DataFrame, path: str) -> str:
+    """Write the lines that a batch loses to ``path``; the name of the table of its keys that no run holds."""
+    keys = tables.write(tables.dealt(batch.groupBy("h1", "h2").agg(F.min("_did").alias("first"), F.max("_did").alias("last"))), "keys")
+    run = tables.write(runs.new_of(tables.read(keys)), "run0")
+    new = tables.read(run)
+    again = tables.read(keys).join(new.hint("merge"), ["h1", "h2"], "left_anti")
+    lose = again.select("h1", "h2", F.lit(None).cast("long").alias("first")).unionAll(new.where(F.col("last") > F.col("first")).select("h1", "h2", "first"))
+    met = batch.join(lose, ["h1", "h2"]).where(F.col("first").isNull() | (F.col("_did") > F.col("first")))
+    settle(met.select("_did", "_row", "pos"), "lost", path)
+    tables.drop(keys)
+    return run
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each of the ten operators against a brute-force version, SQL or a round trip, with the odd cases of its docstring."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, counts, forest, langid, likeness, line_dedup, mix, oracle, paragraphs, queries, simhash, tokens, toxicity
+from lodestar.storage import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h1 string, _drop string, fp string"
@@ -738,6 +740,31 @@ def test_runs_are_joined_without_shuffle_or_sort(spark):
     assert not tables.names
 
 
+def test_batches_read_only_their_own_lines(spark, tmp_path):
+    rows = [(d, 1, p, d * 31 + p, p) for d in range(200) for p in range(1 if d else 500)]
+    lines = spark.createDataFrame(rows, line_dedup.LINE).repartition(3)
+    out, n = line_dedup.lines_by_batch(lines, 5, str(tmp_path / "lines"))
+    found = [[tuple(r)[:5] for r in out.where(F.col("_batch") == k).collect()] for k in range(n)]
+    assert sorted(r for batch in found for r in batch) == sorted(rows) and all(found) and n > 1
+    assert all(max(a)[0] < min(b)[0] for a, b in zip(found, found[1:], strict=False))
+    plan = out.where("_batch = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_batch" in plan
+    empty, n = line_dedup.lines_by_batch(lines.limit(0), 5, str(tmp_path / "none"))
+    assert n == 1 and empty.count() == 0
+
+
+def test_tables_go_when_a_batch_fails(spark, monkeypatch):
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://"))), spark.catalog.listTables()
+
+    def fails(self, run, level=0):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", fails)
+    with pytest.raises(RuntimeError, match="stopped"):
+        line_dedup.line_drops(documents(spark))
+    assert (set(os.listdir(shared_dir(spark).removeprefix("file://"))), spark.catalog.listTables()) == before
+
+
 def test_lines_as_sql(spark):
     import duckdb
 
