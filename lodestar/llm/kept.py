@@ -18,15 +18,20 @@ def kept(name: str, make: Callable[[], object]):
     if not hasattr(holder, name):
         forget()
         setattr(holder, name, make())
+        trim()  # what building it took on the way
     return getattr(holder, name)
 
 
 def forget() -> None:
-    """Drop all that this process keeps, and give free memory back to the system, which a worker that lives on for other
-    operators would hold; operators that keep nothing call it in their tasks."""
+    """Drop all that this process keeps; operators that keep nothing call it in their tasks."""
     holder = sys.modules.get("_lodestar_kept")
     for name in [k for k in vars(holder) if not k.startswith("__")] if holder else []:
         delattr(holder, name)
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system. A worker lives on after its task, idle or for other operators, and would hold it."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -49,7 +54,9 @@ def groups(texts: pa.Array, most: int, rows: int = 1 << 30) -> Iterator[tuple[in
 
 def parts(batches: Iterable[pa.RecordBatch], text: int, rows: int = 500, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a part has ``rows`` rows at most and some ``most`` bytes of column ``text``. A worker's
-    memory is bounded so, whatever the session's own batch size is."""
+    memory is bounded so, whatever the session's own batch size is; once the last part is done, it goes back to the system."""
     for b in batches:
         for first, n in groups(b.column(text), most, rows):
             yield b.slice(first, n)
+    b = None
+    trim()
