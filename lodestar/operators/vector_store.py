@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import l2
-from lodestar.operators import kdtree
+from lodestar.operators import blocks, kdtree
 from lodestar.storage import children, local, new_path, remove, settle
 
-FILE_ROWS, CHUNK = 500_000, 256
+#: Rows of a file, and rows and queries (or so) that a task measures against each other at once.
+FILE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 500_000, 8192, 2048
 NODES = "node long, dim int, split double, n long, low array<double>, high array<double>, folders array<string>"
 
 
@@ -41,6 +42,19 @@ class Version:
     def splits(self) -> list[tuple[int, int, float]]:
         return [(k, x["dim"], x["split"]) for k, x in self.nodes.items() if x["dim"] is not None]
 
+    def blocks(self, most: int) -> list[tuple[int, int, int]]:
+        """(leaf, first, pieces): neighbouring leaves share a block of ``most`` rows at most; a larger leaf has several of its own, from ``first``."""
+        deep = max((k.bit_length() for k in self.leaves), default=0)
+        sizes = dict(zip(self.leaves, self.sizes.tolist(), strict=True))
+        out, now, held = [], -1, most
+        for k in sorted(self.leaves, key=lambda k: k << (deep - k.bit_length())):
+            pieces = -(-sizes[k] // most)
+            if held + sizes[k] > most:
+                now, held = now + 1, 0
+            out.append((k, now, pieces))
+            now, held = now + pieces - 1, held + sizes[k] if pieces == 1 else most
+        return out
+
     def distances(self, q) -> np.ndarray:
         return kdtree.box_distances(np.asarray(q, float), self.low, self.high)
 
@@ -185,10 +199,12 @@ class VectorStore:
     def nearest_of_each(self, queries: DataFrame, k: int, version: Version | None = None, step: int = 4) -> DataFrame:
         """(query_id, rank, vec_id, dist): for each row of ``queries`` (vec_id, embedding) the ``k`` nearest rows of another vec_id.
 
-        Rounds: a query visits its own leaf, whose k-th distance is its radius. It goes down the tree by the boxes that come
-        so near, and visits the leaves it comes to, the nearest first, ``step`` times as many in each round, as long as its
-        radius, which shrinks, meets them. Joins are on leaves and nodes only, and a leaf meets its queries in chunks of
-        ``CHUNK`` rows, so that neither a large leaf nor one that many queries meet is one task's.
+        Rounds: a query visits its own leaf, whose k-th distance is its radius. The other leaves whose boxes come so near are
+        taken by blocks, each of some whole leaves or of a part of a large one, ``BLOCK_ROWS`` rows at most; the nearest blocks
+        first, ``step`` times as many in each round, as long as the query's radius, which shrinks, meets them. Only leaves that some query
+        of the round meets are read. A task measures a block against ``BLOCK_QUERIES`` queries or so at once (``blocks``), so that neither
+        a large leaf nor a block that many queries meet is one task's, and each of them keeps its own ``k``. Queries whose vector is not of the
+        store's length, or holds nulls, have no distance and no rows.
         """
         version, spark = version or self.version(), self.spark
         made: list[str] = []
@@ -197,36 +213,41 @@ class VectorStore:
             made.append(new_path(spark, name))
             return settle(df, name, made[-1])
 
-        asks = queries.where("embedding is not null and vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).dropDuplicates(["query_id"])
-        asks = kdtree.descend(asks, version.splits(), "query").withColumnRenamed("leaf", "own")
+        sound = F.col("embedding").isNotNull() & (F.size("embedding") == version.low.shape[-1]) & F.forall("embedding", lambda c: c.isNotNull())
+        asks = queries.where(F.col("vec_id").isNotNull() & sound if version.leaves else F.lit(False)).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).dropDuplicates(["query_id"])
+        asks = table(kdtree.descend(asks, version.splits(), "query").withColumnRenamed("leaf", "own"), "asks")
         order = Window.partitionBy("query_id").orderBy("dist", "vec_id")
         best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        chunks = local(spark, [(leaf, n // CHUNK + 1) for leaf, n in zip(version.leaves, version.sizes.tolist(), strict=True)], "leaf long, _chunks long")
-
-        def visit(pairs, leaves):
-            """(query_id, vec_id, dist) of the rows in the leaves of ``pairs`` (query_id, leaf, query)."""
-            rows = self.read(version, leaves).select("leaf", "vec_id", F.col("embedding").cast("array<double>").alias("x")).join(F.broadcast(chunks), "leaf")
-            rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "x"), "_chunks")).drop("_chunks")
-            each = pairs.join(F.broadcast(chunks), "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)))
-            met = rows.join(each.hint("merge"), ["leaf", "chunk"]).where("vec_id <> query_id")
-            return met.select("query_id", "vec_id", l2(F.col("x"), F.col("query")).alias("dist"))
-
-        def leaves_of(pairs):
-            return sorted(r["leaf"] for r in pairs.select("leaf").distinct().collect())
-
-        own = asks.select("query_id", F.col("own").alias("leaf"), "query").where(F.col("own").isin(version.leaves))
-        found = table(best(visit(own, leaves_of(own))), "found")
+        dealt = version.blocks(BLOCK_ROWS)
+        places = local(spark, dealt, "leaf long, first int, pieces int")
+        measured = blocks.measure(k)
+
+        def visit(turn, leaves, own):
+            """(query_id, vec_id, dist): the ``k`` nearest rows of each block for each query of ``turn`` (query_id, block, query, own, radius),
+            among rows of the query's own leaf, or else among all others."""
+            met = {r["block"]: r["count"] for r in turn.groupBy("block").count().collect()}
+            shares = local(spark, [(b, -(-n // BLOCK_QUERIES)) for b, n in met.items()], "block int, shares int")
+            rows = self.read(version, leaves).where("vec_id is not null").select("leaf", "vec_id", F.col("embedding").cast("array<double>").alias("x")).join(F.broadcast(places), "leaf")
+            rows = rows.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id", "x"), "pieces")).cast("int")).join(F.broadcast(shares), "block")
+            rows = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "leaf", "vec_id", "x")
+            each = turn.join(F.broadcast(shares), "block").select("block", F.pmod(F.hash("query_id"), "shares").alias("share"), "query_id", "query", "own", "radius", F.lit(own).alias("inside"))
+            return rows.groupBy("block", "share").cogroup(each.groupBy("block", "share")).applyInArrow(measured, "query_id long, vec_id long, dist double")
+
+        here = asks.where(F.col("own").isin(version.leaves)).withColumn("radius", F.lit(None).cast("double"))
+        pieces = here.join(F.broadcast(places), F.col("own") == F.col("leaf")).select("query_id", "query", "own", "radius", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("pieces") - 1)).alias("block"))
+        found = table(best(visit(pieces, sorted(r["own"] for r in here.select("own").distinct().collect()), True)), "found")
         radius = lambda df: df.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("dist")).alias("radius"))
-        todo = self._met(version, asks.join(radius(found), "query_id", "left")).where(F.col("leaf") != F.col("own"))
-        todo = table(todo.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "leaf"))).drop("own"), "todo")
+        todo = asks.join(radius(found), "query_id", "left").select("query_id", "query", "own", "radius")
+        todo = todo.mapInArrow(blocks.met(spark, version, dealt), "query_id long, block int, far double, leaves array<long>")
+        todo = table(todo.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "block"))), "todo")
         low, high = 0, step
         while True:
             turn = todo.where((F.col("turn") > low) & (F.col("turn") <= high)).join(radius(found), "query_id", "left")
-            turn = turn.where(F.col("radius").isNull() | (F.col("far") <= F.col("radius"))).select("query_id", "leaf")
-            leaves = leaves_of(turn)
+            turn = turn.where(F.col("radius").isNull() | (F.col("far") <= F.col("radius")))
+            leaves = sorted(r["leaf"] for r in turn.select(F.explode("leaves").alias("leaf")).distinct().collect())
             if not leaves:  # later ones are farther still
                 break
-            seen = visit(turn.join(asks.select("query_id", "query"), "query_id"), leaves)
+            seen = visit(turn.select("query_id", "block", "radius").join(asks, "query_id"), leaves, False)
             found = table(best(found.select("query_id", "vec_id", "dist").unionByName(seen)), "found")
             low, high = high, high * step
         out = found.select("query_id", "rank", "vec_id", "dist")
@@ -234,15 +255,3 @@ class VectorStore:
         for path in made[:kept] + made[kept + 1 :]:
             remove(spark, path)
         return out
-
-    def _met(self, version: Version, asks: DataFrame) -> DataFrame:
-        """(query_id, own, leaf, far) of the leaves whose boxes come as near to a query as its radius, by descent."""
-        held = [(k // 2, k, x["low"], x["high"]) for k, x in version.nodes.items() if k > 1 and x["low"] is not None]
-        held += [(k, k, version.nodes[k]["low"], version.nodes[k]["high"]) for k in version.leaves]
-        boxes = local(self.spark, held, "node long, child long, low array<double>, high array<double>")
-        depth = max((k.bit_length() for k in version.leaves), default=1)
-        now = asks.select("query_id", "own", "query", "radius", F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("far"))
-        for _ in range(max(1, depth - 1)):
-            now = now.join(F.broadcast(boxes), "node").withColumn("far", box := kdtree.box_distance(F.col("query"))).where(F.col("radius").isNull() | (box <= F.col("radius")))
-            now = now.select("query_id", "own", "query", "radius", F.col("child").alias("node"), "far")
-        return now.select("query_id", "own", F.col("node").alias("leaf"), "far")

@@ -117,3 +117,24 @@ def test_odd_rows(spark, tmp_path):
     asked = spark.createDataFrame([(7, [1.0, 2.0]), (7, [1.0, 2.0]), (None, [1.0, 2.0]), (8, None), (500, [0.0, 2.0])], "vec_id bigint, embedding array<double>")
     got = [tuple(r)[:3] for r in store.nearest_of_each(asked, 2).orderBy("query_id", "rank").collect()]
     assert got == [(7, 1, 0), (7, 2, 0), (500, 1, 0), (500, 2, 0)]
+
+
+def test_blocks_are_exact():
+    """Blocks of rows against blocks of queries: ties, copies, large and odd values, as measured row by row."""
+    from lodestar.operators import blocks
+
+    rnd = np.random.default_rng(3)
+    for scale in (1.0, 1e6, 1e200):
+        x = np.concatenate([rnd.normal(size=(300, 5)), np.ones((40, 5)), rnd.integers(0, 2, (60, 5))]) * scale + (1e6 if scale == 1 else 0)
+        ids, leaf = rnd.permutation(400).astype(np.int64), np.repeat([1, 2], 200)
+        if scale == 1e200:
+            x[7, 2], x[8, 1] = np.inf, np.nan
+        own, none = np.repeat(1, 20), np.full(20, np.nan)
+        for inside in (True, False):
+            at, row, far = blocks.nearest(x, ids, leaf, x[:20], ids[:20], own, none, inside, 6)
+            for i in range(20):
+                d = blocks.distances(x, np.repeat(x[i : i + 1], 400, 0))
+                may = np.flatnonzero((ids != ids[i]) & ((leaf == 1) == inside))
+                want = may[np.lexsort((ids[may], d[may]))][:6]
+                assert row[at == i].tolist() == want.tolist()
+                assert np.array_equal(far[at == i], d[want], equal_nan=True)
