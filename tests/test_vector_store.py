@@ -138,3 +138,26 @@ def test_blocks_are_exact():
                 want = may[np.lexsort((ids[may], d[may]))][:6]
                 assert row[at == i].tolist() == want.tolist()
                 assert np.array_equal(far[at == i], d[want], equal_nan=True)
+
+
+def test_blocks_of_leaves(spark, tmp_path, monkeypatch):
+    """A large leaf has several blocks, small neighbours share one; answers are the same, and tasks return ``k`` rows for a query and block."""
+    from lodestar.operators import vector_store
+
+    rows = clusters(300) + [(1000 + i, [3.0, 3.0, 5.0], 1) for i in range(150)]
+    store = VectorStore(spark, f"file://{tmp_path}/store", leaf_rows=31)
+    store.insert(spark.createDataFrame(rows, SCHEMA))
+    now = store.version()
+    dealt, sizes = now.blocks(50), dict(zip(now.leaves, now.sizes.tolist(), strict=True))
+    assert sorted(k for k, _, _ in dealt) == now.leaves and all(p == -(-sizes[k] // 50) for k, _, p in dealt)
+    held = {}
+    for k, first, pieces in dealt:
+        for b in range(first, first + pieces):
+            held[b] = held.get(b, 0) + sizes[k] / pieces
+    assert sorted(held) == list(range(len(held))) and max(held.values()) <= 50 and any(p > 1 for _, _, p in dealt) and len(held) < len(dealt) + 3
+    monkeypatch.setattr(vector_store, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(vector_store, "BLOCK_QUERIES", 9)
+    asked = [r for r in rows if r[0] % 7 == 0]
+    got = store.nearest_of_each(spark.createDataFrame(asked, SCHEMA), 4, step=2)
+    want = [(r[0], k + 1, i) for r in asked for k, (_, i) in enumerate(brute(rows, r[1], r[0])[:4])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == sorted(want)
