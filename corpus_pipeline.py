@@ -27,7 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by five-word shingles, the smallest doc_id stays."""
+    """Of each group of near copies, the smallest doc_id stays: fingerprints of five-word shingles meet in the byte-position index, and what
+    it links counts if the shingles are alike by 0.8; so do pairs of that likeness that lie farther apart than the index sees."""
     return simhash.one_of_each(docs, shingle=5)
 
 

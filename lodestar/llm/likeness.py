@@ -23,7 +23,8 @@ Of many near copies not all pairs are made. Each set has ``BANDS`` bands of ``BA
 the smallest set of each band that it shares, which connects nearly all of a group in as many comparisons as it has members. What
 these links connect needs no further comparison: lists whose members are all connected are left alone, and in the others
 only pairs that are not connected are counted and verified, those of the largest connected part with what is outside it.
-Bands only save work; no link rests on them. Texts made of little but shared shingles that are not alike cost the square
+Bands only save work; no link rests on them. Given an index of fingerprints (``near``, as ``simhash.links``), each set is also compared with the
+smallest set of its own fingerprint, and the smallest ones of those that the index links with each other. Texts made of little but shared shingles that are not alike cost the square
 of their lists.
 
 Defined cases. Texts without words are alike. Equal sets are one node throughout.
@@ -31,6 +32,8 @@ Defined cases. Texts without words are alike. Equal sets are one node throughout
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lodestar.llm.components import components
+from lodestar.llm.hashed import hashes, majority
 from lodestar.llm.kept import forget, parts
 from lodestar.storage import new_path, remove, settle
 
@@ -54,16 +58,7 @@ FACTORS = np.random.default_rng(11).integers(1 << 62, size=BANDS * BAND_ROWS, dt
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     """The sorted set of one text's shingle hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if n <= shingle:
-        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=n)
-    end = np.cumsum(size + 1) - 1
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip((end - size)[: n - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)], np.uint64))
+    return np.unique(hashes(text, shingle))
 
 
 def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -90,18 +85,20 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingle: int, common: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, row, node, n, prefix, bands) of ``docs`` (doc_id, text): ``row`` is a hash of the text, ``node`` one of its set."""
+    """(doc_id, row, node, n, fp, prefix, bands) of ``docs`` (doc_id, text): ``row`` is a hash of the text, ``node`` one of its set, fp its fingerprint."""
     sent = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if common is None else common)
 
     def run(batches):
         forget()
         for b in parts(batches, 2):
-            sets = [shingles(t.as_py(), shingle) for t in b.column(2)]
+            found = [hashes(t.as_py(), shingle) for t in b.column(2)]
+            fps = np.array([majority(x) for x in found], np.uint64).view(np.int64)
+            sets = [np.unique(x) for x in found]
             nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(n), _lists([prefix(s, sent.value) for s in sets]), _lists([bands(s) for s in sets])], names=["doc_id", "row", "node", "n", "prefix", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(n), pa.array(fps), _lists([prefix(s, sent.value) for s in sets]), _lists([bands(s) for s in sets])], names=["doc_id", "row", "node", "n", "fp", "prefix", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, node long, n long, prefix array<long>, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, node long, n long, fp long, prefix array<long>, bands array<long>")
 
 
 def counted(docs: DataFrame, shingle: int, hot: np.ndarray | None = None) -> DataFrame:
@@ -201,16 +198,26 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int)
     return out
 
 
-def _band_links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """Links (u, v) of sets to the smallest set that shares one of their bands."""
+def _band_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets and the smallest set that shares one of their bands."""
     banded = nodes.select("node", "n", F.posexplode("bands").alias("i", "band"))
     hearts = banded.groupBy("i", "band").agg(F.min(F.struct("n", "node")).alias("p"), F.count("*").alias("k")).where("k > 1")
     met = banded.join(hearts, ["i", "band"]).where("node <> p.node").where(TOP * F.col("n") <= BOTTOM * F.col("p.n"))
-    return _verified(docs, nodes, met.select(F.col("p.node").alias("u"), F.col("node").alias("v")), shingle)
+    return met.select(F.col("p.node").alias("u"), F.col("node").alias("v"))
+
+
+def _near_pairs(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (u, v) of sets and the smallest set of their fingerprint, and of these, of fingerprints that ``near`` links."""
+    hearts = settle(nodes.groupBy("fp").agg(F.min(F.struct("n", "node")).alias("p")).select("fp", "p.n", "p.node"), "hearts")
+    fit = lambda n, m: TOP * F.greatest(n, m) <= BOTTOM * F.least(n, m)
+    same = nodes.select("fp", F.col("n").alias("m"), F.col("node").alias("v")).join(hearts, "fp").where("node <> v").where(fit(F.col("n"), F.col("m"))).select(F.col("node").alias("u"), "v")
+    side = lambda fp, n, node: hearts.select(F.col("fp").alias(fp), F.col("n").alias(n), F.col("node").alias(node))
+    met = near(hearts.select("fp")).toDF("fu", "fv").join(side("fu", "n", "u"), "fu").join(side("fv", "m", "v"), "fv").where(fit(F.col("n"), F.col("m")))
+    return same.unionAll(met.select("u", "v"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5) -> DataFrame:
-    """Edges (u, v) over ``nodes`` (node, n, row, prefix, bands): they connect just those that links connect."""
+def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Edges (u, v) over ``nodes`` (node, n, row, fp, prefix, bands): they connect just those that links connect."""
     spark = nodes.sparkSession
     posted = nodes.select("node", "n", F.posexplode("prefix").alias("i", "key")).select("key", "n", "node", "i", (F.col("i") < _short(F.col("n"))).alias("short"))
     lists_path, member_path = new_path(spark, "lists"), new_path(spark, "members")
@@ -223,7 +230,10 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5) -> DataFrame:
     twos = twos.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.col("a.i").alias("i"), F.col("b.i").alias("j"))
     twos = twos.where(_smaller(F.col("n"), F.col("u"), F.col("m"), F.col("v")))
     member = member.where("k > 2")
-    stars = _band_links(docs, nodes, shingle)
+    first = _band_pairs(nodes)
+    if near:
+        first = first.unionAll(_near_pairs(nodes, near))
+    stars = _verified(docs, nodes, first.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), shingle)
     known = settle(components(stars).toDF("node", "label"), "labels")
     member = member.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # a list is left alone if all its members are connected; of others, the largest part is not compared with itself
@@ -243,15 +253,15 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5) -> DataFrame:
     return out
 
 
-def like_groups(docs: DataFrame, shingle: int = 5, most: int = COMMON) -> DataFrame:
-    """(doc_id, row, group) of every row of ``docs`` (doc_id, text)."""
+def like_groups(docs: DataFrame, shingle: int = 5, most: int = COMMON, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, row, group) of every row of ``docs`` (doc_id, text). ``near`` gives links (u, v) of distinct fingerprints (fp)."""
     spark = docs.sparkSession
     wide_path, nodes_path = new_path(spark, "signatures"), new_path(spark, "sets")
     wide = settle(signatures(docs, shingle, common_shingles(docs, shingle, most)), "signatures", wide_path)
     rows = settle(wide.select("doc_id", "row", "node"), "rows")
-    firsts = [F.min(c).alias(c) for c in ("n", "row", "prefix", "bands")]
+    firsts = [F.min(c).alias(c) for c in ("n", "row", "fp", "prefix", "bands")]
     nodes = settle(wide.where("n > 0").groupBy("node").agg(*firsts), "sets", nodes_path)
     remove(spark, wide_path)
-    groups = components(links(docs, nodes, shingle))
+    groups = components(links(docs, nodes, shingle, near))
     remove(spark, nodes_path)
     return rows.join(groups, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("group"))

@@ -33,17 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from lodestar.llm.components import components
+from lodestar.llm.hashed import hashes, majority
 from lodestar.llm.kept import forget, parts
 from lodestar.llm.likeness import like_groups
 from lodestar.llm.packed import pack, unpack
 from lodestar.storage import new_path, remove, settle
 
 LAST = 9223372036854775807
-SEED = 42
-BLOCK = 1 << 15
 #: A table of at most so many list keys (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
 #: In several lists of that length a fingerprint meets about as many others as it has midpoints.
@@ -52,21 +50,7 @@ LIST_MOST = 512
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The unsigned fingerprint of one text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return 0
-    joined = b" ".join(words)
-    if n <= shingle:
-        hashes = np.array([xxh64_intdigest(joined, SEED)], dtype="<u8")
-    else:
-        size = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        end = np.cumsum(size + 1) - 1
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip((end - size)[: n - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), BLOCK):
-        counts += np.unpackbits(hashes[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -170,8 +154,9 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, list_most:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` of which each group of texts alike by 0.8 keeps its least (doc_id, row), null ids last (one row of it, if it repeats)."""
-    groups = settle(like_groups(docs, shingle), "membership")
+    """The rows of ``docs`` of which each group of texts alike by 0.8 keeps its least (doc_id, row), null ids last (one row of it, if it repeats).
+    Near copies are met by the index of fingerprints first; what it cannot see, as they differ in more bits, is met by ``likeness``."""
+    groups = settle(like_groups(docs, shingle, near=links), "membership")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     kept = groups.groupBy("group").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.row").alias("_row"))
     packed = pack(docs, "doc_id", "text").withColumn("_hash", F.xxhash64("text"))

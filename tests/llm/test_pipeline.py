@@ -34,3 +34,23 @@ def test_each_stage_alone(spark):
     empty = docs.where("false")
     for name, stage in c.STAGES:
         assert stage(spark, empty, DATA).count() == 0, name
+
+
+def test_near_dedup_goes_through_the_fingerprint_index(spark, monkeypatch):
+    """The stage asks the byte-position index for all fingerprints; its links count if verified, and what it cannot see is still found."""
+    import corpus_pipeline as c
+
+    from lodestar.llm import likeness, simhash
+
+    words = [f"w{k}" for k in range(400)]
+    edited, other = words[:399] + ["x"], [f"v{k}" for k in range(400)]
+    half = [w if k % 45 else f"y{k}" for k, w in enumerate(words)]  # alike by 0.8, but far in bits
+    docs = spark.createDataFrame([(k, " ".join(t), None, None, 0) for k, t in enumerate((words, edited, other, half, words))], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    fps = [simhash.fingerprint(" ".join(t), 5) for t in (words, edited, half)]
+    assert (fps[0] ^ fps[1]).bit_count() <= 4 < (fps[0] ^ fps[2]).bit_count()
+    asked, whole = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, *a: asked.append({r["fp"] & (1 << 64) - 1 for r in nodes.collect()}) or whole(nodes, *a))
+    monkeypatch.setattr(likeness, "_band_pairs", lambda nodes: spark.createDataFrame([], "u long, v long"))
+    kept = dict(c.STAGES)["SimHash near-dedup"](spark, docs, None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+    assert len(asked) == 1 and asked[0] >= set(fps)
