@@ -57,6 +57,7 @@ class SortedReadsWriter(DataSourceArrowWriter):
                 out.files.append((now, path, sorted(names), n))
 
         for b in iterator:
+            b = b.filter(pc.is_valid(b.column("value")))
             pids = b.column("pid").to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(pids)) + 1).tolist(), len(pids)]
             for first, end in zip(cuts, cuts[1:], strict=False):
@@ -118,6 +119,6 @@ def write_sorted(assigned: DataFrame, path: str, n: int, header: list[str] | Non
     Reads of no contig, null, are written as unmapped."""
     assigned = assigned.withColumn("rname", F.coalesce("rname", F.lit(UNMAPPED)))
     assigned.sparkSession.dataSource.register(SortedReads)
-    lines = assigned.withColumn("value", read_lines_of(assigned) if value is None else value).where("value is not null")
-    laid = lines.repartitionById(n, "pid").sortWithinPartitions("pid", *ORDER).select("pid", "rname", F.col("value"))
+    laid = assigned.repartitionById(n, "pid").sortWithinPartitions("pid", *ORDER)  # fields are shuffled; lines, which repeat them, are made after
+    laid = laid.select("pid", "rname", (read_lines_of(assigned) if value is None else value).alias("value"))
     laid.write.format("sorted_reads").option("header", json.dumps(header or [])).mode(mode).save(path)
