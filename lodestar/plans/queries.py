@@ -558,7 +558,7 @@ def header_lines_kept(s, d):
 def reads_in_ranges(s, d):
     """Reads laid out by ranges of position: files whose ranges overlap, and reads out of order in a file."""
     path = new_path(s, "ranges")
-    partition.lay_out_by_range(v.plain_reads(s, d), REGION_PARTITIONS, "pos").write.parquet(path)
+    partition.lay_out_by_range(v.plain_reads(s, d), v.shares(s, d, REGION_PARTITIONS), "pos").write.parquet(path)
     rows = s.read.parquet(path).select("pos", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     seen = rows.withColumn("before", F.lag("pos").over(Window.partitionBy("file").orderBy("at")))
     by = seen.groupBy("file").agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.count_if(F.col("before") > F.col("pos")).alias("unsorted"))

@@ -9,6 +9,10 @@ from lodestar.functions.sam import read_line
 from lodestar.operators.contigs import dictionary_of_reads
 
 
+#: Reads of one task.
+SHARE = 1_000_000
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -34,8 +38,16 @@ def batched(spark, d, stride: int = 3):
     return reads(spark, d).withColumn("batch", F.floor(F.col("file") / stride).cast("int")).drop("file")
 
 
+def shares(spark, d, least: int = 1) -> int:
+    """How many tasks the reads are dealt to, so that one has ``SHARE`` of them or so; ``least`` at least."""
+    return max(least, -(-table(spark, d, "lineitem").count() // SHARE))
+
+
 def keys(spark, d):
-    return plain_reads(spark, d).select("qname", "dedup_key").distinct()
+    """(qname, dedup_key), distinct. Of many reads, those of a key go to one of so many tasks as their number calls for, which
+    also serves what is grouped by key; else the session's number of tasks does."""
+    rows, n = plain_reads(spark, d).select("qname", "dedup_key"), shares(spark, d)
+    return (rows.repartition(n, "dedup_key") if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows).distinct()
 
 
 def keys4(spark, d):

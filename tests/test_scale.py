@@ -16,3 +16,12 @@ def test_lines_are_made_after_the_shuffle(spark, tmp_path, monkeypatch):
     sorted_reads.write_sorted(df, f"file://{tmp_path}/out", 3)
     assert seen == [df.columns]
     assert (tmp_path / "out/part-00000").read_text() == "q2\t16\tc\t3\nq1\t0\tc\t5\n" and (tmp_path / "out/part-00002").read_text() == "q3\t16\t*\t9\n"
+
+
+def test_ranges_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(views, "SHARE", 200)
+    whole, seen = queries.partition.lay_out_by_range, []
+    monkeypatch.setattr(queries.partition, "lay_out_by_range", lambda df, n, *by: seen.append(n) or whole(df, n, *by))
+    n = views.table(spark, DATA, "lineitem").count()
+    assert [tuple(r) for r in queries.reads_in_ranges(spark, DATA).collect()] == [(n, 0, 0)]
+    assert seen == [-(-n // 200)]
