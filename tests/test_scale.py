@@ -25,3 +25,11 @@ def test_ranges_grow_in_number(spark, monkeypatch):
     n = views.table(spark, DATA, "lineitem").count()
     assert [tuple(r) for r in queries.reads_in_ranges(spark, DATA).collect()] == [(n, 0, 0)]
     assert seen == [-(-n // 200)]
+
+
+def test_keys_of_many_reads_have_many_tasks(spark, monkeypatch):
+    few = views.keys(spark, DATA)
+    monkeypatch.setattr(views, "SHARE", 100)
+    many = views.keys(spark, DATA)
+    assert many.rdd.getNumPartitions() == views.shares(spark, DATA) > 4 >= few.rdd.getNumPartitions()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
