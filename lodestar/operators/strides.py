@@ -33,10 +33,11 @@ def mark_in_strides(spark: SparkSession, strides: list[list[str]], keys: DataFra
     done = set(children(spark, f"{out}/counts"))
     todo = [k for k in range(len(strides)) if f"loop={k:03d}" not in done]
     for k in todo[:most]:
-        marked = dedup.mark_against(read_reads(spark, strides[k], layout)[0], duplicates)
+        reads = read_reads(spark, strides[k], layout)[0]
+        marked = dedup.mark_against(reads, duplicates)
         seen = Observation(f"loop {k}")
         counted = dedup.observed(marked, seen)
-        planned = partition.plan(contig_counts(marked), partitions)
+        planned = partition.plan(contig_counts(reads), partitions)
         table = settle(planned, "plan", f"{out}/plans/loop={k:03d}") if f"loop={k:03d}" not in children(spark, f"{out}/plans") else spark.read.parquet(f"{out}/plans/loop={k:03d}")
         n = partition.total_partitions(table, partitions)
         write_sorted(partition.assign(counted, table), f"{out}/loop{k:03d}", n, header, mode="overwrite")

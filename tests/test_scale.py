@@ -33,3 +33,14 @@ def test_keys_of_many_reads_have_many_tasks(spark, monkeypatch):
     many = views.keys(spark, DATA)
     assert many.rdd.getNumPartitions() == views.shares(spark, DATA) > 4 >= few.rdd.getNumPartitions()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_stride_counts_need_no_marks(spark, tmp_path, monkeypatch):
+    """A stride's plan rests on its reads alone, not on a second join with the key table."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/part-00000").write_text("k1 a@r1 0 c 5\nk1 a@r2 0 c 7\n")
+    whole, seen = strides.contig_counts, []
+    monkeypatch.setattr(strides, "contig_counts", lambda df, *a: seen.append(df.columns) or whole(df, *a))
+    keys = spark.createDataFrame([("r1", "k1"), ("r2", "k1")], "qname string, dedup_key string")
+    done = strides.mark_in_strides(spark, [[f"file://{tmp_path}/in/part-00000"]], keys, f"file://{tmp_path}/out", 2)
+    assert [tuple(r) for r in done.collect()] == [(0, 2, 1)] and len(seen) == 1 and "is_dup" not in seen[0]
