@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.sam import parse_read
 from lodestar.operators.partition import assign_regions, lay_out, manifest
 from lodestar.sinks.reads import read_lines_of
+from lodestar.storage import settle
 from lodestar.streaming.state import FrozenDictionary, keep_totals, running_totals
 
 MARK = "XXQQ"
@@ -56,16 +57,18 @@ def region_batches(contigs: DataFrame | None, out: str, partitions: int = 16, se
     its number. A batch that is run again overwrites its own. Without ``contigs``, the stream's header lines make the
     dictionary until its first reads freeze it. ``seen`` gets the number of a batch that holds the line that ends the stream."""
 
+    contigs = None if contigs is None else settle(contigs, "contigs")  # made once, not in each batch
+
     def write(batch: DataFrame, number: int) -> None:
         if seen is not None and ended(batch):
             seen.append(number)
         dictionary = FrozenDictionary(batch.sparkSession, f"{out}/dictionary")
         known = dictionary.at(number, header_of(batch), lambda: not frames(batch).isEmpty()) if contigs is None else contigs
-        assigned = assign_regions(reads_of_frames(batch), known, partitions).persist()
+        assigned = assign_regions(reads_of_frames(batch), known, partitions)
         where = f"{out}/stream-{number:05d}"
-        lay_out(assigned, partitions).select("pid", "region_key", read_lines_of(assigned).alias("value")).write.mode("overwrite").parquet(f"{where}/reads")
-        manifest(assigned).write.mode("overwrite").parquet(f"{where}/manifest")
-        assigned.unpersist()
+        lay_out(assigned, partitions).select("pid", "region_key", "rname", read_lines_of(assigned).alias("value")).write.mode("overwrite").parquet(f"{where}/reads")
+        written = batch.sparkSession.read.schema("pid int, rname string").parquet(f"{where}/reads")
+        manifest(written).write.mode("overwrite").parquet(f"{where}/manifest")
 
     return write
 

@@ -44,3 +44,19 @@ def test_stride_counts_need_no_marks(spark, tmp_path, monkeypatch):
     keys = spark.createDataFrame([("r1", "k1"), ("r2", "k1")], "qname string, dedup_key string")
     done = strides.mark_in_strides(spark, [[f"file://{tmp_path}/in/part-00000"]], keys, f"file://{tmp_path}/out", 2)
     assert [tuple(r) for r in done.collect()] == [(0, 2, 1)] and len(seen) == 1 and "is_dup" not in seen[0]
+
+
+def test_given_dictionary_is_made_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / f"in/{k}.txt").write_text(f"kXXQQr{k}\t0\tc\t{k}\n")
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        made.add(1)
+        yield from batches
+
+    contigs = spark.createDataFrame([("c", 1)], "rname string, idx int").coalesce(1).mapInPandas(one, "rname string, idx int")
+    streams.run_regions(streams.frame_stream(spark, f"{tmp_path}/in", 1), contigs, f"file://{tmp_path}/out", f"file://{tmp_path}/at", 4)
+    assert spark.read.parquet(f"file://{tmp_path}/out/stream-*/reads").count() == 3
+    assert made.value == 1
