@@ -494,7 +494,7 @@ def stream_header_control(s, d):
     source, out = new_path(s, "frames"), new_path(s, "regions")
     header = v.contigs(s, d).where("idx > 0").orderBy("idx").select(F.concat(F.lit("@SQ\tSN:"), "rname").alias("value"))
     header.coalesce(1).write.text(source)
-    v.frames(s, d).coalesce(8).write.mode("append").text(source)
+    v.frames(s, d).write.mode("append").text(source)
     s.createDataFrame([("##end",)], "value string").coalesce(1).write.mode("append").text(source)
     streams.run_regions(streams.frame_stream(s, source), None, out, new_path(s, "offsets"), REGION_PARTITIONS, interval="1 second")
     remove(s, source)

@@ -60,3 +60,13 @@ def test_given_dictionary_is_made_once(spark, tmp_path):
     streams.run_regions(streams.frame_stream(spark, f"{tmp_path}/in", 1), contigs, f"file://{tmp_path}/out", f"file://{tmp_path}/at", 4)
     assert spark.read.parquet(f"file://{tmp_path}/out/stream-*/reads").count() == 3
     assert made.value == 1
+
+
+def test_batches_are_not_held(spark, tmp_path, monkeypatch):
+    """The manifest comes from what was written."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/0.txt").write_text("@SQ\tSN:c\nkXXQQr1\t0\tc\t3XXQQr2\t0\t*\t4\n")
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda self, *a: 1 / 0)
+    streams.run_regions(streams.frame_stream(spark, f"{tmp_path}/in"), None, f"file://{tmp_path}/out", f"file://{tmp_path}/at", 4)
+    got = spark.read.parquet(f"file://{tmp_path}/out/stream-00000/manifest").orderBy("part").collect()
+    assert sum(r["n_reads"] for r in got) == 2 and {c for r in got for c in r["rnames"].split(",")} == {"c", "unmapped"}
