@@ -1,7 +1,8 @@
 """A store of vectors clustered by the leaves of a KD tree, which grows by inserts and reads only the leaves that a search meets.
 
-Layout. ``data/<generation>/leaf=<n>`` holds rows in Parquet, ``versions/v=<n>`` a version: its nodes with their splits and boxes, and
-of each leaf the rows and the folders that make it up. An insert appends rows to their leaves in a generation of its own.
+Layout. ``data/<generation>/shelf=<n>`` holds rows in Parquet, by leaf, ``versions/v=<n>`` a version: its nodes with their splits and boxes, and
+of each leaf the rows and the folders that make it up. A shelf is one leaf, or neighbouring leaves that are small beside the insert: an
+insert makes ``2 * SHELVES`` folders or so, or as many as its rows fill shelves of ``SHELF_ROWS``, however many leaves it meets. An insert appends rows to their leaves in a generation of its own.
 Leaves that become overfull are split: their rows move to the new leaves in the new generation. Then the next version is
 written; what was there stays as it was, so that earlier versions can be read, and an insert that fails leaves nothing
 but an unnamed folder. There is one writer at a time: the second of two that make the same version gets an error.
@@ -27,9 +28,25 @@ from lodestar.storage import children, local, new_path, remove, settle
 
 #: Rows of a file, and rows and queries (or so) that a task measures against each other at once.
 FILE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 500_000, 8192, 2048
+#: Leaves share a folder of an insert up to this part of its rows, and up to so many rows.
+SHELVES, SHELF_ROWS = 64, 65_536
 NODES = "node long, dim int, split double, n long, low array<double>, high array<double>, folders array<string>"
 
 
+def dealt(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(leaf, first, pieces) of leaves with their rows, in the order of the tree: neighbours share a number up to ``most`` rows; a larger leaf
+    has as many of its own, from ``first``, as it fills."""
+    deep = max((k.bit_length() for k in sizes), default=0)
+    out, now, held = [], -1, most
+    for k in sorted(sizes, key=lambda k: k << (deep - k.bit_length())):
+        pieces = -(-sizes[k] // most)
+        if held + sizes[k] > most:
+            now, held = now + 1, 0
+        out.append((k, now, pieces))
+        now, held = now + pieces - 1, held + sizes[k] if pieces == 1 else most
+    return out
+
+
 class Version:
     """The nodes of one version."""
 
@@ -44,16 +61,7 @@ class Version:
 
     def blocks(self, most: int) -> list[tuple[int, int, int]]:
         """(leaf, first, pieces): neighbouring leaves share a block of ``most`` rows at most; a larger leaf has several of its own, from ``first``."""
-        deep = max((k.bit_length() for k in self.leaves), default=0)
-        sizes = dict(zip(self.leaves, self.sizes.tolist(), strict=True))
-        out, now, held = [], -1, most
-        for k in sorted(self.leaves, key=lambda k: k << (deep - k.bit_length())):
-            pieces = -(-sizes[k] // most)
-            if held + sizes[k] > most:
-                now, held = now + 1, 0
-            out.append((k, now, pieces))
-            now, held = now + pieces - 1, held + sizes[k] if pieces == 1 else most
-        return out
+        return dealt(dict(zip(self.leaves, self.sizes.tolist(), strict=True)), most)
 
     def distances(self, q) -> np.ndarray:
         return kdtree.box_distances(np.asarray(q, float), self.low, self.high)
@@ -78,15 +86,21 @@ class VectorStore:
         return f"{self.path}/versions/v={number:06d}"
 
     def read(self, version: Version, leaves: list[int] | None = None) -> DataFrame:
-        """The rows of ``leaves``, or of all, with leaf. No other folder is listed or read."""
-        names = [f"{self.path}/data/{f}" for k in (version.leaves if leaves is None else leaves) for f in version.nodes[k]["folders"]]
-        if not names:
-            some = [f"{self.path}/data/{x['folders'][0]}" for x in version.nodes.values() if x["folders"]]
-            return self.read_paths(some[:1]).limit(0) if some else local(self.spark, [], "vec_id bigint, embedding array<float>, leaf long")
-        return self.read_paths(names)
-
-    def read_paths(self, names: list[str]) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*names).withColumn("leaf", F.col("leaf").cast("long")).drop("gen")
+        """The rows of ``leaves``, or of all, with leaf. Only folders that hold some of them are listed and read."""
+        held = sorted({(f, k) for k in (version.leaves if leaves is None else leaves) for f in version.nodes[k]["folders"]})
+        if not held:
+            some = [x["folders"][0] for x in version.nodes.values() if x["folders"]]
+            return self.read_folders(some[:1]).drop("gen", "shelf").limit(0) if some else local(self.spark, [], "vec_id bigint, embedding array<float>, leaf long")
+        rows = self.read_folders(sorted({f for f, _ in held}))
+        if leaves is not None:
+            rows = rows.where(F.col("leaf").isin(list(leaves)))  # what the files' own statistics can use
+        # a folder may hold other leaves, and rows of one that were moved since
+        mine = local(self.spark, sorted({(f.split("/")[0].removeprefix("gen="), k) for f, k in held}), "gen string, leaf long")
+        return rows.join(F.broadcast(mine), ["gen", "leaf"]).drop("gen", "shelf")
+
+    def read_folders(self, folders: list[str]) -> DataFrame:
+        """Rows with leaf, gen and shelf."""
+        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{f}" for f in folders]).withColumn("gen", F.col("gen").cast("string"))
 
     # growing
 
@@ -139,10 +153,10 @@ class VectorStore:
                     nodes.setdefault(child, {"dim": None, "split": None, "n": 0, "low": None, "high": None, "folders": []})
         if sizes:
             generation = f"gen={now.number + 1:06d}-{uuid.uuid4().hex[:8]}"
-            self._write(rows, sizes, f"{self.path}/data/{generation}")
+            shelf = self._write(rows, sizes, f"{self.path}/data/{generation}")
             dim = rows.select(F.size("embedding").alias("d")).first()["d"]
             for r in kdtree.boxes(rows, dim).collect():
-                self._add(nodes[r["leaf"]], r, f"{generation}/leaf={r['leaf']}", r["leaf"] in moved)
+                self._add(nodes[r["leaf"]], r, f"{generation}/shelf={shelf[r['leaf']]}", r["leaf"] in moved)
         self._inner_boxes(nodes)
         flat = [(k, x["dim"], x["split"], x["n"], x["low"], x["high"], x["folders"]) for k, x in sorted(nodes.items())]
         local(self.spark, flat, NODES).coalesce(1).write.parquet(self._at(now.number + 1))
@@ -167,10 +181,14 @@ class VectorStore:
             nodes[k]["low"] = np.min([x["low"] for x in below], axis=0).tolist() if below else None
             nodes[k]["high"] = np.max([x["high"] for x in below], axis=0).tolist() if below else None
 
-    def _write(self, rows: DataFrame, sizes: dict[int, int], where: str) -> None:
-        pieces = local(self.spark, [(k, -(-n // FILE_ROWS)) for k, n in sizes.items()], "leaf long, _pieces long")
+    def _write(self, rows: DataFrame, sizes: dict[int, int], where: str) -> dict[int, int]:
+        """The shelf of each leaf. A leaf that is larger than a file has several, dealt by hash; it shares no shelf."""
+        shelf = {k: first for k, first, _ in dealt(sizes, min(SHELF_ROWS, -(-sum(sizes.values()) // SHELVES)))}
+        pieces = local(self.spark, [(k, shelf[k], -(-n // FILE_ROWS)) for k, n in sizes.items()], "leaf long, shelf int, _pieces long")
         piece = F.pmod(F.xxhash64("vec_id", "embedding"), F.col("_pieces"))
-        rows.join(F.broadcast(pieces), "leaf").withColumn("_piece", piece).repartition("leaf", "_piece").drop("_pieces", "_piece").write.partitionBy("leaf").parquet(where)
+        dealt_out = rows.join(F.broadcast(pieces), "leaf").withColumn("_piece", piece).repartition("shelf", "_piece").drop("_pieces", "_piece")
+        dealt_out.sortWithinPartitions("shelf", "leaf").write.partitionBy("shelf").parquet(where)
+        return shelf
 
     # searching
 

@@ -161,3 +161,27 @@ def test_blocks_of_leaves(spark, tmp_path, monkeypatch):
     got = store.nearest_of_each(spark.createDataFrame(asked, SCHEMA), 4, step=2)
     want = [(r[0], k + 1, i) for r in asked for k, (_, i) in enumerate(brute(rows, r[1], r[0])[:4])]
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == sorted(want)
+
+
+def test_small_leaves_share_folders(spark, tmp_path, monkeypatch):
+    """Folders grow with an insert's rows and not with its leaves; what a later insert moved out of a shared folder is not read there."""
+    from lodestar.operators import vector_store
+
+    monkeypatch.setattr(vector_store, "SHELVES", 4)
+    rows = clusters(900)
+    store = VectorStore(spark, f"file://{tmp_path}/store", leaf_rows=8)
+    for k in range(3):
+        store.insert(spark.createDataFrame(rows[k::3], SCHEMA))
+        made = [p for p in (tmp_path / "store" / "data").glob(f"gen={k + 1:06d}-*/*") if p.is_dir()]
+        assert len(made) <= 9
+        now = store.version(k + 1)
+        assert len(now.leaves) > 30 and now.sizes.sum() == sum(len(rows[j::3]) for j in range(k + 1))
+        got = store.read(now).groupBy("leaf").count().collect()
+        assert {r["leaf"]: r["count"] for r in got} == dict(zip(now.leaves, now.sizes.tolist(), strict=True))
+    assert sorted(r["vec_id"] for r in store.read(now).collect()) == sorted(i for i, _, _ in rows)
+    some = now.leaves[::5]
+    assert {r["leaf"] for r in store.read(now, some).select("leaf").distinct().collect()} == set(some)
+    asked = [r for r in rows if r[0] % 20 == 0]
+    each = store.nearest_of_each(spark.createDataFrame(asked, SCHEMA), 4)
+    want = [(r[0], k + 1, i) for r in asked for k, (_, i) in enumerate(brute(rows, r[1], r[0])[:4])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in each.collect()) == sorted(want)
