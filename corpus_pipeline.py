@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, line_dedup, mix, simhash, toxicity
+from lodestar.llm.kept import small_batches
 from lodestar.storage import new_path, remove, settle
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +19,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are scored toxic go."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -29,6 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the smallest doc_id stays: fingerprints of five-word shingles meet in the byte-position index, and what
     it links counts if the shingles are alike by 0.8; so do pairs of that likeness that lie farther apart than the index sees."""
+    small_batches(spark)
     return simhash.one_of_each(docs, shingle=5)
 
 
@@ -39,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's ids, and the digest of what they decode to."""
+    small_batches(spark)
     out = bpe.encode_decode(docs, VOCABULARY)
     return out.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

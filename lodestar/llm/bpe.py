@@ -59,7 +59,8 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
+        own = {t: t for t in self.vocab}  # the halves of merges are not held a second time
+        self.ranks = {tuple([own.get(x, x) for x in (m.split(" ") if isinstance(m, str) else m)]): k for k, m in enumerate(model["merges"])}
         self.letters = dict(enumerate(byte_letters()))
         self.raw = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.inside = set()

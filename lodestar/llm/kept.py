@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 
 def kept(name: str, make: Callable[[], object]):
@@ -39,6 +40,13 @@ def trim() -> None:
         pass  # not this system's library
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From here on, the session's Arrow batches have ``rows`` rows at most: a task and its worker each hold a batch of texts whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, rows if now <= 0 else min(rows, now))
+
+
 def groups(texts: pa.Array, most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
     """Slices (first, rows) of a column with some ``most`` bytes each and ``rows`` rows at most, a row at least."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -54,3 +54,29 @@ def test_near_dedup_goes_through_the_fingerprint_index(spark, monkeypatch):
     kept = dict(c.STAGES)["SimHash near-dedup"](spark, docs, None)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
     assert len(asked) == 1 and asked[0] >= set(fps)
+
+
+def test_what_workers_hold_is_small(spark):
+    """A stage's workers take texts in batches of 1000 rows at most, and the counts that they hold have two bytes."""
+    import corpus_pipeline
+    from lodestar.llm import toxicity
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    try:
+        docs = spark.range(2500).coalesce(1).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+        assert corpus_pipeline.encode(spark, docs, "").count() == 2500
+
+        def sizes(batches):
+            for b in batches:
+                yield type(b).from_pydict({"n": [b.num_rows]})
+
+        assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) == 1000
+    finally:
+        spark.conf.unset(key)
+    training = spark.createDataFrame([(1, "foul word", 1, 0), (2, "fine word", 0, 1), (3, "foul foul", 1, 1)], "doc_id long, text string, y int, fold int")
+    counts = toxicity._counts(training)
+    cell = toxicity.cells("foul")[-1]
+    assert [int(counts[f][0][0][cell]) for f in (0, 1, None)] == [1, 1, 2] and int(counts[None][0][1][cell]) == 0
+    assert int(counts[1][0][1][toxicity.cells("word")[-1]]) == 1 and counts[None][1:] == (2, 1)
+    assert all(x.dtype.itemsize == 2 for f in counts for x in counts[f][0])
