@@ -16,6 +16,10 @@ from lodestar.operators.contigs import header_names
 from lodestar.storage import children, local
 
 
+#: State stores of a stream of totals: what reaches them was counted before, a row for each key and Arrow batch.
+STORES = 8
+
+
 def running_totals(rows: DataFrame, by: str | None = None) -> DataFrame:
     """(key, n, total) of a stream: in each micro-batch, the rows of each key in it, and all up to it. ``by`` is the column of the keys; without
     it there is one key, null, which has a row in each batch that has any input, even where none is counted.
@@ -46,13 +50,23 @@ def running_totals(rows: DataFrame, by: str | None = None) -> DataFrame:
     return counted.groupBy("key").applyInPandasWithState(add, "key string, n long, total long", "total long", "update", GroupStateTimeout.NoTimeout)
 
 
-def keep_totals(totals: DataFrame, out: str, checkpoint: str) -> None:
-    """Take all that is there: the totals of each micro-batch go to a folder of their own, which a repeated batch overwrites."""
+def keep_totals(totals: DataFrame, out: str, checkpoint: str, stores: int = STORES) -> None:
+    """Take all that is there: the totals of each micro-batch go to a folder of their own, which a repeated batch overwrites.
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={number:05d}")
+    A stream's first start fixes its number of state stores, ``stores``, or as many as the session's shuffles have tasks, if these are fewer.
+    Each batch has a task for every store, however few keys it holds.
+    """
 
-    query = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        batch.repartition(1).write.mode("overwrite").parquet(f"{out}/batch={number:05d}")  # by coalesce, one task would go over all stores
+
+    conf = totals.sparkSession.conf
+    tasks = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", min(stores, int(tasks)))
+    try:  # a query takes the session's settings as it starts
+        query = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", tasks)
     query.awaitTermination()
 
 

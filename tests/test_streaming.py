@@ -150,3 +150,21 @@ def test_header_end_and_totals(spark, tmp_path, rows):
     assert rows(got, "region_key", "pid") == [(0, 0), (1000, 8), (1001, 9)]  # the header of d comes after the first reads
     frames.count_frames(stream(), f"{tmp_path}/n", f"{tmp_path}/offsets2")
     assert rows(spark.read.parquet(f"{tmp_path}/n"), "batch", "n", "total") == [(0, 1, 1), (1, 2, 3), (2, 0, 3)]
+
+
+def test_state_stores_do_not_grow_with_tasks(spark, tmp_path):
+    """A stream of totals has few state stores however many tasks the session's shuffles have, also as it starts again; totals are those of all lines."""
+    (tmp_path / "in").mkdir()
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        for k in range(2):
+            (tmp_path / "in" / f"{k}.txt").write_text("".join(f"1XXQQr{i} 0 c{i % 3} 5\n" for i in range(10 + k)))
+            lines = frames.frame_stream(spark, f"{tmp_path}/in")
+            state.keep_totals(state.running_totals(frames.reads_of_frames(lines), "rname"), f"{tmp_path}/out", f"{tmp_path}/offsets")
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    stores = [p for p in (tmp_path / "offsets" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) == state.STORES
+    assert {r["key"]: r["total"] for r in state.last_totals(spark, f"{tmp_path}/out").collect()} == {"c0": 8, "c1": 7, "c2": 6}
