@@ -27,21 +27,25 @@ def _small(edges: DataFrame) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether edges (u, v), v being the lesser, are stars already: no node is twice a ray, or both a ray and a centre."""
+    rays = edges.select(F.col("u").alias("node"), F.lit(1).alias("ray"), F.lit(0).alias("centre"))
+    ends = rays.unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg((F.sum("ray") + F.max("centre")).alias("roles")).where("roles > 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of ``edges`` (u long, v long), component being the least node reachable.
 
     Each round is two aggregations and two joins; a star's centre is split by adaptive skew joins. Rounds grow with the
-    logarithm of the longest chain. Each round's edges go to the shared folder, so that no lineage builds up.
+    logarithm of the longest chain, and end once all edges are stars, for which one aggregation is enough; edges that are stars from
+    the first on take none. Each round's edges go to the shared folder, so that no lineage builds up.
     """
     spark = edges.sparkSession
     path = new_path(spark, name)
-    now = settle(edges.where("u <> v").select("u", "v").distinct(), name, path)
-    sign = None
-    while True:
-        new_sign = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if new_sign[0] == 0 or new_sign == sign:
-            break
-        sign, old, path = new_sign, path, new_path(spark, name)
+    now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, path)
+    while not _are_stars(now):
+        old, path = path, new_path(spark, name)
         now = settle(_small(_large(now)), name, path)
         remove(spark, old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

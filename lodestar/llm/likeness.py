@@ -217,10 +217,11 @@ def _near_pairs(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> Dat
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Edges (u, v) over ``nodes`` (node, n, row, fp, prefix, bands): they connect just those that links connect."""
+    """Edges (u, v) over ``nodes`` (node, n, row, fp, prefix, bands): they connect just those that links connect. What the first
+    comparisons connect is a star, whatever number of links it has."""
     spark = nodes.sparkSession
     posted = nodes.select("node", "n", F.posexplode("prefix").alias("i", "key")).select("key", "n", "node", "i", (F.col("i") < _short(F.col("n"))).alias("short"))
-    lists_path, member_path = new_path(spark, "lists"), new_path(spark, "members")
+    lists_path, member_path, marked_path = (new_path(spark, x) for x in ("lists", "members", "marked"))
     # counts of fixed width first: few of all keys have a list
     lists = posted.groupBy("key").agg(F.count("*").alias("k"), F.max(F.col("short").cast("int")).alias("any")).where("k > 1 and any = 1").select("key", "k")
     lists = settle(lists, "lists", lists_path)
@@ -239,7 +240,8 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, near: Callable[[D
     # a list is left alone if all its members are connected; of others, the largest part is not compared with itself
     parts_of = member.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
     open_lists = parts_of.where("labels > 1").select("key", F.col("most.label").alias("main"))
-    marked = member.join(open_lists, "key").withColumn("far", F.col("label") != F.col("main"))
+    # written once: what follows reads it four times
+    marked = settle(member.join(open_lists, "key").select("key", *(x for x in member.columns if x not in ("key", "k")), (F.col("label") != F.col("main")).alias("far")), "marked", marked_path)
     small, large = [F.col("n"), F.col("node").alias("u"), F.col("label").alias("lu"), "i"], [F.col("n").alias("m"), F.col("node").alias("v"), F.col("label").alias("lv"), F.col("i").alias("j")]
     fit = _smaller(F.col("n"), F.col("u"), F.col("m"), F.col("v")) & (F.col("lu") != F.col("lv"))
     meet = lambda a, b: marked.where("short").where(a).select("key", *small).join(marked.where(b).select("key", *large), "key").where(fit).select("u", "v", "n", "m", "i", "j")
@@ -247,8 +249,10 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, near: Callable[[D
     # pairs that are not connected yet are counted over all lists that they share
     pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     pairs = pairs.where(_count_allows(*[F.col(x) for x in "cnmij"])).select("u", "v")
-    out = settle(stars.unionAll(_verified(docs, nodes, pairs, shingle)), "links")
-    for p in (lists_path, member_path):
+    # of what is connected, each set's link to the least of its part: the parts need not be found again
+    rays = known.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    out = settle(rays.unionAll(_verified(docs, nodes, pairs, shingle)), "links")
+    for p in (lists_path, member_path, marked_path):
         remove(spark, p)
     return out
 

@@ -80,3 +80,41 @@ def test_what_workers_hold_is_small(spark):
     assert [int(counts[f][0][0][cell]) for f in (0, 1, None)] == [1, 1, 2] and int(counts[None][0][1][cell]) == 0
     assert int(counts[1][0][1][toxicity.cells("word")[-1]]) == 1 and counts[None][1:] == (2, 1)
     assert all(x.dtype.itemsize == 2 for f in counts for x in counts[f][0])
+
+
+def test_stars_take_no_round(spark, rows, monkeypatch):
+    from lodestar.llm import components as module
+
+    rounds, large = [], module._large
+    monkeypatch.setattr(module, "_large", lambda edges: rounds.append(1) or large(edges))
+    stars = spark.createDataFrame([(1, 5), (5, 1), (6, 1), (9, 7), (3, 3)], "u long, v long")
+    assert rows(module.components(stars)) == [(1, 1), (5, 1), (6, 1), (7, 7), (9, 7)]
+    assert not rounds
+    # a centre that is another's ray, two centres of one ray, a chain, a cycle
+    other = [(1, 2), (2, 3), (10, 12), (11, 12), (20, 21), (21, 22), (22, 23), (23, 24), (30, 31), (31, 32), (32, 30)]
+    found = rows(module.components(spark.createDataFrame(other, "u long, v long")))
+    assert found == sorted([(n, min(g)) for g in ([1, 2, 3], [10, 11, 12], [20, 21, 22, 23, 24], [30, 31, 32]) for n in g], key=str)
+    assert rounds
+    assert rows(module.components(spark.createDataFrame([], "u long, v long"))) == []
+
+
+def test_what_is_connected_is_a_star(spark, rows, monkeypatch):
+    """Near copies meet in several bands; their links are found once, and not connected a second time."""
+    import random
+
+    from lodestar.llm import components as module
+    from lodestar.llm import likeness, simhash
+
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(0, 120, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = likeness.signatures(docs, 5).groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", "row", "fp", "prefix", "bands")])
+    links = rows(likeness.links(docs, nodes, near=simhash.links))
+    all_nodes = sorted({x for pair in links for x in pair})
+    assert len(all_nodes) == len(texts)
+    assert links == sorted([(x, all_nodes[0]) for x in all_nodes[1:]], key=str)
+    rounds, large = [], module._large
+    monkeypatch.setattr(module, "_large", lambda edges: rounds.append(1) or large(edges))
+    assert len({r.component for r in module.components(spark.createDataFrame(links, "u long, v long")).collect()}) == 1
+    assert not rounds
