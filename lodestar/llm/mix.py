@@ -11,7 +11,8 @@ nearest to the target: a sample of unequal probabilities whose size is fixed in
 The rate comes from each source's table of sizes with their counts. The place needs no global sort: ranks fall into bins in
 groups, whose word sums show the group, and then the bin, that holds it, and only that bin's documents are ranked one by
 one. A source that holds a third of all rows adds up in every task before anything is shuffled. Sources are numbered by
-range partitions, and their shares found in a few rounds of sums, so that their number may be large.
+range partitions, and their shares found in a few rounds of sums, so that their number may be large; ``FEW`` sources or
+fewer are shared out on the driver, by the same rounds, which takes one job and no table.
 
 Only DataFrame operations. Reruns agree: nothing depends on the order or number of partitions.
 
@@ -21,15 +22,20 @@ are in ``mixed``, whatever their names. No rows: no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestar.llm.packed import pack, unpack
 from lodestar.llm.text import n_words
-from lodestar.storage import settle
+from lodestar.storage import local, settle
 
 #: A table of sources of at most so many rows (some 10 MB) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: So many sources (a name and a few numbers each) are collected; of more, no more than that.
+FEW = 1000
 #: Expected copies within so much of a whole number are that number.
 NEAR = 1e-9
 
@@ -59,19 +65,39 @@ def source_targets(sources: DataFrame, weights=(5, 2, 1), total: float = 1.5, ca
     What a weight of one gets is found in rounds: sources whose cap is below their share stop there and leave the rest to
     the others, whose shares grow, until no more sources stop.
     """
+    named_by_text = sources.schema["_source"].dataType == StringType()
+    few = sources.select("_source", "source_size").limit(FEW + 1).collect() if named_by_text else []
+    if named_by_text and len(few) <= FEW:
+        few.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))  # by code point, as Spark sorts
+        named = [(r["_source"], r["source_size"], r["source_size"] * float(cap), float(weights[k % len(weights)])) for k, r in enumerate(few)]
+
+        def sums(share: float) -> tuple[float, float, int]:
+            full = [c <= w * share for _, _, c, w in named]
+            return sum(c for f, (_, _, c, _) in zip(full, named, strict=True) if f), sum(w for f, (*_, w) in zip(full, named, strict=True) if not f), sum(n for _, n, _, _ in named)
+
+        share = _share(sums, total)
+        return local(sources.sparkSession, [(name, n, min(c, w * share)) for name, n, c, w in named], "_source string, source_size long, target double")
     by = numbered(sources).withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_k") % len(weights) + 1).cast("int")))
     by = settle(by.select("_source", "source_size", "_w", (F.col("source_size") * F.lit(float(cap))).alias("_cap")), "shares")
-    share, words = 0.0, None
-    while True:
+
+    def sums_of_table(share: float) -> tuple[float, float, int]:
         full = F.col("_cap") <= F.col("_w") * F.lit(share)
-        caps, rest, every = by.agg(F.sum(F.when(full, F.col("_cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_w"))), F.sum("source_size")).first()
+        return by.agg(F.sum(F.when(full, F.col("_cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_w"))), F.sum("source_size")).first()
+
+    mine = F.col("_w") * F.lit(_share(sums_of_table, total))
+    return by.select("_source", "source_size", F.when(F.col("_cap") <= mine, F.col("_cap")).otherwise(mine).alias("target"))
+
+
+def _share(sums: Callable[[float], tuple[float, float, int]], total: float) -> float:
+    """What a weight of one gets. ``sums`` gives, of a share, the caps of the sources that stop, the weights of the others, and all words."""
+    share = 0.0
+    while True:
+        caps, rest, every = sums(share)
         words = total * (every or 0)
         new = (words - caps) / rest if rest else share
         if new <= share:
-            break
+            return share
         share = new
-    mine = F.col("_w") * F.lit(share)
-    return by.select("_source", "source_size", F.when(F.col("_cap") <= mine, F.col("_cap")).otherwise(mine).alias("target"))
 
 
 def rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
@@ -90,9 +116,9 @@ def rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
     rows = rows.withColumn("_r", (F.col("target") - above) / F.col("_squares"))
     makes = above + F.lit(cap) / F.col("_size") * F.col("_squares")
     rows = rows.withColumn("_fits", (makes >= F.col("target")) | (F.row_number().over(up) == 1))
-    top = rows.groupBy("_source").agg(F.max(F.when(F.col("_fits"), F.struct("_size", "_r"))).alias("_top"))
-    top = top.select(F.col("_source").alias("_of"), F.col("_top._r").alias("_rate"))
-    rows = rows.join(top, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+    # within the partitions that the sums have made: no shuffle, and the sums are not made a second time for a join
+    top = F.max(F.when(F.col("_fits"), F.struct("_size", "_r"))).over(Window.partitionBy("_source"))
+    rows = rows.withColumn("_top", top).withColumn("_rate", F.col("_top._r"))
     whole = F.sum(F.floor(_expected(cap) + NEAR) * words)
     out = rows.groupBy("_source").agg(F.max("_rate").alias("_rate"), whole.alias("_whole_words"))
     t = targets.withColumnRenamed("_source", "_of")

@@ -118,3 +118,24 @@ def test_what_is_connected_is_a_star(spark, rows, monkeypatch):
     monkeypatch.setattr(module, "_large", lambda edges: rounds.append(1) or large(edges))
     assert len({r.component for r in module.components(spark.createDataFrame(links, "u long, v long")).collect()}) == 1
     assert not rounds
+
+
+def test_few_sources_are_shared_out_in_few_jobs(spark, rows, monkeypatch):
+    """The driver plans mixing in few jobs; few sources get what many would get."""
+    from lodestar.llm import mix
+
+    names = ["b", "a", None, "\U0001f600", "\uffff", "", "z", "0", "B"]
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (1 + k * k % 37)), names[k * k % 23 % 9]) for k in range(400)], "doc_id long, text string, source string").repartition(5)
+    sc = spark.sparkContext
+    sc.setJobGroup("mix", "")
+    try:
+        sizes = docs.selectExpr("source AS _source", "cast(size(split(text, ' ')) AS long) AS source_size").groupBy("_source").agg(F.sum("source_size").alias("source_size"))
+        few = rows(mix.source_targets(sizes))
+        ours = rows(mix.op7(docs))
+        jobs = len(sc.statusTracker().getJobIdsForGroup("mix"))
+    finally:
+        sc._jsc.clearJobGroup()
+    monkeypatch.setattr(mix, "FEW", 0)
+    assert few == rows(mix.source_targets(sizes)) and len(few) == len({r["source"] for r in docs.collect()})
+    assert ours == rows(mix.op7(docs))
+    assert jobs <= 40, jobs  # 64 before
